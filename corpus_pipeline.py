@@ -45,8 +45,8 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def _only(docs: DataFrame, kept: DataFrame) -> DataFrame:
     """The rows of docs whose doc_id is kept; a null doc_id counts as a value."""
-    ids = kept.select(F.col("doc_id").alias("_kept_id")).distinct()
-    return docs.join(ids, F.col("doc_id").eqNullSafe(F.col("_kept_id")), "left_semi")
+    ids = kept.select(F.col("doc_id").alias("id")).distinct().alias("kept")
+    return docs.alias("docs").join(ids, F.col("docs.doc_id").eqNullSafe(F.col("kept.id")), "left_semi")
 
 
 STAGES = [("quality", quality), ("exact dedup", exact), ("near dedup", near), ("mixing", mix), ("packing", pack)]

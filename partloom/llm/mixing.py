@@ -99,19 +99,22 @@ def mixed_documents(docs: DataFrame, params: Mixing = Mixing()) -> DataFrame:
     first taken % size words (joined by one space; n_chars, if there is one,
     follows the cut text). Documents taken 0 times go.
     """
-    columns = docs.columns
-    keyed = docs.withColumn("_size", words_of(F.col("text")))
-    sized = keyed.select("doc_id", "source", F.col("_size").alias("size"), F.xxhash64("text").alias("text_hash"))
-    counts = take(materialise(sized, "sized"), params).where("taken > 0")
-    counts = counts.select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_its_size"), F.col("text_hash").alias("_hash"), "taken").groupBy("_id", "_source", "_its_size", "_hash").agg(F.sum("taken").alias("taken"))
-    same = F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("source").eqNullSafe(F.col("_source")) & (F.col("_size") == F.col("_its_size")) & (F.xxhash64("text") == F.col("_hash"))
-    once = keyed.join(counts, same).dropDuplicates(["_id", "_source", "_its_size", "_hash"])
-    parts = once.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.ceil(F.col("taken") / F.col("_size")))))
-    rest = F.when(F.col("_copy") * F.col("_size") > F.col("taken"), F.col("taken") % F.col("_size")).otherwise(0)
-    words = F.split(F.regexp_replace("text", "^[\\x20\\x09-\\x0D]+", ""), "[\\x20\\x09-\\x0D]+")
-    cut = parts.withColumn("_rest", rest.cast("int"))
-    cut = cut.withColumn("text", F.when(F.col("_rest") > 0, F.array_join(F.slice(words, F.lit(1), F.greatest("_rest", F.lit(1))), " ")).otherwise(F.col("text")))
-    if "n_chars" in columns:
-        kind = docs.schema["n_chars"].dataType
-        cut = cut.withColumn("n_chars", F.when(F.col("_rest") > 0, F.length("text").cast(kind)).otherwise(F.col("n_chars")))
-    return cut.select(*columns)
+    names = ["doc_id", "source", "size", "text_hash"]
+    of_row = {"doc_id": F.col("doc_id"), "source": F.col("source"), "size": words_of(F.col("text")), "text_hash": F.xxhash64("text")}
+    counts = take(materialise(docs.select(*[c.alias(k) for k, c in of_row.items()]), "sized"), params).where("taken > 0")
+    counts = materialise(counts.groupBy(*names).agg(F.sum("taken").alias("taken"), F.count("*").alias("rows")), "taken")
+    rows = docs.select(F.struct(*docs.columns).alias("row"), *[c.alias(f"row_{k}") for k, c in of_row.items()])
+    if not counts.where("rows > 1").isEmpty():  # equal rows: one of them stands for all
+        rows = rows.dropDuplicates([f"row_{k}" for k in names])
+    same = F.lit(True)
+    for k in names:
+        same = same & F.col(f"row_{k}").eqNullSafe(F.col(k))
+    parts = rows.join(counts, same).withColumn("copy", F.explode(F.sequence(F.lit(1), F.ceil(F.col("taken") / F.col("size")))))
+    rest = F.when(F.col("copy") * F.col("size") > F.col("taken"), F.col("taken") % F.col("size")).otherwise(0).cast("int")
+    text = F.col("row")["text"]
+    words = F.split(F.regexp_replace(text, "^[\\x20\\x09-\\x0D]+", ""), "[\\x20\\x09-\\x0D]+")
+    cut = parts.withColumn("rest", rest).withColumn("cut", F.when(F.col("rest") > 0, F.array_join(F.slice(words, F.lit(1), F.greatest("rest", F.lit(1))), " ")).otherwise(text))
+    out = {c: F.col("row")[c] for c in docs.columns} | {"text": F.col("cut")}
+    if "n_chars" in docs.columns:
+        out["n_chars"] = F.when(F.col("rest") > 0, F.length("cut").cast(docs.schema["n_chars"].dataType)).otherwise(out["n_chars"])
+    return cut.select(*[out[c].alias(c) for c in docs.columns])

@@ -138,8 +138,7 @@ def shard_documents(docs: DataFrame, params: Sharding = Sharding()) -> DataFrame
     slim = materialise(slim, "sized")
     groups = materialise(slim.groupBy("digest").agg(F.sum("size").alias("bytes")), "groups")
     firsts, capacity = minimax_cuts(groups, params)
-    shard = F.lit(0)
-    for first in firsts:
-        shard = shard + (F.col("digest") >= F.lit(first)).cast("int")
+    begun = F.filter(F.array(*map(F.lit, firsts)).cast("array<string>"), lambda first: F.col("digest") >= first)
+    shard = F.size(begun)
     placed = gapless_rank(slim.withColumn("shard", shard.cast("int")), "shard", ["doc_id", "digest"], "slot")
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", F.col("slot").cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"), F.lit(capacity).cast("long").alias("capacity"))
