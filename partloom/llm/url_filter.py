@@ -138,7 +138,7 @@ def judge_urls(pages: DataFrame, rules: tuple[Rule, ...] = RULES, default: str =
     lengths = sorted({len(r.path) for r in rules})
     parsed = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
     parsed = parsed.withColumn("keys", keys_of(F.col("host"), F.col("path"), lengths))
-    listed = spark.createDataFrame([(r.rule,) for r in rules], "key string")
+    listed = spark.range(0, 1, 1, 1).select(F.explode(F.array(*[F.lit(r.rule) for r in rules])).alias("key"))
     universe = parsed.select(F.explode("keys").alias("key"))
     levels = build_cascade(listed, universe, params)
     hits = F.filter("keys", lambda k: is_listed(k, levels, params))
