@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from partloom.plans import assembly_queries, numeric_queries, plumbing_queries, stats_queries
+from partloom.plans import assembly_queries, numeric_queries, plumbing_queries, stats_queries, summary_queries
 
-MODULES = (assembly_queries, stats_queries, plumbing_queries, numeric_queries)
+MODULES = (assembly_queries, stats_queries, plumbing_queries, numeric_queries, summary_queries)
 QUERIES = {name: f for m in MODULES for name, f in m.QUERIES.items()}
 SQL = {name: text for m in MODULES for name, text in m.SQL.items()}
