@@ -2,30 +2,38 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+def written(df: DataFrame) -> DataFrame:
+    """df as a table in the folder the cluster shares (a local one where it names none): lineage ends there."""
+    spark = df.sparkSession
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not named:
+        named = tempfile.mkdtemp(prefix="partloom-")
+        spark.conf.set("spark.checkpoint.dir", named)
+    path = f"{named.rstrip('/')}/partloom-{spark.sparkContext.applicationId}/greedy-{uuid.uuid4().hex[:12]}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def component_labels(edges: DataFrame, rounds: int = 64) -> DataFrame:
     """edges (a, b) -> (node, comp): the least node that each can reach.
 
-    Labels spread along edges and jump to their label's label; every few rounds the lineage is cut with
-    checkpoint() where the cluster names a folder for it.
+    Labels spread along edges and jump to their label's label; each round is written, so its work is done once.
     """
-    both = edges.select("a", "b").union(edges.select("b", "a")).distinct()
-    labels = both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("comp"))
-    spark = edges.sparkSession
-    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        import tempfile
-
-        named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp()
-        spark.sparkContext.setCheckpointDir(named)
+    both = written(edges.select("a", "b").union(edges.select("b", "a")).distinct())
+    labels = written(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("comp")))
     for _ in range(rounds):
         near = both.join(labels.select(F.col("node").alias("b"), F.col("comp").alias("c")), "b").groupBy(F.col("a").alias("node")).agg(F.min("c").alias("c"))
         step = labels.join(near, "node").select("node", F.least("comp", "c").alias("comp"), F.col("comp").alias("was"))
         jump = step.select(F.col("node").alias("comp"), F.col("comp").alias("top"))
-        then = step.join(jump, "comp", "left").select("node", F.coalesce("top", "comp").alias("comp"), "was").checkpoint()
+        then = written(step.join(jump, "comp", "left").select("node", F.coalesce("top", "comp").alias("comp"), "was"))
         labels = then.select("node", "comp")
         if then.where("comp <> was").isEmpty():
             break
@@ -39,6 +47,7 @@ def greedy_one_to_one(candidates: DataFrame) -> DataFrame:
     Choices in one component of the candidate graph don't touch another, so components run in parallel.
     """
     kind = candidates.schema["new_part_id"].dataType.simpleString()
+    candidates = written(candidates)
     tagged = candidates.select(F.concat(F.lit("n"), F.col("new_part_id").cast("string")).alias("a"), F.concat(F.lit("o"), F.col("old_part_id").cast("string")).alias("b"))
     labels = component_labels(tagged)
     grouped = candidates.withColumn("a", F.concat(F.lit("n"), F.col("new_part_id").cast("string"))).join(labels.select(F.col("node").alias("a"), "comp"), "a")

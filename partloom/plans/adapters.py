@@ -39,7 +39,7 @@ FROM fx_parts WHERE kind <= 2""",
 SELECT l_orderkey * 10 + l_linenumber AS hole_id, l_partkey AS host_id,
        25e0 * CAST(l_suppkey % 10 AS DOUBLE) AS ox, 25e0 * CAST(l_partkey % 10 AS DOUBLE) AS oy, CAST(l_linenumber AS DOUBLE) AS oz,
        0e0 AS dx, 0e0 AS dy, 1e0 AS dz, l_quantity / 4e0 AS diameter, 2e0 + l_tax * 1e2 AS length
-FROM {lineitem} WHERE l_orderkey % 20 = 0""",
+FROM {lineitem}""",
     "fx_cylinders": """
 SELECT l_partkey AS part_id, l_orderkey * 10 + l_linenumber AS face_index, 0e0 AS ox, 0e0 AS oy, CAST(l_linenumber AS DOUBLE) AS oz,
        0e0 AS dx, 0e0 AS dy, 1e0 AS dz, l_quantity / 4e0 AS radius, 1e0 + l_tax * 1e2 AS length, l_orderkey % 3 = 0 AS is_internal,
@@ -51,8 +51,8 @@ SELECT l.doc_id, l.quality AS y, d.source, d.lang,
        CAST((l.doc_id * 7919) % 5 AS INT) AS y5, CAST((l.doc_id * 31 + l.doc_id DIV 7) % 5 AS INT) AS p5
 FROM {labels} l JOIN {documents} d ON d.doc_id = l.doc_id""",
     "fx_old": """
-SELECT o_orderkey AS part_id, o_orderkey AS ord, o_orderpriority AS name, 'h' || CAST(o_custkey AS STRING) AS topology_hash, o_totalprice AS volume, 1e1 AS area,
-       1e1 AS sx, 2e1 AS sy, 3e1 AS sz, CAST(o_orderkey % 1000 AS DOUBLE) AS tx, 0e0 AS ty, 0e0 AS tz, 0e0 AS qx, 0e0 AS qy, 0e0 AS qz, 1e0 AS qw
+SELECT o_orderkey AS part_id, o_orderkey AS ord, o_orderpriority || ' ' || CAST(o_orderkey DIV 10 AS STRING) AS name, 'h' || CAST(o_custkey AS STRING) AS topology_hash, o_totalprice AS volume, 1e1 AS area,
+       1e1 AS sx, 2e1 AS sy, 3e1 AS sz, 1e1 * CAST(o_orderkey AS DOUBLE) + 2e1 * CAST(o_orderkey % 13 AS DOUBLE) AS tx, 0e0 AS ty, 0e0 AS tz, 0e0 AS qx, 0e0 AS qy, 0e0 AS qz, 1e0 AS qw
 FROM {orders}""",
     "fx_new": """
 SELECT CASE WHEN part_id % 11 = 3 THEN -part_id ELSE part_id END AS part_id, ord,

@@ -149,7 +149,7 @@ FROM fx_shafts s CROSS JOIN fx_holes h WHERE s.part_id <> h.host_id AND abs(h.ox
 passed AS (SELECT *, least(t1, sl) - greatest(t0, 0e0) AS overlap FROM gated WHERE gap BETWEEN -15e-1 AND 2e0 AND off <= 5e-1 AND least(t1, sl) - greatest(t0, 0e0) > 0),
 edge AS (SELECT *, CASE WHEN gap <= 2e-1 THEN 'tap' WHEN gap <= 6e-1 THEN 'slip' ELSE 'clearance' END AS fit_class,
   4e-1 + 3e-1 * (1e0 - off / 5e-1) + 2e-1 * CASE WHEN gap BETWEEN -12e-1 AND 8e-1 THEN 1e0 WHEN gap < -12e-1 THEN (gap + 15e-1) / 3e-1 ELSE (2e0 - gap) / 12e-1 END + 1e-1 * overlap / greatest(sl, 1e-6) AS score FROM passed),
-ordered AS (SELECT *, CAST(row_number() OVER (PARTITION BY fastener_id ORDER BY t1, hole_id) - 1 AS INT) AS bolt_order FROM edge)"""
+ordered AS (SELECT *, CAST(row_number() OVER (PARTITION BY fastener_id ORDER BY t1, hole_id, host_id, gap) - 1 AS INT) AS bolt_order FROM edge)"""
 
 
 def _edges(spark, sf_dir, strategy="grid"):
@@ -204,10 +204,10 @@ def coaxial_clusters(spark, sf_dir):
     return c.groupBy("part_id").agg(F.count_distinct("cluster").alias("clusters"), F.count("*").alias("members"))
 
 
-@query("SELECT 'contained_in' AS kind, n_nationkey AS subject_id, n_regionkey AS target_id, 1 AS depth, CAST(1 AS DOUBLE) AS confidence, false AS inferred FROM nation WHERE n_nationkey % 3 <> 0")
+@query("SELECT 'contained_in' AS kind, n_nationkey AS subject_id, n_regionkey AS target_id, 1 AS depth, CAST(1 AS DOUBLE) AS confidence, false AS inferred FROM nation")
 def contained_in(spark, sf_dir):
     parts = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("part_id"), F.col("n_regionkey").alias("parent_id"))
-    return joints.contained_in(parts, parts.where("part_id % 3 <> 0"))
+    return joints.contained_in(parts, parts)
 
 
 @query("""WITH own AS (SELECT doc_id, sha256(coalesce(text, '')) AS h FROM documents), first_ AS (SELECT h, min(doc_id) AS canonical_id FROM own GROUP BY h)
@@ -231,8 +231,8 @@ def proxy_mesh_counts(spark, sf_dir):
 
 
 @query(f"""{ctes('fx_parts')} SELECT part_id, round(16 * m / 2 * m / 2 * sin(2 * pi() / 16) + 32 * (m / 2) * sin(pi() / 16) * (m * (2e0 + s5)), 6) AS area,
-round(8 * (m / 2) * (m / 2) * sin(2 * pi() / 16) * (m * (2e0 + s5)), 6) AS volume, CAST(34 AS BIGINT) AS n_vertices, CAST(64 AS BIGINT) AS n_faces FROM fx_parts WHERE part_id % 20 = 0""")
+round(8 * (m / 2) * (m / 2) * sin(2 * pi() / 16) * (m * (2e0 + s5)), 6) AS volume, CAST(34 AS BIGINT) AS n_vertices, CAST(64 AS BIGINT) AS n_faces FROM fx_parts""")
 def mesh_area_volume(spark, sf_dir):
-    shapes = view(spark, sf_dir, "fx_parts").where("part_id % 20 = 0").select(F.col("part_id").alias("mesh_id"), (F.col("m") / 2).alias("radius"), (F.col("m") * (2.0 + F.col("s5"))).alias("height"))
+    shapes = view(spark, sf_dir, "fx_parts").select(F.col("part_id").alias("mesh_id"), (F.col("m") / 2).alias("radius"), (F.col("m") * (2.0 + F.col("s5"))).alias("height"))
     out = ft.mesh_measures(*ft.cylinder_mesh(shapes, 16))
     return out.select(F.col("mesh_id").alias("part_id"), F.round("area", 6).alias("area"), F.round("volume", 6).alias("volume"), "n_vertices", "n_faces")

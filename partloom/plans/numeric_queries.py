@@ -35,26 +35,26 @@ def unit_sphere(spark, sf_dir):
     return cloud.unit_sphere(_points(spark, sf_dir)).select("sample_id", "pid", *[F.round(k, 9).alias(k) for k in "xyz"])
 
 
-@query(f"""{PTS}, n AS (SELECT c.sample_id, c.pid AS cid, p.pid, row_number() OVER (PARTITION BY c.sample_id, c.pid ORDER BY p.pid) AS rn FROM fx_points c JOIN fx_points p ON p.sample_id = c.sample_id WHERE c.pid % 5 = 0 AND (p.x - c.x) * (p.x - c.x) + (p.y - c.y) * (p.y - c.y) + (p.z - c.z) * (p.z - c.z) <= 1.5e-1 * 1.5e-1),
+@query(f"""{PTS}, n AS (SELECT c.sample_id, c.pid AS cid, p.pid, row_number() OVER (PARTITION BY c.sample_id, c.pid ORDER BY p.pid) AS rn FROM fx_points c JOIN fx_points p ON p.sample_id = c.sample_id WHERE (p.x - c.x) * (p.x - c.x) + (p.y - c.y) * (p.y - c.y) + (p.z - c.z) * (p.z - c.z) <= 1.5e-1 * 1.5e-1),
 f AS (SELECT sample_id, cid, list(pid ORDER BY pid) AS ids FROM n WHERE rn <= 8 GROUP BY 1, 2) SELECT sample_id, cid, array_to_string(list_concat(ids, list_transform(range(8 - len(ids)), lambda i: ids[1])), ',') AS ids FROM f""")
 def ball_query(spark, sf_dir):
     p = _points(spark, sf_dir)
-    centres = p.where("pid % 5 = 0").select("sample_id", F.col("pid").alias("cid"), "x", "y", "z")
+    centres = p.select("sample_id", F.col("pid").alias("cid"), "x", "y", "z")
     return cloud.ball_query(centres, p, 0.15, 8).select("sample_id", "cid", F.array_join(F.transform("ids", lambda i: i.cast("string")), ",").alias("ids"))
 
 
-@query(f"""{PTS}, d AS (SELECT q.sample_id, q.pid AS qid, p.pid, (p.x - q.x) * (p.x - q.x) + (p.y - q.y) * (p.y - q.y) + (p.z - q.z) * (p.z - q.z) AS d2, p.x + p.y AS v FROM fx_points q JOIN fx_points p ON p.sample_id = q.sample_id WHERE q.pid % 5 = 0 AND p.pid % 5 <> 0),
+@query(f"""{PTS}, d AS (SELECT q.sample_id, q.pid AS qid, p.pid, (p.x - q.x) * (p.x - q.x) + (p.y - q.y) * (p.y - q.y) + (p.z - q.z) * (p.z - q.z) AS d2, p.x + p.y AS v FROM fx_points q JOIN fx_points p ON p.sample_id = q.sample_id),
 r AS (SELECT *, row_number() OVER (PARTITION BY sample_id, qid ORDER BY d2, pid) AS rn FROM d) SELECT sample_id, qid, round(sum(v / (d2 + 1e-8)) / sum(1e0 / (d2 + 1e-8)), 9) AS v FROM r WHERE rn <= 3 GROUP BY 1, 2""")
 def knn_interpolate(spark, sf_dir):
     p = _points(spark, sf_dir)
-    q = p.where("pid % 5 = 0").select("sample_id", F.col("pid").alias("qid"), "x", "y", "z")
-    known = p.where("pid % 5 <> 0").withColumn("v", F.col("x") + F.col("y"))
+    q = p.select("sample_id", F.col("pid").alias("qid"), "x", "y", "z")
+    known = p.withColumn("v", F.col("x") + F.col("y"))
     return cloud.interpolate(q, known, "v").withColumn("v", F.round("v", 9))
 
 
-@query(f"{PTS}, f AS (SELECT * FROM fx_points WHERE pid % 4 = 0) SELECT a.sample_id, a.pid AS i, b.pid AS j, round(sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) + (a.z - b.z) * (a.z - b.z)), 9) AS d FROM f a JOIN f b ON b.sample_id = a.sample_id AND a.pid < b.pid")
+@query(f"{PTS}, f AS (SELECT * FROM fx_points) SELECT a.sample_id, a.pid AS i, b.pid AS j, round(sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) + (a.z - b.z) * (a.z - b.z)), 9) AS d FROM f a JOIN f b ON b.sample_id = a.sample_id AND a.pid < b.pid")
 def centroid_distance(spark, sf_dir):
-    faces = _points(spark, sf_dir).where("pid % 4 = 0").withColumnRenamed("pid", "i")
+    faces = _points(spark, sf_dir).withColumnRenamed("pid", "i")
     return cloud.centroid_distances(faces).withColumn("d", F.round("d", 9))
 
 
@@ -74,14 +74,14 @@ def pca_axis(spark, sf_dir):
     return cloud.axis_measures(p, cloud.principal_axis(p))
 
 
-EF = "ef AS (SELECT l_orderkey % 40 AS sample_id, l_partkey % 97 AS edge_index, l_suppkey % 30 AS face_index FROM lineitem WHERE l_orderkey % 50 = 0)"
-NORMALS = "nm AS (SELECT s.s AS sample_id, f.f AS face_index, cos(f.f * 1e-1) AS nx, sin(f.f * 1e-1) AS ny, 0e0 AS nz FROM (SELECT unnest(range(40)) AS s) s CROSS JOIN (SELECT unnest(range(30)) AS f) f)"
+EF = "ef AS (SELECT l_orderkey % 400 AS sample_id, l_partkey % 97 AS edge_index, l_suppkey % 30 AS face_index FROM lineitem)"
+NORMALS = "nm AS (SELECT s.s AS sample_id, f.f AS face_index, cos(f.f * 1e-1) AS nx, sin(f.f * 1e-1) AS ny, 0e0 AS nz FROM (SELECT unnest(range(400)) AS s) s CROSS JOIN (SELECT unnest(range(30)) AS f) f)"
 
 
 def _face_edges(spark, sf_dir):
-    li = table(spark, sf_dir, "lineitem").where("l_orderkey % 50 = 0")
-    ef = li.select((F.col("l_orderkey") % 40).alias("sample_id"), (F.col("l_partkey") % 97).alias("edge_index"), (F.col("l_suppkey") % 30).alias("face_index"))
-    normals = spark.range(40).withColumnRenamed("id", "sample_id").crossJoin(spark.range(30).withColumnRenamed("id", "face_index"))
+    li = table(spark, sf_dir, "lineitem")
+    ef = li.select((F.col("l_orderkey") % 400).alias("sample_id"), (F.col("l_partkey") % 97).alias("edge_index"), (F.col("l_suppkey") % 30).alias("face_index"))
+    normals = spark.range(400).withColumnRenamed("id", "sample_id").crossJoin(spark.range(30).withColumnRenamed("id", "face_index"))
     t = F.col("face_index") * 0.1
     return cloud.face_adjacency(ef, normals.select("sample_id", "face_index", F.cos(t).alias("nx"), F.sin(t).alias("ny"), F.lit(0.0).alias("nz")))
 
