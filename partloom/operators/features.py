@@ -85,7 +85,7 @@ def topology_key(faces: Column, edges: Column, vertices: Column, areas: Column,
 
     Decimals are rounded half up on the shortest decimal form; see the README for how that differs from C printf.
     """
-    listed = lambda values: F.array_join(F.transform(F.slice(F.sort_array(values, asc=False), 1, top or 1 << 30), lambda v: F.format_number(v, "0.0000")), ",")
+    listed = lambda values: F.array_join(F.transform(F.slice(F.sort_array(values, asc=False), 1, top or 1 << 30), lambda v: F.call_function("format_number", v, F.lit("0.0000"))), ",")
     parts = [F.concat(F.lit("F"), faces), F.concat(F.lit("E"), edges), F.concat(F.lit("V"), vertices), F.when(F.size(areas) > 0, F.concat(F.lit("FA:"), listed(areas)))]
     if lengths is not None:
         parts.append(F.when(F.size(lengths) > 0, F.concat(F.lit("EL:"), listed(lengths))))
