@@ -156,7 +156,7 @@ def _pieces(p: Packing):
 
     def run(batches):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        encoder = worker_store(f"encoder {p.tokenizer} {p.words}", lambda: Encoder(p))
+        encoder = worker_store(f"encoder {p.tokenizer} {p.words}", lambda: Encoder(p), large=True)
         end, width = np.array([p.end], dtype="<u4").tobytes(), 4 * p.length
         for batch in batches:
             rows, group, held = [], [], 0

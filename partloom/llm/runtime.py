@@ -48,12 +48,20 @@ def release(spark: SparkSession) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def worker_store(name: str, make):
-    """An object that lives as long as the Python worker, shared by its tasks."""
+def worker_store(name: str, make, large: bool = False):
+    """An object that lives as long as the Python worker, shared by its tasks.
+
+    Of the large ones a worker holds one at a time: a stage that needs another
+    lets go of what the stage before it remembered.
+    """
     module = sys.modules.setdefault("_partloom_worker", types.ModuleType("_partloom_worker"))
-    if not hasattr(module, name):
-        setattr(module, name, make())
-    return getattr(module, name)
+    held = module.__dict__.setdefault("held", {})
+    if name not in held:
+        if large:
+            for other in [k for k, (_, big) in held.items() if big]:
+                del held[other]
+        held[name] = (make(), large)
+    return held[name][0]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

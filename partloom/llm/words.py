@@ -12,8 +12,8 @@ import xxhash
 from partloom.llm.runtime import worker_store
 
 U = np.uint64
-#: Entries a worker's word table holds before it starts anew: about 150 MB.
-WORD_TABLE = 1_000_000
+#: Entries a worker's word table holds before it starts anew: about 100 MB.
+WORD_TABLE = 600_000
 #: Words hashed in one vectorised step.
 STEP = 1 << 18
 BASES = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95)
@@ -30,7 +30,7 @@ class WordHashes(dict):
 
 
 def word_table() -> WordHashes:
-    return worker_store("word_hashes", WordHashes)
+    return worker_store("word_hashes", WordHashes, large=True)
 
 
 def hash_words(words: list[bytes], table: WordHashes) -> np.ndarray:
