@@ -1,13 +1,13 @@
-"""License scans: MinHash bands over overlapping windows retrieve templates, exact containment verifies them.
+"""License scans: MinHash of the templates retrieves them, exact containment of stretches verifies them.
 
 Texts and templates are words without case and outer punctuation, taken five
-at a time. A template of n shingles is looked for in windows of 2n shingles
-that start every n, so each occurrence lies whole in one of them. A window
-that holds ``containment`` c of a template has a Jaccard similarity of at
-least c/(3-c), 0.36 at 0.8; with ``bands`` bands of one hash each it shares one
-with probability 1 - (1 - c/(3-c))**bands, over 0.9999992 at 32 bands. A band
-can only agree where a shingle that is a template's minimum occurs, so windows
-without such a shingle need no hashing.
+at a time. Each of ``bands`` salts has one minimum among a template's shingles;
+a template is retrieved for a text that holds one of these minima. A stretch
+with ``containment`` c of the template lacks all of them with probability
+(1-c)**bands, below 1e-22 at 0.8 and 32 bands, and never if the minima are
+more than (1-c)*n of the template's n shingles. No windows are laid over the
+text: a retrieved template's shingles are looked up in all of it, and every
+stretch from one of them to another is a candidate, however long it is.
 """
 
 from __future__ import annotations
@@ -58,44 +58,48 @@ def shingles(words: list[bytes], p: LicenseScan, table) -> np.ndarray:
     return WindowHasher(w)(start, np.minimum(start + p.shingle, len(w)))
 
 
+def stretches(at: list[int], which: list[int], least: int) -> list[tuple[int, int, int]]:
+    """(first, last, distinct) of the stretches with ``least`` distinct shingles or more, at[i] being the place of shingle which[i].
+
+    Of the stretches that end at a place and hold equally many, the shortest.
+    """
+    recent, out = {}, []
+    for place, shingle in zip(at, which, strict=True):
+        recent.pop(shingle, None)
+        recent[shingle] = place  # in order of the last occurrence
+        if len(recent) >= least:
+            starts = list(recent.values())
+            out += [(starts[-d], place, d) for d in range(least, len(starts) + 1)]
+    return out
+
+
 class Library:
-    """Templates as shingle sets, with their MinHash values and the shingles that hold them."""
+    """Templates as shingle sets, with the shingles that hold their MinHash values."""
 
     def __init__(self, templates: dict[str, str], p: LicenseScan, table):
         self.p, self.names = p, list(templates)
         self.sets = [np.unique(shingles(normal_words(t.encode()), p, table)) for t in templates.values()]
-        self.salts = mix(np.arange(1, p.bands + 1, dtype=U))
-        self.mins = [self._mins(s) if len(s) else None for s in self.sets]
-        holders = [s[mix(s[:, None] ^ self.salts).argmin(axis=0)] for s in self.sets if len(s)]
-        self.seeds = np.unique(np.concatenate(holders)) if holders else np.zeros(0, dtype=U)
-
-    def _mins(self, s: np.ndarray) -> np.ndarray:
-        return mix(s[:, None] ^ self.salts).min(axis=0)
+        salts = mix(np.arange(1, p.bands + 1, dtype=U))
+        self.minima = [np.unique(s[mix(s[:, None] ^ salts).argmin(axis=0)]) if len(s) else s for s in self.sets]
+        self.seeds = np.unique(np.concatenate(self.minima)) if self.minima else np.zeros(0, dtype=U)
 
     def matches(self, found: np.ndarray) -> list[tuple[int, int, int, float]]:
         """(template, first shingle, shingles spanned, containment) of each match; overlapping ones give the best."""
-        at = np.flatnonzero(np.isin(found, self.seeds))
-        if not len(at):
+        seen = found[np.isin(found, self.seeds)]
+        if not len(seen):
             return []
         out = []
         for k, own in enumerate(self.sets):
-            n, best = len(own), []
-            if not n:
+            n = len(own)
+            if not n or not np.isin(self.minima[k], seen).any():
                 continue
-            for w in sorted({x for a in at.tolist() for x in (a // n, a // n - 1) if x >= 0}):
-                window = found[w * n : w * n + 2 * n]
-                if not (self._mins(window) == self.mins[k]).any():
-                    continue
-                inside = np.isin(window, own)
-                share = len(np.unique(window[inside])) / n
-                if share >= self.p.containment:
-                    hits = np.flatnonzero(inside)
-                    best.append((share, w * n + int(hits[0]), int(hits[-1] - hits[0]) + 1))
+            at = np.flatnonzero(np.isin(found, own))
+            least = next(d for d in range(1, n + 2) if d / n >= self.p.containment)
             taken = []
-            for share, first, span in sorted(set(best), key=lambda b: (-b[0], b[1])):
-                if all(first + span <= f or f + s <= first for f, s in taken):
-                    taken.append((first, span))
-                    out.append((k, first, span, share))
+            for first, last, d in sorted(stretches(at.tolist(), np.searchsorted(own, found[at]).tolist(), least), key=lambda b: (-b[2], b[1] - b[0], b[0])):
+                if all(last < f or t < first for f, t in taken):
+                    taken.append((first, last))
+                    out.append((k, first, last - first + 1, d / n))
         return sorted(out, key=lambda m: (m[1], m[0]))
 
 

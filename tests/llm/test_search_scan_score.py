@@ -142,3 +142,35 @@ def test_sum_of_squares_equals_all_pairs():
     raw = 0.1 + sum(m.weight[i] * a for i, a in zip(f, v, strict=True))
     raw += sum(float(m.factor[f[i]] @ m.factor[f[j]]) * v[i] * v[j] for i in range(len(f)) for j in range(i))
     assert m.scores([at], [x], stats)[0] == pytest.approx(1 / (1 + math.exp(-raw)), rel=1e-4)
+
+
+def test_license_scan_finds_notices_with_words_inserted_wherever_they_start(spark):
+    notice = [f"t{i}" for i in range(30)]  # 26 shingles, of which an insertion leaves 22
+    texts = []
+    for inserted in (4, 10, 30, 400):
+        for start in range(26):
+            texts.append(" ".join([f"a{i}" for i in range(start)] + notice[:15] + [f"x{i}" for i in range(inserted)] + notice[15:] + [f"z{i}" for i in range(60)]))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {x.doc_id: x for x in ls.scan_licenses(df, {"notice": " ".join(notice)}).collect()}
+    words = [30 + n for n in (4, 10, 30, 400) for _ in range(26)]
+    assert [(i, got[i].start_word, got[i].n_words, got[i].containment) for i in sorted(got)] == [(i, i % 26, n, 22 / 26) for i, n in enumerate(words)]
+
+
+def holds_anywhere(text, template, p):
+    """Whether the text's shingles, wherever they are, hold enough of the template's."""
+    words, own = (ls.normal_words(t.encode()) for t in (text, template))
+    sets = [{tuple(w[i : i + p.shingle]) for i in range(max(1, len(w) - p.shingle + 1))} for w in (words, own)]
+    return len(sets[0] & sets[1]) / len(sets[1]) >= p.containment
+
+
+def test_license_scan_matches_brute_force_without_a_grid(spark):
+    r = random.Random(5)
+    p, texts = ls.LicenseScan(), []
+    for _ in range(120):
+        words = r.choice(list(ls.TEMPLATES.values())).split()
+        for _ in range(r.randrange(3)):
+            i = r.randrange(len(words) + 1)
+            words[i:i] = [f"w{r.randrange(500)}" for _ in range(r.choice([1, 5, 20, 60]))]
+        texts.append(" ".join([f"w{r.randrange(500)}" for _ in range(r.randrange(80))] + words + [f"w{r.randrange(500)}" for _ in range(r.randrange(80))]))
+    got = {(x.doc_id, x.license) for x in ls.scan_licenses(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert got == {(i, name) for i, t in enumerate(texts) for name, template in ls.TEMPLATES.items() if holds_anywhere(t, template, p)}
