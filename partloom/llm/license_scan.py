@@ -58,19 +58,40 @@ def shingles(words: list[bytes], p: LicenseScan, table) -> np.ndarray:
     return WindowHasher(w)(start, np.minimum(start + p.shingle, len(w)))
 
 
-def stretches(at: list[int], which: list[int], least: int) -> list[tuple[int, int, int]]:
-    """(first, last, distinct) of the stretches with ``least`` distinct shingles or more, at[i] being the place of shingle which[i].
-
-    Of the stretches that end at a place and hold equally many, the shortest.
+def stretches(at: list[int], which: list[int], least: int, n: int) -> list[tuple[int, int, int]]:
+    """(first, last, distinct) of the best disjoint stretches with ``least`` distinct shingles of n or more.
+
+    at[i] is the place of shingle which[i]. Best is the largest sum of distinct
+    shingles, where a gap of g places costs g/n of a shingle and one at most (a
+    stretch keeps some worth whatever its gaps), then the fewest places. So
+    copies that follow each other stay apart, and a stray shingle far from a
+    copy doesn't extend it.
     """
-    recent, out = {}, []
-    for place, shingle in zip(at, which, strict=True):
+    recent, gaps, best, ends = {}, [0], [(0, 0)], [None]
+    for i, (place, shingle) in enumerate(zip(at, which, strict=True)):
+        if i:
+            gaps.append(gaps[-1] + min(place - at[i - 1] - 1, n))
         recent.pop(shingle, None)
-        recent[shingle] = place  # in order of the last occurrence
+        recent[shingle] = i  # in order of the last occurrence
+        top, end = best[i], None
         if len(recent) >= least:
             starts = list(recent.values())
-            out += [(starts[-d], place, d) for d in range(least, len(starts) + 1)]
-    return out
+            for d in range(least, len(starts) + 1):
+                s = starts[-d]
+                worth = (best[s][0] + max(1, n * d - gaps[i] + gaps[s]), best[s][1] - (place - at[s] + 1))
+                if worth > top:
+                    top, end = worth, (s, d)
+        best.append(top)
+        ends.append(end)
+    out, i = [], len(at)
+    while i:
+        if ends[i]:
+            s, d = ends[i]
+            out.append((at[s], at[i - 1], d))
+            i = s
+        else:
+            i -= 1
+    return out[::-1]
 
 
 class Library:
@@ -84,7 +105,7 @@ class Library:
         self.seeds = np.unique(np.concatenate(self.minima)) if self.minima else np.zeros(0, dtype=U)
 
     def matches(self, found: np.ndarray) -> list[tuple[int, int, int, float]]:
-        """(template, first shingle, shingles spanned, containment) of each match; overlapping ones give the best."""
+        """(template, first shingle, shingles spanned, containment) of each match; those of one template don't overlap."""
         seen = found[np.isin(found, self.seeds)]
         if not len(seen):
             return []
@@ -95,11 +116,8 @@ class Library:
                 continue
             at = np.flatnonzero(np.isin(found, own))
             least = next(d for d in range(1, n + 2) if d / n >= self.p.containment)
-            taken = []
-            for first, last, d in sorted(stretches(at.tolist(), np.searchsorted(own, found[at]).tolist(), least), key=lambda b: (-b[2], b[1] - b[0], b[0])):
-                if all(last < f or t < first for f, t in taken):
-                    taken.append((first, last))
-                    out.append((k, first, last - first + 1, d / n))
+            for first, last, d in stretches(at.tolist(), np.searchsorted(own, found[at]).tolist(), least, n):
+                out.append((k, first, last - first + 1, d / n))
         return sorted(out, key=lambda m: (m[1], m[0]))
 
 
@@ -122,8 +140,8 @@ def _scanner(templates: dict[str, str], p: LicenseScan):
 def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, params: LicenseScan = LicenseScan()) -> DataFrame:
     """docs (doc_id, text, ...) -> doc_id, license, start_word, n_words, containment: a row per match.
 
-    Words are counted after normalisation. Matches of one template that overlap
-    give the one with the largest containment, then the first; different
+    Words are counted after normalisation. Matches of one template share no
+    shingle and are chosen by ``stretches``, a match for each copy; different
     templates may overlap. Null and empty texts have no match, a template
     without words matches nothing, repeated rows give repeated matches, and
     other columns are ignored.

@@ -174,3 +174,23 @@ def test_license_scan_matches_brute_force_without_a_grid(spark):
         texts.append(" ".join([f"w{r.randrange(500)}" for _ in range(r.randrange(80))] + words + [f"w{r.randrange(500)}" for _ in range(r.randrange(80))]))
     got = {(x.doc_id, x.license) for x in ls.scan_licenses(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
     assert got == {(i, name) for i, t in enumerate(texts) for name, template in ls.TEMPLATES.items() if holds_anywhere(t, template, p)}
+
+
+def test_license_scan_gives_a_match_for_each_of_adjacent_copies(spark):
+    notice = [f"t{i}" for i in range(30)]
+    early, late = (notice[:i] + [f"x{j}" for j in range(20)] + notice[i:] for i in (8, 22))
+    texts = [notice * k for k in (1, 2, 3, 5, 40)] + [early + late + early, late + early, notice[9:14] + ["far"] * 500 + notice[:11] + ["other"] + notice[11:]]
+    df = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = {}
+    for x in ls.scan_licenses(df, {"notice": " ".join(notice)}).collect():
+        got.setdefault(x.doc_id, []).append((x.start_word, x.n_words, x.containment))
+    for i, k in enumerate((1, 2, 3, 5, 40)):
+        assert sorted(got[i]) == [(30 * c, 30, 1.0) for c in range(k)]
+    assert sorted(got[5]) == [(50 * c, 50, 22 / 26) for c in range(3)] and sorted(got[6]) == [(50 * c, 50, 22 / 26) for c in range(2)]
+    assert got[7] == [(505, 31, 22 / 26)]  # the stray shingle at the front is not worth the gap
+
+
+def test_license_scan_of_very_many_copies_is_quick():
+    n, copies = 26, 4000
+    at = [c * (n + 4) + i for c in range(copies) for i in range(n)]
+    assert ls.stretches(at, list(range(n)) * copies, 21, n) == [(c * (n + 4), c * (n + 4) + n - 1, n) for c in range(copies)]
