@@ -7,7 +7,9 @@ the next. All but the last return the columns of ``documents``.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from partloom.llm import exact_dedup, mixing, near_dedup, packing, quality_fm
@@ -22,15 +24,13 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the document with the largest doc_id."""
-    kept = exact_dedup.exact_dedup(docs, exact_dedup.older_half(docs)).where("kept")
-    return _only(docs, kept)
+    """Of equal texts one row, that with the largest doc_id; a null doc_id counts as the smallest."""
+    return _only(docs, lambda keyed: exact_dedup.exact_dedup(keyed, exact_dedup.older_half(keyed)), F.asc_nulls_first("doc_id"))
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group, five words to a shingle."""
-    kept = near_dedup.near_duplicates(docs).where("kept")
-    return _only(docs, kept)
+    """One row of each near-duplicate group, five words to a shingle: that with the smallest doc_id, a null counting as the largest."""
+    return _only(docs, near_dedup.near_duplicates, F.asc_nulls_last("doc_id"))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,10 +43,18 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack_documents(docs, packing.Packing(tokenizer_path()))
 
 
-def _only(docs: DataFrame, kept: DataFrame) -> DataFrame:
-    """The rows of docs whose doc_id is kept; a null doc_id counts as a value."""
-    ids = kept.select(F.col("doc_id").alias("id")).distinct().alias("kept")
-    return docs.alias("docs").join(ids, F.col("docs.doc_id").eqNullSafe(F.col("kept.id")), "left_semi")
+def _only(docs: DataFrame, dedup: Callable[[DataFrame], DataFrame], order: Column) -> DataFrame:
+    """The rows of docs that dedup, given (doc_id, text), marks as kept, each row a document of its own.
+
+    Where doc_id repeats or is null, rows get keys in ``order``, written once, that stand in for it.
+    """
+    if docs.groupBy("doc_id").count().where("count > 1 or doc_id is null").isEmpty():
+        kept = dedup(docs).where("kept").select(F.col("doc_id").alias("id")).alias("kept")
+        return docs.alias("docs").join(kept, F.col("docs.doc_id") == F.col("kept.id"), "left_semi")
+    rows = docs.select(F.struct(*docs.columns).alias("row"), "doc_id", F.monotonically_increasing_id().alias("tie"))
+    keyed = materialise(rows.orderBy(order, "tie").select("row", F.monotonically_increasing_id().alias("key")), "keyed")
+    kept = dedup(keyed.select(F.col("key").alias("doc_id"), F.col("row.text").alias("text"))).where("kept")
+    return keyed.join(kept.select(F.col("doc_id").alias("key")), "key", "left_semi").select("row.*")
 
 
 STAGES = [("quality", quality), ("exact dedup", exact), ("near dedup", near), ("mixing", mix), ("packing", pack)]

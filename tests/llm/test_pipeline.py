@@ -71,3 +71,19 @@ def test_run_gives_the_last_stage(spark, folder):
 
 def test_crc_is_of_little_endian_ids():
     assert zlib.crc32(np.array([1], dtype="<u4").tobytes()) == zlib.crc32(b"\x01\x00\x00\x00")
+
+
+def test_dedup_stages_keep_one_row_of_each_group_whatever_the_ids(spark):
+    long = [" ".join(f"{c}{i}" for i in range(60)) for c in "abcdefg"]
+    close = [t + " end" for t in long]
+    rows = [(1, long[0], "x"), (1, long[0], "y"), (1, long[1], "x"), (2, long[1], "x"), (3, long[1], "x")]  # equal rows but one column; one id of two texts
+    rows += [(None, long[2], "x"), (None, long[2], "x"), (None, long[3], "x"), (9, long[3], "x"), (None, long[4], "x")]
+    out = corpus_pipeline.exact(spark, spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3), "")
+    got = Counter((r.doc_id, r.text) for r in out.collect())
+    assert out.columns == ["doc_id", "text", "source"]
+    assert got == Counter([(1, long[0]), (3, long[1]), (None, long[2]), (9, long[3]), (None, long[4])])
+
+    rows = [(1, long[0], "x"), (1, long[0], "y"), (1, close[1], "x"), (0, long[1], "x"), (None, long[2], "x"), (None, close[2], "x"), (None, long[3], "x"), (4, close[3], "x"), (None, None, "x")]
+    out = corpus_pipeline.near(spark, spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3), "")
+    got = Counter((r.doc_id, r.text if r.doc_id is not None else r.text and r.text[:2]) for r in out.collect())
+    assert got == Counter([(1, long[0]), (0, long[1]), (None, "c0"), (4, close[3]), (None, None)])
