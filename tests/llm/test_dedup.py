@@ -1,6 +1,7 @@
 """Exact, near and substring dedup against brute force."""
 
 import hashlib
+import math
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -136,3 +137,10 @@ def test_perfect_hash_is_minimal(n):
     digests = [hashlib.sha256(str(i).encode()).digest() for i in range(n)]
     shifts = ex.build(digests, 4)
     assert sorted(ex.find(digests, shifts, n).tolist()) == list(range(n))
+
+
+def test_sketch_filter_misses_far_less_than_the_banding():
+    p = nd.NearDedup()
+    s, n = p.percent / 100, p.coordinates
+    fails = sum(math.comb(n, k) * s**k * (1 - s) ** (n - k) for k in range(p.least_agree))
+    assert fails < (1 - s**p.rows) ** p.bands / 100
