@@ -22,22 +22,22 @@ def written(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def component_labels(edges: DataFrame, rounds: int = 64) -> DataFrame:
+def component_labels(edges: DataFrame) -> DataFrame:
     """edges (a, b) -> (node, comp): the least node that each can reach.
 
     Labels spread along edges and jump to their label's label; each round is written, so its work is done once.
+    Labels only fall, so rounds end when none has changed.
     """
     both = written(edges.select("a", "b").union(edges.select("b", "a")).distinct())
     labels = written(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("comp")))
-    for _ in range(rounds):
+    while True:
         near = both.join(labels.select(F.col("node").alias("b"), F.col("comp").alias("c")), "b").groupBy(F.col("a").alias("node")).agg(F.min("c").alias("c"))
         step = labels.join(near, "node").select("node", F.least("comp", "c").alias("comp"), F.col("comp").alias("was"))
         jump = step.select(F.col("node").alias("comp"), F.col("comp").alias("top"))
         then = written(step.join(jump, "comp", "left").select("node", F.coalesce("top", "comp").alias("comp"), "was"))
         labels = then.select("node", "comp")
         if then.where("comp <> was").isEmpty():
-            break
-    return labels
+            return labels
 
 
 def greedy_one_to_one(candidates: DataFrame) -> DataFrame:

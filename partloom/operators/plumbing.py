@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from partloom.functions.text import family_stem, hash_fraction
+from partloom.operators.greedy import written
 
 
 def first_by(df: DataFrame, keys: list[str], *order) -> DataFrame:
@@ -176,13 +177,21 @@ def guard_holdout(rows: DataFrame, holdout: DataFrame, key: str) -> DataFrame:
     return joined.where(F.when(F.col("_held"), F.raise_error(clash).cast("boolean")).otherwise(F.lit(True))).drop("_held")
 
 
-def assembly_paths(nodes: DataFrame, node: str = "part_id", parent: str = "parent_id", name: str = "name", sep: str = "/", most: int = 64) -> DataFrame:
-    """Path of names from the root down to each node, by doubling: each round joins paths to the paths of their heads."""
+def assembly_paths(nodes: DataFrame, node: str = "part_id", parent: str = "parent_id", name: str = "name", sep: str = "/") -> DataFrame:
+    """Path of names from the root down to each node, by doubling: each round joins paths to the paths of their heads.
+
+    Heads alone are doubled first, an action that gives the number of rounds; a cycle of parents raises ValueError.
+    """
     now = nodes.select(F.col(node).alias("id"), F.col(parent).alias("head"), F.col(name).cast("string").alias("path"), F.lit(1).alias("depth"))
     known = nodes.select(F.col(node).alias("known"))
     now = now.join(known, F.col("head") == F.col("known"), "left").withColumn("head", F.col("known")).drop("known")
-    while most > 1:
+    heads, rounds, most = written(now.select("id", "head").distinct()), 0, nodes.count()
+    while not heads.where("head is not null").isEmpty():
+        if 1 << rounds >= most:
+            raise ValueError(f"{parent} has a cycle")
+        above = heads.select(F.col("id").alias("head"), F.col("head").alias("next"))
+        heads, rounds = written(heads.join(above, "head", "left").select("id", F.col("next").alias("head")).distinct()), rounds + 1
+    for _ in range(rounds):
         up = now.select(F.col("id").alias("head"), F.col("head").alias("next"), F.col("path").alias("above"), F.col("depth").alias("d"))
         now = now.join(up, "head", "left").select("id", F.col("next").alias("head"), F.when(F.col("above").isNotNull(), F.concat_ws(sep, "above", "path")).otherwise(F.col("path")).alias("path"), (F.col("depth") + F.coalesce("d", F.lit(0))).alias("depth"))
-        most //= 2
     return now.select("id", "path", "depth")

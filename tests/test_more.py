@@ -151,3 +151,12 @@ def test_more_sources(spark, tmp_path):
     sinks.write_datasmith(p, f"{tmp_path}/scene")
     assert readers.read_datasmith(spark, f"{tmp_path}/scene").where("part_id = 'u'").first().translation == [pytest.approx(10.0), pytest.approx(20.0), pytest.approx(30.0)]
     assert json.loads(sinks.event_lines(p.select("part_id", F.lit(None).cast("int").alias("x"))).first().value) == {"part_id": "u"}
+
+
+def test_paths_of_deep_trees_and_of_cycles(spark):
+    df = spark.createDataFrame([(i, i - 1 if i else None, f"n{i}") for i in range(100)], "part_id long, parent_id long, name string")
+    got = {r.id: (r.path, r.depth) for r in plumbing.assembly_paths(df).collect()}
+    assert got == {i: ("/".join(f"n{j}" for j in range(i + 1)), i + 1) for i in range(100)}
+    ring = spark.createDataFrame([(1, 3, "a"), (2, 1, "b"), (3, 2, "c"), (4, None, "d")], df.schema)
+    with pytest.raises(ValueError, match="cycle"):
+        plumbing.assembly_paths(ring)
