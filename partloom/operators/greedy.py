@@ -2,24 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-
-def written(df: DataFrame) -> DataFrame:
-    """df as a table in the folder the cluster shares (a local one where it names none): lineage ends there."""
-    spark = df.sparkSession
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not named:
-        named = tempfile.mkdtemp(prefix="partloom-")
-        spark.conf.set("spark.checkpoint.dir", named)
-    path = f"{named.rstrip('/')}/partloom-{spark.sparkContext.applicationId}/greedy-{uuid.uuid4().hex[:12]}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+from partloom.tables import written
 
 
 def component_labels(edges: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from partloom.functions.text import family_stem, hash_fraction
-from partloom.operators.greedy import written
+from partloom.tables import written
 
 
 def first_by(df: DataFrame, keys: list[str], *order) -> DataFrame:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import functions as F
@@ -10,6 +9,7 @@ from pyspark.sql import functions as F
 from partloom.operators import summaries as sm
 from partloom.operators.evalstats import masked_mean as mean_of
 from partloom.plans.adapters import ctes, table, view
+from partloom.tables import home
 
 QUERIES, SQL = {}, {}
 
@@ -84,8 +84,7 @@ def event_resume_stream(spark, sf_dir):
     """The event table through the resumable sink, twice: the second run adds nothing."""
     from partloom.streaming.events import run_resumable
 
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp()
-    root = f"{named.rstrip('/')}/stream-{spark.sparkContext.applicationId}-{abs(hash(sf_dir)) % 10**8}-{uuid.uuid4().hex[:8]}"
+    root = f"{home(spark)}/stream-{uuid.uuid4().hex[:12]}"
     schema = table(spark, sf_dir, "events").schema
     for again in range(2):
         rows = spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parquet*")
