@@ -14,6 +14,10 @@ within a bucket: its members meet its smallest id (a linear number of pairs),
 and what such stars leave undecided, members of buckets that still hold more
 than one component, is compared block by block inside tasks, which emit links
 rather than pairs.
+
+Buckets, hubs and groups of copies of any size are split: a bucket's or a
+class's row reaches its many rows by broadcast (``keyed_join``), and a hub's
+text travels once for every ``hub`` documents that are compared with it.
 """
 
 from __future__ import annotations
@@ -26,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from partloom.llm.components import connected
-from partloom.llm.runtime import materialise, utf8
+from partloom.llm.runtime import keyed_join, materialise, utf8
 from partloom.llm.words import U, hash_words, in_steps, mix, shingle_sets, word_table
 
 
@@ -38,7 +42,8 @@ class NearDedup:
     sketches agree on at least percent/100 - slack of the coordinates; at 128
     coordinates 0.26 is seven standard deviations, and a pair at 0.8 fails with
     probability 8e-12, far below the banding's 5e-8. block: members that one
-    task compares with as many others.
+    task compares with as many others. hub: documents compared with one copy of
+    a hub's text.
     """
 
     shingle: int = 5
@@ -47,6 +52,7 @@ class NearDedup:
     rows: int = 4
     slack: float = 0.26
     block: int = 256
+    hub: int = 512
 
     @property
     def coordinates(self) -> int:
@@ -138,27 +144,33 @@ def _linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
 
 
 def _verifier(p: NearDedup):
+    """Rows (rep, part, id, text) in order, a hub's own row (null id) before those compared with it."""
+
     def run(batches):
         table = word_table()
+        head, held = None, None
         for batch in batches:
-            held_text, held = None, None
-            ok = []
-            for t1, t2 in zip(batch.column("t1"), batch.column("t2"), strict=True):
-                rep = t2.as_py()
-                if rep != held_text:
-                    held_text, held = rep, _set_of(rep, p, table)
-                ok.append(_linked(_set_of(t1.as_py(), p, table), held, p.percent))
-            yield batch.select(["id", "rep"]).filter(pa.array(ok, type=pa.bool_()))
+            found = []
+            for rep, part, doc, text in zip(*(batch.column(c).to_pylist() for c in ("rep", "part", "id")), batch.column("text"), strict=True):
+                if doc is None:
+                    head, held = (rep, part), _set_of(text.as_py(), p, table)
+                elif head == (rep, part) and _linked(_set_of(text.as_py(), p, table), held, p.percent):
+                    found.append((doc, rep))
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([x for _, x in found], pa.int64())], names=["a", "b"])
 
     return run
 
 
-def _verify(pairs: DataFrame, docs: DataFrame, p: NearDedup, label: str) -> DataFrame:
-    one = docs.select(F.col("doc_id").alias("id"), F.col("text").alias("t1"))
-    two = docs.select(F.col("doc_id").alias("rep"), F.col("text").alias("t2"))
-    joined = pairs.select("id", "rep").join(one, "id").join(two, "rep").select("id", "rep", "t1", "t2")
-    links = joined.mapInArrow(_verifier(p), "id long, rep long")
-    return materialise(links.select(F.col("id").alias("a"), F.col("rep").alias("b")), label)
+def _verify(pairs: DataFrame, texts: DataFrame, p: NearDedup, label: str) -> DataFrame:
+    """The pairs (id, rep) that are links. Texts are shuffled once, then only those that take part."""
+    pairs = materialise(pairs.select("id", "rep"), "pairs")
+    hubs = materialise(pairs.groupBy("rep").agg(F.count("*").alias("n_rows")).withColumn("parts", F.ceil(F.col("n_rows") / p.hub).cast("int")), "hubs")
+    heads = hubs.select(F.col("rep").alias("doc_id"), "rep", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(None).cast("long").alias("id"))
+    others = keyed_join(pairs, hubs, ["rep"], pairs.count(), "n_rows").select(F.col("id").alias("doc_id"), "rep", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int").alias("part"), "id")
+    rows = heads.union(others).join(texts, "doc_id").select("rep", "part", "id", "text")
+    rows = rows.repartition("rep", "part").sortWithinPartitions("rep", "part", F.asc_nulls_first("id"))
+    return materialise(rows.mapInArrow(_verifier(p), "a long, b long"), label)
 
 
 def _with_component(df: DataFrame, labels: DataFrame, key: str, name: str) -> DataFrame:
@@ -178,7 +190,8 @@ def _block_pairs(members: DataFrame, block: int) -> DataFrame:
     """members (key, id, n_members, ...) -> one row for each pair of blocks a member takes part in.
 
     A bucket of up to ``block`` members is one task group; a larger one is dealt
-    into blocks, and every two blocks meet in a group of their own.
+    into blocks (``mine``), and every two blocks meet in a group of their own,
+    in which only members of different blocks are compared.
     """
     dealt = members.withColumn("k", F.ceil(F.col("n_members") / F.lit(block)).cast("int"))
     dealt = dealt.withColumn("mine", F.when(F.col("k") > 1, F.pmod(F.xxhash64("id"), F.col("k"))).otherwise(0).cast("int"))
@@ -213,8 +226,9 @@ def _owned(rows: pa.Table, p: NearDedup):
     comp, n, bands = rows.column("comp").to_numpy(), rows.column("n").to_numpy(), rows.column("bands")
     bands = bands.combine_chunks().values.to_numpy().reshape(-1, p.bands)
     sketch = np.frombuffer(b"".join(rows.column("sketch").to_pylist()), dtype=np.uint8).reshape(-1, p.coordinates)
+    mine, one_block = rows.column("mine").to_numpy(), rows.column("lo")[0] == rows.column("hi")[0]
     for i in range(len(comp) - 1):
-        j = i + 1 + np.flatnonzero(comp[i + 1 :] != comp[i])
+        j = i + 1 + np.flatnonzero((comp[i + 1 :] != comp[i]) & (one_block | (mine[i + 1 :] != mine[i])))
         j = j[100 * np.minimum(n[j], n[i]) >= p.percent * np.maximum(n[j], n[i])]
         if len(j):
             j = j[(sketch[j] == sketch[i]).sum(axis=1) >= p.least_agree]
@@ -282,7 +296,8 @@ def near_duplicates(docs: DataFrame, params: NearDedup = NearDedup()) -> DataFra
     One row per input row. A null, empty or blank text has no shingles and is
     linked with nothing. Rows with one doc_id count as one document when
     components are named. A row with a null doc_id is kept, with a null
-    component. Other columns are ignored; an empty table gives an empty result.
+    component. Texts of any length are taken whole. Other columns are ignored;
+    an empty table gives an empty result.
     """
     p = params
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), utf8("text").alias("text"))
@@ -290,7 +305,7 @@ def near_duplicates(docs: DataFrame, params: NearDedup = NearDedup()) -> DataFra
     sk = materialise(slim.mapInArrow(_sketcher(p), schema), "sketches")
 
     with_words = sk.where("n > 0 and doc_id is not null")
-    classes = with_words.groupBy("d1", "d2", "n").agg(F.min("doc_id").alias("class_id"))
+    classes = with_words.groupBy("d1", "d2", "n").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("copies"))
     classes = materialise(classes, "classes")
     reps = materialise(
         with_words.join(classes.select(F.col("class_id").alias("doc_id"), "d1", "d2", "n"), ["doc_id", "d1", "d2", "n"], "left_semi").select(F.col("doc_id").alias("id"), "n", "bands", "sketch"),
@@ -299,14 +314,13 @@ def near_duplicates(docs: DataFrame, params: NearDedup = NearDedup()) -> DataFra
 
     banded = reps.select("id", F.explode("bands").alias("key"))
     buckets = materialise(banded.groupBy("key").agg(F.min("id").alias("first"), F.count("*").alias("n_members")).where("n_members > 1"), "buckets")
-    members = materialise(banded.join(buckets, "key"), "members")
-    stars = members.where("id <> first").groupBy("id", F.col("first").alias("rep")).agg(F.count("*").alias("shared"))
+    held = buckets.agg(F.coalesce(F.sum("n_members"), F.lit(0))).first()[0]
+    members = materialise(keyed_join(banded, buckets, ["key"], held, "n_members"), "members")
+    stars = materialise(members.where("id <> first").groupBy("id", F.col("first").alias("rep")).agg(F.count("*").alias("shared")), "stars")
     sketches = reps.select("id", "n", "sketch")
-    near = (
-        stars.join(sketches.select("id", F.col("n").alias("n1"), F.col("sketch").alias("s1")), "id")
-        .join(sketches.select(F.col("id").alias("rep"), F.col("n").alias("n2"), F.col("sketch").alias("s2")), "rep")
-        .mapInArrow(_agreeing(p), "id long, rep long, shared long")
-    )
+    centres = stars.groupBy("rep").agg(F.count("*").alias("n_rows")).join(sketches.select(F.col("id").alias("rep"), F.col("n").alias("n2"), F.col("sketch").alias("s2")), "rep")
+    met = stars.join(sketches.select("id", F.col("n").alias("n1"), F.col("sketch").alias("s1")), "id")
+    near = keyed_join(met, materialise(centres, "centres"), ["rep"], stars.count(), "n_rows").mapInArrow(_agreeing(p), "id long, rep long, shared long")
     near = materialise(near, "candidates")
 
     texts = slim.where("doc_id is not null and text is not null")
@@ -317,18 +331,19 @@ def near_duplicates(docs: DataFrame, params: NearDedup = NearDedup()) -> DataFra
     rest = _with_component(_with_component(rest, labels, "id", "c1"), labels, "rep", "c2").where("c1 <> c2")
     labels = _merged(labels, _verify(rest, texts, p, "links2"))
 
-    crowd = _with_component(members.where("n_members > 2"), labels, "id", "comp")
-    mixed = crowd.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("key")
-    crowd = crowd.join(mixed, "key").select("key", "id", "comp", "n_members").join(reps, "id")
-    active = _in_groups(_block_pairs(crowd, p.block)).select("key", "lo", "hi", "id", "comp", "n", "bands", "sketch")
+    crowd = materialise(_with_component(members.where("n_members > 2"), labels, "id", "comp").select("key", "id", "comp", "n_members"), "crowd")
+    mixed = materialise(crowd.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("n_rows")).where("low < high").select("key", "n_rows"), "mixed")
+    crowd = keyed_join(crowd, mixed, ["key"], held, "n_rows").drop("n_rows").join(reps, "id")
+    active = _in_groups(_block_pairs(crowd, p.block)).select("key", "lo", "hi", "mine", "id", "comp", "n", "bands", "sketch")
     active = materialise(active.mapInArrow(_unresolved(p), "key long, id long, comp long").distinct(), "unresolved")
-    sizes = active.groupBy("key").agg(F.count("*").alias("n_members"))
-    late = active.join(sizes, "key").join(reps, "id").join(texts.select(F.col("doc_id").alias("id"), "text"), "id")
-    late = _in_groups(_block_pairs(late, p.block)).select("key", "lo", "hi", "id", "comp", "n", "bands", "sketch", "text")
+    sizes = materialise(active.groupBy("key").agg(F.count("*").alias("n_members")), "sizes")
+    late = keyed_join(active, sizes, ["key"], active.count(), "n_members").join(reps, "id").join(texts.select(F.col("doc_id").alias("id"), "text"), "id")
+    late = _in_groups(_block_pairs(late, p.block)).select("key", "lo", "hi", "mine", "id", "comp", "n", "bands", "sketch", "text")
     labels = _merged(labels, materialise(late.mapInArrow(_block_links(p), "a long, b long"), "links3"))
 
-    named = _with_component(classes, labels, "class_id", "component_id").select("d1", "d2", F.col("n"), "component_id")
-    out = sk.select("doc_id", "n", "d1", "d2").join(named, ["d1", "d2", "n"], "left")
-    component = F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("component_id")).otherwise(F.col("doc_id"))
-    out = out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"))
-    return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    named = _with_component(classes, labels, "class_id", "component_id").select("d1", "d2", "n", "component_id", "copies")
+    named = materialise(named, "named")
+    one = with_words.select("doc_id", "n", "d1", "d2")
+    found = keyed_join(one, named, ["d1", "d2", "n"], with_words.count(), "copies").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+    alone = sk.where("n = 0 or doc_id is null").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
+    return found.union(alone).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))

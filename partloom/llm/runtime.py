@@ -3,49 +3,42 @@
 from __future__ import annotations
 
 import sys
-import tempfile
 import types
-import uuid
 
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import partloom
+from partloom.tables import written
 
 # Executors need no installed copy of this package: its functions travel with the plan.
 cloudpickle.register_pickle_by_value(partloom)
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a local one only where the cluster names none."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not named:
-        named = tempfile.mkdtemp(prefix="partloom-")
-        spark.conf.set("spark.checkpoint.dir", named)
-    return named.rstrip("/")
-
-
-def _home(spark: SparkSession) -> str:
-    return f"{shared_dir(spark)}/partloom-{spark.sparkContext.applicationId}"
+#: A key with more than 1/HOT of all rows is hot, so there are fewer than HOT hot keys.
+HOT = 512
+#: Rows of one key that a task takes without any care.
+FEW = 64
 
 
 def materialise(df: DataFrame, label: str) -> DataFrame:
-    """Write df to the shared folder and read it back: lineage ends there, and a lost executor costs no rework.
+    """df as a table in the shared folder: lineage ends there, and a lost executor costs no rework."""
+    return written(df, label)
 
-    Tables stay until ``release``; a returned DataFrame may still read them.
-    """
-    spark = df.sparkSession
-    path = f"{_home(spark)}/{label}-{uuid.uuid4().hex[:12]}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
 
+def keyed_join(rows: DataFrame, per_key: DataFrame, key: list[str], total: int, count: str) -> DataFrame:
+    """rows joined with per_key, a written table of one row per key, whose column ``count`` says how many of the ``total`` rows have it.
 
-def release(spark: SparkSession) -> None:
-    """Delete every table this session has put into the shared folder."""
-    jvm = spark._jvm
-    path = jvm.org.apache.hadoop.fs.Path(_home(spark))
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    Hot keys, fewer than HOT, meet their rows by a broadcast of their few rows; the others by a shuffle, in which
+    no key has more than total/HOT rows (or FEW).
+    """
+    limit = max(FEW, total // HOT)
+    hot, cold = per_key.where(F.col(count) > limit), per_key.where(F.col(count) <= limit)
+    if hot.isEmpty():
+        return rows.join(cold, key)
+    few = F.broadcast(hot)
+    return rows.join(few, key).unionByName(rows.join(F.broadcast(hot.select(*key)), key, "left_anti").join(cold, key))
 
 
 def worker_store(name: str, make, large: bool = False):
