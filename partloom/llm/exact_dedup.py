@@ -7,7 +7,8 @@ thousand; a bucket is one row: the displacements of a minimal perfect hash
 and the count. Incoming distinct digests look up their slot in their bucket's
 row and count as repeats only if all 32 bytes agree; the others are grouped
 among themselves. Copies are summed up before they move, so a text held by a
-third of all rows is one row per task.
+third of all rows is one row per task, and the few texts with so many copies
+are sent to their rows by broadcast (``keyed_join``).
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from partloom.llm.runtime import materialise
+from partloom.llm.runtime import keyed_join, materialise
 from partloom.llm.words import U, mix
 
 
@@ -128,13 +129,14 @@ def exact_dedup(docs: DataFrame, is_history, params: ExactDedup = ExactDedup())
     the incoming ones. One row per input row; equal texts form a group, null
     counts as empty, and the largest doc_id of a group stays. Of rows that
     share both text and doc_id all are marked as kept. A null doc_id wins only
-    against other nulls; its keep_id is then null. Other columns are ignored.
+    against other nulls; its keep_id is then null. Texts of any length are
+    hashed whole. Other columns are ignored; an empty table gives an empty result.
     """
     digest = F.unhex(F.sha2(F.coalesce(F.col("text"), F.lit("")).cast("binary"), 256))
     slim = materialise(docs.select(F.col("doc_id").cast("long").alias("doc_id"), digest.alias("digest"), F.coalesce(is_history, F.lit(False)).alias("old")), "digests")
-    groups = exact_groups(slim.where("old"), slim.where("not old"), params)
+    groups = materialise(exact_groups(slim.where("old"), slim.where("not old"), params).select("digest", "winner", "count"), "groups")
     none = F.lit(-(1 << 63))
-    out = slim.join(groups, "digest").withColumn("keep_id", F.when(F.col("winner") != none, F.col("winner")))
+    out = keyed_join(slim.select("doc_id", "digest"), groups, ["digest"], slim.count(), "count").withColumn("keep_id", F.when(F.col("winner") != none, F.col("winner")))
     return out.select("doc_id", "keep_id", F.col("count").alias("group_size"), F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))
 
 
