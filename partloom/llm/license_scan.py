@@ -7,7 +7,11 @@ with ``containment`` c of the template lacks all of them with probability
 (1-c)**bands, below 1e-22 at 0.8 and 32 bands, and never if the minima are
 more than (1-c)*n of the template's n shingles. No windows are laid over the
 text: a retrieved template's shingles are looked up in all of it, and every
-stretch from one of them to another is a candidate, however long it is.
+stretch from one of them to another is a candidate, however long it is. Its
+containment is counted on words, not on hashes.
+
+A table from minima to templates retrieves, so a text costs no more for
+templates that it has nothing of.
 """
 
 from __future__ import annotations
@@ -34,6 +38,22 @@ TEMPLATES = {
     "cc-by-nc-4.0": "Licensed under CC BY-NC 4.0.",
     "cc-by": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
     "no-warranty": 'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED',
+    "mit-text": """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
+The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.""",
+    "isc-text": """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.
+THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.""",
+    "bsd-2-clause-text": """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:
+1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.""",
+    "zlib-text": """This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software.
+Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:
+1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required.
+2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software.
+3. This notice may not be removed or altered from any source distribution.""",
+    "unlicense-text": """This is free and unencumbered software released into the public domain.
+Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.""",
 }
 OUTER = b".,;:!?()[]{}\"'`*"
 
@@ -94,30 +114,42 @@ def stretches(at: list[int], which: list[int], least: int, n: int) -> list[tuple
     return out[::-1]
 
 
+def word_shingles(words: list[bytes], k: int) -> list[tuple[bytes, ...]]:
+    return [tuple(words[i : i + k]) for i in range(max(1, len(words) - k + 1))] if words else []
+
+
 class Library:
-    """Templates as shingle sets, with the shingles that hold their MinHash values."""
+    """Templates as shingle sets, and which templates have a shingle as a MinHash value."""
 
     def __init__(self, templates: dict[str, str], p: LicenseScan, table):
         self.p, self.names = p, list(templates)
-        self.sets = [np.unique(shingles(normal_words(t.encode()), p, table)) for t in templates.values()]
+        words = [normal_words(t.encode()) for t in templates.values()]
+        self.sets = [np.unique(shingles(w, p, table)) for w in words]
+        self.words = [set(word_shingles(w, p.shingle)) for w in words]
         salts = mix(np.arange(1, p.bands + 1, dtype=U))
-        self.minima = [np.unique(s[mix(s[:, None] ^ salts).argmin(axis=0)]) if len(s) else s for s in self.sets]
-        self.seeds = np.unique(np.concatenate(self.minima)) if self.minima else np.zeros(0, dtype=U)
-
-    def matches(self, found: np.ndarray) -> list[tuple[int, int, int, float]]:
+        minima = [np.unique(s[mix(s[:, None] ^ salts).argmin(axis=0)]) if len(s) else s for s in self.sets]
+        self.holders: dict[int, list[int]] = {}
+        for k, own in enumerate(minima):
+            for h in own.tolist():
+                self.holders.setdefault(h, []).append(k)
+        self.seeds = np.array(sorted(self.holders), dtype=U)
+
+    def matches(self, found: np.ndarray, words: list[bytes]) -> list[tuple[int, int, int, float]]:
         """(template, first shingle, shingles spanned, containment) of each match; those of one template don't overlap."""
-        seen = found[np.isin(found, self.seeds)]
-        if not len(seen):
+        if not len(found) or not len(self.seeds):
             return []
+        near = self.seeds[np.minimum(np.searchsorted(self.seeds, found), len(self.seeds) - 1)]
+        retrieved = {k for h in np.unique(found[near == found]).tolist() for k in self.holders[h]}
         out = []
-        for k, own in enumerate(self.sets):
-            n = len(own)
-            if not n or not np.isin(self.minima[k], seen).any():
-                continue
+        for k in sorted(retrieved):
+            own, n = self.sets[k], len(self.sets[k])
             at = np.flatnonzero(np.isin(found, own))
             least = next(d for d in range(1, n + 2) if d / n >= self.p.containment)
-            for first, last, d in stretches(at.tolist(), np.searchsorted(own, found[at]).tolist(), least, n):
-                out.append((k, first, last - first + 1, d / n))
+            for first, last, _ in stretches(at.tolist(), np.searchsorted(own, found[at]).tolist(), least, n):
+                span = word_shingles(words[first : last + self.p.shingle], self.p.shingle)
+                share = len(self.words[k].intersection(span)) / len(self.words[k])
+                if share >= self.p.containment:
+                    out.append((k, first, last - first + 1, share))
         return sorted(out, key=lambda m: (m[1], m[0]))
 
 
@@ -129,7 +161,7 @@ def _scanner(templates: dict[str, str], p: LicenseScan):
             rows = []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 words = normal_words(text) if text else []
-                for k, first, span, share in library.matches(shingles(words, p, table)):
+                for k, first, span, share in library.matches(shingles(words, p, table), words):
                     rows.append((doc, library.names[k], first, min(span + p.shingle - 1, len(words)), share))
             kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.float64())
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], type=kind) for i, kind in enumerate(kinds)], names=["doc_id", "license", "start_word", "n_words", "containment"])
@@ -143,8 +175,9 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, para
     Words are counted after normalisation. Matches of one template share no
     shingle and are chosen by ``stretches``, a match for each copy; different
     templates may overlap. Null and empty texts have no match, a template
-    without words matches nothing, repeated rows give repeated matches, and
-    other columns are ignored.
+    without words matches nothing, and without templates nothing matches.
+    Repeated rows give repeated matches, a null doc_id stays null, texts of any
+    length are scanned whole, and other columns are ignored.
     """
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), utf8("text").alias("text"))
-    return slim.mapInArrow(_scanner(templates or TEMPLATES, params), "doc_id long, license string, start_word long, n_words long, containment double")
+    return slim.mapInArrow(_scanner(TEMPLATES if templates is None else templates, params), "doc_id long, license string, start_word long, n_words long, containment double")
