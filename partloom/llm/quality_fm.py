@@ -187,7 +187,8 @@ def _feature_rows(p: QualityFM):
 def fit_on(docs: DataFrame, labels: DataFrame, params: QualityFM = QualityFM()) -> Model:
     """labels (doc_id, quality): the first ``sample`` of a seeded order of the rows that aren't held out.
 
-    Several labels of one document count as their larger one; null labels and
+    Several labels of one document count as their larger one, and of rows that
+    share a doc_id the one with the least text is fitted; null labels and
     labels without a document are left out.
     """
     p = params
@@ -195,8 +196,9 @@ def fit_on(docs: DataFrame, labels: DataFrame, params: QualityFM = QualityFM())
     usable = usable.groupBy("doc_id").agg(F.max(F.col("quality").cast("int")).alias("quality"))
     usable = usable.join(docs.select("doc_id").where("doc_id is not null").distinct(), "doc_id", "left_semi")
     picked = usable.orderBy(F.xxhash64(F.lit(p.seed), F.col("doc_id").cast("string")), "doc_id").limit(p.sample)
-    rows = _inputs(docs).join(picked, "doc_id").mapInArrow(_feature_rows(p), "at binary, value binary, stats binary, quality int")
-    rows = sorted(rows.collect(), key=lambda r: (bytes(r["at"]), bytes(r["value"]), r["quality"]))  # at most ``sample`` rows, and their repeats
+    rows = _inputs(docs).join(picked, "doc_id").groupBy("doc_id").agg(F.min(F.struct("text", "n_chars", "quality")).alias("row")).select("row.*")
+    rows = rows.mapInArrow(_feature_rows(p), "at binary, value binary, stats binary, quality int")
+    rows = sorted(rows.collect(), key=lambda r: (bytes(r["at"]), bytes(r["value"]), r["quality"]))  # at most ``sample`` rows
     stats = np.array([np.frombuffer(r["stats"]) for r in rows]).reshape(-1, STATS)
     return fit([np.frombuffer(r["at"], np.int32) for r in rows], [np.frombuffer(r["value"], np.float32) for r in rows], stats, np.array([r["quality"] for r in rows], float), p)
 
@@ -219,9 +221,10 @@ def _scorer(model: Model, p: QualityFM, out: str):
 def score_quality(docs: DataFrame, model: Model, params: QualityFM = QualityFM()) -> DataFrame:
     """docs (doc_id, text[, n_chars], ...) -> doc_id, held_out, score, predicted.
 
-    One row per input row, whole texts; null texts score as empty ones. Neither
-    labels nor lang, source or doc_id reach the score. Other columns are
-    ignored; an empty table gives an empty result.
+    One row per input row, whole texts of any length; null texts score as empty
+    ones. Neither labels nor lang, source or doc_id reach the score; repeated
+    rows have equal scores, and a row without a doc_id isn't held out. Other
+    columns are ignored; an empty table gives an empty result.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
     scored = _inputs(docs).mapInArrow(_scorer(model, params, "score"), f"doc_id {kind}, score double")
