@@ -39,7 +39,9 @@ def words_of(text: Column) -> Column:
 
 
 def _draw(p: Mixing) -> Column:
-    return F.md5(F.concat_ws(":", F.lit(p.seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))).cast("binary"))
+    """A seeded hash of the doc_id; rows without one are told apart by their size."""
+    key = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("null:"), F.col("size").cast("string")))
+    return F.md5(F.concat_ws(":", F.lit(p.seed), key).cast("binary"))
 
 
 def source_targets(sized: DataFrame, params: Mixing = Mixing()) -> DataFrame:
@@ -64,9 +66,10 @@ def mix_sources(docs: DataFrame, params: Mixing = Mixing()) -> DataFrame:
     """docs (doc_id, text, source, ...) -> doc_id, size, source_size, target, taken.
 
     One row per input row. Null texts have no words and are taken 0 times; rows
-    without a source form a source of their own, the last. Repeated rows count
-    one by one. A corpus without words has targets of 0. Other columns are
-    ignored; an empty table gives an empty result.
+    without a source form a source of their own, the last. Repeated rows and
+    rows without a doc_id count one by one, texts of any length whole. A corpus
+    without words has targets of 0. Other columns are ignored; an empty table
+    gives an empty result.
     """
     p = params
     sized = materialise(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), words_of(F.col("text")).alias("size")), "sized")
@@ -97,7 +100,9 @@ def mixed_documents(docs: DataFrame, params: Mixing = Mixing()) -> DataFrame:
 
     taken // size whole copies, and for a remaining part one copy cut to its
     first taken % size words (joined by one space; n_chars, if there is one,
-    follows the cut text). Documents taken 0 times go.
+    follows the cut text). Documents taken 0 times go. Of rows that agree in
+    doc_id, source and text one stands for all, with its other columns, and is
+    repeated as often as they are taken together.
     """
     names = ["doc_id", "source", "size", "text_hash"]
     of_row = {"doc_id": F.col("doc_id"), "source": F.col("source"), "size": words_of(F.col("text")), "text_hash": F.xxhash64("text")}

@@ -135,7 +135,7 @@ ran AS (
 flagged AS (SELECT *, cap * w_left <= w * left_ AS capped FROM ran),
 leveled AS (SELECT *, max(CASE WHEN NOT capped THEN left_ END) OVER () AS left0, max(CASE WHEN NOT capped THEN w_left END) OVER () AS w0 FROM flagged),
 targets AS (SELECT source, source_size, source_rows, CASE WHEN capped THEN CAST(cap AS DOUBLE) ELSE CAST(CAST(w * left0 AS BIGINT) AS DOUBLE) / CAST(CAST(w0 AS BIGINT) AS DOUBLE) END AS target FROM leveled),
-drawn AS (SELECT d.doc_id, d.source, d.size, t.source_size, t.source_rows, t.target, md5('{_MIX.seed}:' || coalesce(CAST(d.doc_id AS VARCHAR), 'null')) AS draw FROM sized d JOIN targets t ON d.source IS NOT DISTINCT FROM t.source),
+drawn AS (SELECT d.doc_id, d.source, d.size, t.source_size, t.source_rows, t.target, md5('{_MIX.seed}:' || coalesce(CAST(d.doc_id AS VARCHAR), 'null:' || CAST(d.size AS VARCHAR))) AS draw FROM sized d JOIN targets t ON d.source IS NOT DISTINCT FROM t.source),
 dealt AS (SELECT *, CAST('0x' || substr(draw, 1, 8) AS BIGINT) % CAST(ceil(CAST(source_rows AS DOUBLE) / {_MIX.stratum}) AS BIGINT) AS stratum FROM drawn),
 summed AS (
   SELECT *, CAST(sum(size) OVER (PARTITION BY source, stratum) AS BIGINT) AS words,

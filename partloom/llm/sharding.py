@@ -130,8 +130,10 @@ def shard_documents(docs: DataFrame, params: Sharding = Sharding()) -> DataFrame
     size: UTF-8 bytes of the text plus 1; a null text counts as empty. law is
     ``bytes``: shard sizes are as equal as uncut groups allow. slot numbers a
     shard's rows from 0 without gaps. One row per input row; repeated rows stay
-    together and get slots of their own. An empty table gives an empty result;
-    shards may be empty if there are fewer groups than shards.
+    together and get slots of their own, and so do rows without a doc_id. Texts
+    of any length are measured and hashed whole, and a text larger than a fair
+    share has a shard to itself. Other columns are ignored. An empty table gives
+    an empty result; shards may be empty if there are fewer groups than shards.
     """
     text = F.coalesce(F.col("text"), F.lit("")).cast("binary")
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), F.sha2(text, 256).alias("digest"))
