@@ -32,17 +32,22 @@ SELECT f.*, f.bcyl_l / f.bcyl_d AS aspect,
        CASE WHEN f.kind IN (3, 4) THEN f.bcyl_d ELSE f.bcyl_l END AS dz
 FROM fx_features f""",
     "fx_shafts": """
-SELECT part_id, 25e0 * CAST(part_id % 10 AS DOUBLE) + 15e-2 * s5 AS ox, 25e0 * CAST((part_id DIV 10) % 10 AS DOUBLE) AS oy,
-       -5e0 AS oz, 0e0 AS dx, 0e0 AS dy, 1e0 AS dz, m / 2e0 AS radius, m * (2e0 + s5) AS length, 9e-1 AS confidence
+SELECT part_id, 25e0 * CAST(part_id % 10 AS DOUBLE) + 15e-2 * s5 AS ox, 25e0 * CAST((part_id DIV 10) % 10 AS DOUBLE) AS oy, -5e0 AS oz,
+       CASE part_id % 8 WHEN 5 THEN 28e-2 WHEN 7 THEN 6e-1 ELSE 0e0 END AS dx, CASE part_id % 8 WHEN 6 THEN -28e-2 ELSE 0e0 END AS dy,
+       CASE part_id % 8 WHEN 5 THEN 96e-2 WHEN 6 THEN -96e-2 WHEN 7 THEN 8e-1 ELSE 1e0 END AS dz, m / 2e0 AS radius, m * (2e0 + s5) AS length, 9e-1 AS confidence
 FROM fx_parts WHERE kind <= 2""",
     "fx_holes": """
 SELECT l_orderkey * 10 + l_linenumber AS hole_id, l_partkey AS host_id,
-       25e0 * CAST(l_suppkey % 10 AS DOUBLE) AS ox, 25e0 * CAST(l_partkey % 10 AS DOUBLE) AS oy, CAST(l_linenumber AS DOUBLE) AS oz,
-       0e0 AS dx, 0e0 AS dy, 1e0 AS dz, l_quantity / 4e0 AS diameter, 2e0 + l_tax * 1e2 AS length
+       25e0 * CAST(l_suppkey % 10 AS DOUBLE) + CASE l_linenumber WHEN 7 THEN 3e0 ELSE 0e0 END AS ox, 25e0 * CAST(l_partkey % 10 AS DOUBLE) AS oy,
+       CASE l_linenumber WHEN 7 THEN -1e0 ELSE CAST(l_linenumber AS DOUBLE) END AS oz, CASE l_linenumber WHEN 7 THEN 6e-1 ELSE 0e0 END AS dx, 0e0 AS dy,
+       CASE l_linenumber WHEN 6 THEN -1e0 WHEN 7 THEN 8e-1 ELSE 1e0 END AS dz, l_quantity / 4e0 AS diameter, 2e0 + l_tax * 1e2 AS length
 FROM {lineitem}""",
     "fx_cylinders": """
-SELECT l_partkey AS part_id, l_orderkey * 10 + l_linenumber AS face_index, 0e0 AS ox, 0e0 AS oy, CAST(l_linenumber AS DOUBLE) AS oz,
-       0e0 AS dx, 0e0 AS dy, 1e0 AS dz, l_quantity / 4e0 AS radius, 1e0 + l_tax * 1e2 AS length, l_orderkey % 3 = 0 AS is_internal,
+SELECT l_partkey AS part_id, l_orderkey * 10 + l_linenumber AS face_index,
+       CASE l_suppkey % 3 WHEN 0 THEN 0e0 WHEN 1 THEN 2e1 ELSE 4e1 + 6e-1 * CAST(l_linenumber AS DOUBLE) END + 4e-2 * CAST(l_orderkey DIV 7 % 3 AS DOUBLE) AS ox,
+       CASE l_suppkey % 3 WHEN 2 THEN 5e0 ELSE 0e0 END AS oy, CASE l_suppkey % 3 WHEN 2 THEN 8e-1 ELSE 1e0 END * CAST(l_linenumber AS DOUBLE) AS oz,
+       CASE l_suppkey % 3 WHEN 2 THEN 6e-1 ELSE 0e0 END AS dx, 0e0 AS dy, CASE l_suppkey % 3 WHEN 2 THEN 8e-1 WHEN 1 THEN CASE l_linenumber % 2 WHEN 0 THEN 1e0 ELSE -1e0 END ELSE 1e0 END AS dz,
+       l_quantity / 4e0 AS radius, 1e0 + l_tax * 1e2 AS length, l_orderkey % 3 = 0 AS is_internal,
        CASE l_linenumber % 5 WHEN 0 THEN 'plane' WHEN 1 THEN 'cylinder' WHEN 2 THEN 'cone' WHEN 3 THEN 'torus' ELSE 'sphere' END AS stype
 FROM {lineitem}""",
     "fx_pred": """

@@ -142,13 +142,16 @@ def part_signature(spark, sf_dir):
     return with_signature(_sig_features(spark, sf_dir)).select("part_id", "sig_rule", "sig_type", "sig_conf", "sig_shaft", "sig_head", "strict_head")
 
 
-EDGES = f"""{ctes('fx_shafts', 'fx_holes')}, gated AS (
-SELECT s.part_id AS fastener_id, h.hole_id, h.host_id, s.length AS sl, h.diameter - 2e0 * s.radius AS gap, s.confidence AS conf,
-  sqrt((h.ox - s.ox) * (h.ox - s.ox) + (h.oy - s.oy) * (h.oy - s.oy)) AS off, h.oz - s.oz AS t0, h.oz + h.length - s.oz AS t1
-FROM fx_shafts s CROSS JOIN fx_holes h WHERE s.part_id <> h.host_id AND abs(h.ox - s.ox) <= 1e0 AND abs(h.oy - s.oy) <= 1e0),
-passed AS (SELECT *, least(t1, sl) - greatest(t0, 0e0) AS overlap FROM gated WHERE gap BETWEEN -15e-1 AND 2e0 AND off <= 5e-1 AND least(t1, sl) - greatest(t0, 0e0) > 0),
+EDGES = f"""{ctes('fx_shafts', 'fx_holes')}, met AS (
+SELECT s.part_id AS fastener_id, h.hole_id, h.host_id, s.length AS sl, h.diameter - 2e0 * s.radius AS gap, s.confidence AS conf, abs(s.dx * h.dx + s.dy * h.dy + s.dz * h.dz) AS align,
+  s.ox - h.ox AS vx, s.oy - h.oy AS vy, s.oz - h.oz AS vz, h.dx AS hx, h.dy AS hy, h.dz AS hz, (h.ox - s.ox) * s.dx + (h.oy - s.oy) * s.dy + (h.oz - s.oz) * s.dz AS ta,
+  (h.ox + h.dx * h.length - s.ox) * s.dx + (h.oy + h.dy * h.length - s.oy) * s.dy + (h.oz + h.dz * h.length - s.oz) * s.dz AS tb
+FROM fx_shafts s JOIN fx_holes h ON s.part_id <> h.host_id AND h.diameter - 2e0 * s.radius BETWEEN -15e-1 AND 2e0 AND abs(s.dx * h.dx + s.dy * h.dy + s.dz * h.dz) >= 95e-2),
+gated AS (SELECT *, vx * hx + vy * hy + vz * hz AS va, least(ta, tb) AS t0, greatest(ta, tb) AS t1 FROM met),
+aside AS (SELECT *, sqrt((vx - va * hx) * (vx - va * hx) + (vy - va * hy) * (vy - va * hy) + (vz - va * hz) * (vz - va * hz)) AS off, least(t1, sl) - greatest(t0, 0e0) AS overlap FROM gated),
+passed AS (SELECT * FROM aside WHERE off <= 5e-1 AND overlap > 0),
 edge AS (SELECT *, CASE WHEN gap <= 2e-1 THEN 'tap' WHEN gap <= 6e-1 THEN 'slip' ELSE 'clearance' END AS fit_class,
-  4e-1 + 3e-1 * (1e0 - off / 5e-1) + 2e-1 * CASE WHEN gap BETWEEN -12e-1 AND 8e-1 THEN 1e0 WHEN gap < -12e-1 THEN (gap + 15e-1) / 3e-1 ELSE (2e0 - gap) / 12e-1 END + 1e-1 * overlap / greatest(sl, 1e-6) AS score FROM passed),
+  4e-1 * align + 3e-1 * (1e0 - off / 5e-1) + 2e-1 * CASE WHEN gap BETWEEN -12e-1 AND 8e-1 THEN 1e0 WHEN gap < -12e-1 THEN (gap + 15e-1) / 3e-1 ELSE (2e0 - gap) / 12e-1 END + 1e-1 * overlap / greatest(sl, 1e-6) AS score FROM passed),
 ordered AS (SELECT *, CAST(row_number() OVER (PARTITION BY fastener_id ORDER BY t1, hole_id, host_id, gap) - 1 AS INT) AS bolt_order FROM edge)"""
 
 
@@ -178,19 +181,36 @@ def _hole_parts(spark, sf_dir):
     return p.select("part_id", F.when(F.col("part_id") % 4 == 0, 1).otherwise(0).alias("n_cone"), *[F.lit(0.0).alias(f"b{k}0") for k in "xyz"], F.lit(30.0).alias("bx1"), F.lit(30.0).alias("by1"), F.lit(8.0).alias("bz1"))
 
 
-HOLES = f"""{ctes('fx_cylinders', 'fx_parts')}, inner_ AS (SELECT * FROM fx_cylinders WHERE is_internal),
-g AS (SELECT part_id, min(oz) AS lo, max(oz + length) AS hi, min(radius) AS r0, max(radius) AS r1, max(length) AS longest, CAST(count(*) AS INT) AS n FROM inner_ GROUP BY part_id),
-hole AS (SELECT g.part_id AS host_id, 2e0 * r0 AS diameter, lo, hi, n AS n_members, CASE WHEN n >= 2 AND (r1 - r0) / r0 > 15e-2 THEN 'counterbore' WHEN g.part_id % 4 = 0 AND n = 1 THEN 'countersink' WHEN longest >= 9e-1 * 8e0 THEN 'through' ELSE 'blind' END AS kind FROM g JOIN fx_parts p ON p.part_id = g.part_id)"""
+# First fit in face order: ``walk`` carries the first member of each cluster of a part from face to face.
+CLUSTERS = f"""{ctes('fx_cylinders', 'fx_parts').replace('WITH', 'WITH RECURSIVE', 1)}, inner_ AS (SELECT *, row_number() OVER (PARTITION BY part_id ORDER BY face_index, ox, oy, oz, dx, dy, dz, radius, length) AS i FROM fx_cylinders WHERE is_internal),
+walk AS (SELECT part_id, i, face_index, [struct_pack(a := ox, b := oy, c := oz, x := dx, y := dy, z := dz)] AS firsts, 0 AS cluster FROM inner_ WHERE i = 1
+UNION ALL SELECT part_id, i, face_index, CASE WHEN k IS NULL THEN list_append(firsts, own) ELSE firsts END, coalesce(k - 1, len(firsts)) FROM (
+  SELECT n.part_id, n.i, n.face_index, w.firsts, struct_pack(a := n.ox, b := n.oy, c := n.oz, x := n.dx, y := n.dy, z := n.dz) AS own,
+    nullif(list_position(list_transform(list_transform(w.firsts, lambda f: struct_pack(f := f, u := n.ox - f.a, v := n.oy - f.b, w := n.oz - f.c, cosine := abs(n.dx * f.x + n.dy * f.y + n.dz * f.z))),
+      lambda q: q.cosine >= 999e-3 AND sqrt(greatest(0e0, q.u * q.u + q.v * q.v + q.w * q.w - (q.u * q.f.x + q.v * q.f.y + q.w * q.f.z) ** 2)) < 5e-2), true), 0) AS k
+  FROM walk w JOIN inner_ n ON n.part_id = w.part_id AND n.i = w.i + 1)),
+clustered AS (SELECT n.*, w.cluster FROM inner_ n JOIN walk w ON w.part_id = n.part_id AND w.i = n.i)"""
+HOLES = f"""{CLUSTERS}, anchor AS (SELECT part_id, cluster, ox AS ax, oy AS ay, oz AS az, dx AS ux, dy AS uy, dz AS uz FROM (SELECT *, row_number() OVER (PARTITION BY part_id, cluster ORDER BY length DESC, i) AS rn FROM clustered) WHERE rn = 1),
+along AS (SELECT c.*, ax, ay, az, ux, uy, uz, (ox - ax) * ux + (oy - ay) * uy + (oz - az) * uz AS t0 FROM clustered c JOIN anchor a ON a.part_id = c.part_id AND a.cluster = c.cluster),
+g AS (SELECT part_id, cluster, any_value(ax) AS ax, any_value(ay) AS ay, any_value(az) AS az, any_value(ux) AS ux, any_value(uy) AS uy, any_value(uz) AS uz, least(min(t0), min(t0 + length)) AS lo, greatest(max(t0), max(t0 + length)) AS hi, min(radius) AS r0, max(radius) AS r1, max(length) AS longest, CAST(count(*) AS INT) AS n FROM along GROUP BY part_id, cluster),
+hole AS (SELECT g.part_id || '#' || g.cluster AS hole_id, g.part_id AS host_id, 2e0 * r0 AS diameter, ax + hi * ux AS tx, ay + hi * uy AS ty, az + hi * uz AS tz, ax + lo * ux AS bx, ay + lo * uy AS by_, az + lo * uz AS bz, ux, uy, uz, n AS n_members,
+  CASE WHEN n >= 2 AND (r1 - r0) / r0 > 15e-2 THEN 'counterbore' WHEN g.part_id % 4 = 0 AND n = 1 THEN 'countersink' WHEN longest >= 9e-1 * (abs(ux) * 3e1 + abs(uy) * 3e1 + abs(uz) * 8e0) THEN 'through' ELSE 'blind' END AS kind FROM g JOIN fx_parts p ON p.part_id = g.part_id)"""
+
+
+def _clustered(spark, sf_dir):
+    return joints.coaxial_clusters(view(spark, sf_dir, "fx_cylinders").where("is_internal").drop("stype"))
 
 
 def _holes(spark, sf_dir):
-    one_axis = view(spark, sf_dir, "fx_cylinders").withColumn("cluster", F.lit(0))  # all of a part's cylinders share their axis
-    return joints.synthesise_holes(one_axis, _hole_parts(spark, sf_dir))
+    return joints.synthesise_holes(_clustered(spark, sf_dir), _hole_parts(spark, sf_dir))
+
+
+PLACES = {"top_x": "tx", "top_y": "ty", "top_z": "tz", "bottom_x": "bx", "bottom_y": "by", "bottom_z": "bz", "axis_x": "dx", "axis_y": "dy", "axis_z": "dz"}
 
 
-@query(HOLES + " SELECT host_id, diameter, round(hi, 9) AS top_z, round(lo, 9) AS bottom_z, kind, n_members FROM hole")
+@query(HOLES + " SELECT hole_id, host_id, diameter, round(tx, 7) AS top_x, round(ty, 7) AS top_y, round(tz, 7) AS top_z, round(bx, 7) AS bottom_x, round(by_, 7) AS bottom_y, round(bz, 7) AS bottom_z, ux AS axis_x, uy AS axis_y, uz AS axis_z, kind, n_members FROM hole")
 def hole_synthesis(spark, sf_dir):
-    return _holes(spark, sf_dir).select("host_id", "diameter", F.round("tz", 9).alias("top_z"), F.round("bz", 9).alias("bottom_z"), "kind", "n_members")
+    return _holes(spark, sf_dir).select("hole_id", "host_id", "diameter", *[F.round(c, 7).alias(k) for k, c in PLACES.items()], "kind", "n_members")
 
 
 @query(HOLES + " SELECT kind, count(*) AS n FROM hole GROUP BY kind")
@@ -198,10 +218,9 @@ def hole_kind_counts(spark, sf_dir):
     return _holes(spark, sf_dir).groupBy("kind").agg(F.count("*").alias("n"))
 
 
-@query(f"{ctes('fx_cylinders')} SELECT part_id, CAST(1 AS BIGINT) AS clusters, count(*) AS members FROM fx_cylinders WHERE is_internal GROUP BY part_id")
+@query(CLUSTERS + " SELECT part_id, face_index, cluster FROM clustered")
 def coaxial_clusters(spark, sf_dir):
-    c = joints.coaxial_clusters(view(spark, sf_dir, "fx_cylinders").where("is_internal").drop("stype"))
-    return c.groupBy("part_id").agg(F.count_distinct("cluster").alias("clusters"), F.count("*").alias("members"))
+    return _clustered(spark, sf_dir).select("part_id", "face_index", "cluster")
 
 
 @query("SELECT 'contained_in' AS kind, n_nationkey AS subject_id, n_regionkey AS target_id, 1 AS depth, CAST(1 AS DOUBLE) AS confidence, false AS inferred FROM nation")
