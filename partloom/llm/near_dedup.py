@@ -52,7 +52,7 @@ class NearDedup:
     rows: int = 4
     slack: float = 0.26
     block: int = 256
-    hub: int = 512
+    hub: int = 64
 
     @property
     def coordinates(self) -> int:
@@ -319,8 +319,8 @@ def near_duplicates(docs: DataFrame, params: NearDedup = NearDedup()) -> DataFra
     stars = materialise(members.where("id <> first").groupBy("id", F.col("first").alias("rep")).agg(F.count("*").alias("shared")), "stars")
     sketches = reps.select("id", "n", "sketch")
     centres = stars.groupBy("rep").agg(F.count("*").alias("n_rows")).join(sketches.select(F.col("id").alias("rep"), F.col("n").alias("n2"), F.col("sketch").alias("s2")), "rep")
-    met = stars.join(sketches.select("id", F.col("n").alias("n1"), F.col("sketch").alias("s1")), "id")
-    near = keyed_join(met, materialise(centres, "centres"), ["rep"], stars.count(), "n_rows").mapInArrow(_agreeing(p), "id long, rep long, shared long")
+    near = keyed_join(stars, materialise(centres, "centres"), ["rep"], stars.count(), "n_rows")
+    near = near.join(sketches.select("id", F.col("n").alias("n1"), F.col("sketch").alias("s1")), "id").mapInArrow(_agreeing(p), "id long, rep long, shared long")
     near = materialise(near, "candidates")
 
     texts = slim.where("doc_id is not null and text is not null")

@@ -31,12 +31,10 @@ def keyed_join(rows: DataFrame, per_key: DataFrame, key: list[str], total: int,
     """rows joined with per_key, a written table of one row per key, whose column ``count`` says how many of the ``total`` rows have it.
 
     Hot keys, fewer than HOT, meet their rows by a broadcast of their few rows; the others by a shuffle, in which
-    no key has more than total/HOT rows (or FEW).
+    no key has more than total/HOT rows (or FEW). ``rows`` is read twice, so it should be a table or cheap.
     """
     limit = max(FEW, total // HOT)
     hot, cold = per_key.where(F.col(count) > limit), per_key.where(F.col(count) <= limit)
-    if hot.isEmpty():
-        return rows.join(cold, key)
     few = F.broadcast(hot)
     return rows.join(few, key).unionByName(rows.join(F.broadcast(hot.select(*key)), key, "left_anti").join(cold, key))
 

@@ -144,3 +144,43 @@ def test_sketch_filter_misses_far_less_than_the_banding():
     s, n = p.percent / 100, p.coordinates
     fails = sum(math.comb(n, k) * s**k * (1 - s) ** (n - k) for k in range(p.least_agree))
     assert fails < (1 - s**p.rows) ** p.bands / 100
+
+
+def test_substring_dedup_tries_again_when_hashes_collide(spark, rows, docs, monkeypatch):
+    whole = sd.seeded_hashes
+    monkeypatch.setattr(sd, "seeded_hashes", lambda words, seed: whole(words, seed) & np.uint64(1) if seed < 2 else whole(words, seed))
+    out = sd.substring_dedup(docs, sd.SubstringDedup(20, 7))
+    assert {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in out.collect()} == brute_substrings(rows, 20)
+    with pytest.raises(RuntimeError, match="collided"):
+        sd.substring_dedup(docs, sd.SubstringDedup(20, 7, seeds=(0, 1)))
+
+
+def test_repeated_paths_are_compacted_up_to_branches(spark):
+    common = [f"c{i}" for i in range(120)]
+    texts = [[f"{k}a{i}" for i in range(10)] + common + [f"{k}z{i}" for i in range(10)] for k in range(3)]
+    texts.append(common[60:])  # a branch: here the second half has no first half before it
+    df = spark.createDataFrame([(k, " ".join(t).encode()) for k, t in enumerate(texts)], "key long, text binary")
+    p = sd.SubstringDedup(20, 7)
+    found = {r.key: sorted((s.start, s.n) for s in r.solid or []) for r in sd.repeated_spans(df, p).collect()}
+    for k in range(3):
+        assert len(found[k]) <= 6 and sum(n for _, n in found[k]) > 60, found
+    solid = spark.createDataFrame([(k, i, 1, i) for k in range(2) for i in range(50)] + [(2, 0, 1, 25)], "key long, start int, n int, id long")
+    got = {(r.key, r.start, r.n, r.path) for r in sd.compacted(solid).collect()}
+    assert got == {(k, 0, 25, 0) for k in range(2)} | {(k, 25, 1, 25) for k in range(2)} | {(k, 26, 24, 26) for k in range(2)} | {(2, 0, 1, 25)}  # an end branches too
+
+
+def test_a_hub_and_a_bucket_of_many_rows_are_split(spark, monkeypatch):
+    from partloom.llm import components, runtime
+
+    for module in (runtime, components):
+        monkeypatch.setattr(module, "FEW", 3)
+        monkeypatch.setattr(module, "HOT", 4)
+    edges = [(0, i) for i in range(1, 60)] + [(500, i) for i in range(400, 450)] + [(i, i + 1) for i in range(600, 620)]
+    got = {r.id: r.comp for r in connected(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {**{i: 0 for i in range(60)}, **{i: 400 for i in [*range(400, 450), 500]}, **{i: 600 for i in range(600, 621)}}
+    base = [f"w{i}" for i in range(60)]
+    rows = [(i, " ".join([*base[:i], f"x{i}", *base[i + 1 :]])) for i in range(40)] + [(100 + i, " ".join(base)) for i in range(40)]
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in nd.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), nd.NearDedup(hub=7)).collect()}
+    assert got == brute_components(rows, 5)
+    out = ex.exact_dedup(spark.createDataFrame(rows, "doc_id long, text string"), F.col("doc_id") < 110)
+    assert {(r.doc_id, r.keep_id, r.group_size) for r in out.collect()} == {(i, i, 1) for i in range(40)} | {(100 + i, 139, 40) for i in range(40)}

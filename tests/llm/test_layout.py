@@ -5,6 +5,7 @@ from collections import defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from partloom.llm import mixing as mx
 from partloom.llm import packing as pk
@@ -156,6 +157,27 @@ def test_encoder_equals_the_tokenizer():
         assert [e.encode([x])[0] for x in ODD] == want
 
 
+def test_encoder_equals_the_tokenizer_on_random_texts_of_all_scripts():
+    e = pk.Encoder(pk.Packing(public_tokenizers.path("byte_bpe_50k.json"), words=300))
+    rng = np.random.default_rng(8)
+    blocks = [(32, 127), (161, 591), (880, 1279), (1424, 1535), (1536, 1791), (2304, 2431), (3585, 3675), (4352, 4607), (12353, 12543), (19968, 20500), (44032, 44500), (127744, 128512)]
+    texts = []
+    for _ in range(400):
+        low, high = blocks[rng.integers(len(blocks))]
+        words = ["".join(chr(c) for c in rng.integers(low, high, rng.integers(1, 9))) for _ in range(rng.integers(1, 30))]
+        texts.append("".join(w + [" ", "\n", "  ", " "][rng.integers(4)] for w in words))
+    texts += [bytes(rng.integers(0, 256, 60, dtype=np.uint8).tolist()).decode("utf-8", "replace") for _ in range(200)]
+    want = [np.array(e.tokenizer.encode(x, add_special_tokens=False).ids, dtype="<u4").tobytes() for x in texts]
+    assert e.encode(texts) == want
+
+
+def test_encoder_forgets_words_at_line_starts_too():
+    e = pk.Encoder(pk.Packing(public_tokenizers.path("byte_bpe_50k.json"), words=100))
+    for batch in range(20):
+        e.encode(["\n".join(f"line{batch}x{i}" for i in range(90))])
+        assert len(e.first) + len(e.inner) <= 100
+
+
 def test_patterns_use_the_histogram_exactly():
     rng = np.random.default_rng(3)
     for histogram in ({}, {1: 5}, {8: 3, 5: 4, 3: 4, 1: 9}, dict(enumerate(rng.integers(0, 40, 64).tolist(), 1))):
@@ -197,5 +219,18 @@ def test_url_rules_match_brute_force(spark, bits):
     assert got == {i: brute_judge(u, rules) for i, u in enumerate(urls)}
 
 
+def test_url_rules_in_segments_and_from_a_table(spark):
+    rules = [*uf.RULES, *[uf.Rule(["block", "allow", "review"][i % 3], f"h{i}.org/p{i % 7}") for i in range(90)]]
+    urls = URLS + [f"http://s.h{i % 120}.org/p{i % 11}/x" for i in range(200)]
+    df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    table = spark.createDataFrame([(r.rule, r.verdict, 1) for r in rules], "rule string, verdict string, key int")
+    p = uf.Cascade(bits=4, hashes=2, most_bits=128)
+    levels = uf.build_cascade(table.select(F.col("rule").alias("key")), table.select(F.col("rule").alias("key")), p)
+    assert levels.segments == 3 and all(len(level) == 3 for level in levels.filters)
+    got = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in uf.judge_urls(df, table, params=p).collect()}
+    assert got == {i: brute_judge(u, rules) for i, u in enumerate(urls)}
+    assert {r.verdict for r in uf.judge_urls(df, ()).collect()} == {"allow"}
+
+
 def test_url_rules_on_nothing(spark):
     assert uf.judge_urls(spark.createDataFrame([], "page_id long, url string")).count() == 0

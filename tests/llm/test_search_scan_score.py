@@ -33,6 +33,16 @@ def test_top_k_matches_brute_force(spark, queries, candidates):
     assert {tuple(x) for x in out.select("query_id", "rank", "vec_id", "score").collect()} == brute_top(vectors, 5)
 
 
+def test_top_k_of_huge_and_repeated_vectors(spark):
+    vectors = [(0, [1e300, -1.0]), (1, [1e300, 1.0]), (2, [-1e300, 0.0]), (3, [2.0**52, 1.0]), (50, [1.0, 0.0]), (50, [0.5, 0.0]), (4, [0.25, 0.0]), (4, [0.75, 0.0])]
+    df = spark.createDataFrame(vectors, "vec_id long, embedding array<double>")
+    for p in (tk.TopK(), tk.TopK(3, 1, 2, 1)):
+        got = [tuple(r) for r in tk.top_k(tk.quantised(df), F.col("vec_id") % 50 == 0, p).orderBy("query_id", "rank").select("query_id", "vec_id", "score").collect()]
+        top = 2**63 - 1
+        assert got[: p.k][:2] == [(0, 1, top), (0, 3, top)]  # 1 beats 3 by its exact score
+        assert got[p.k :][:3] == [(50, 0, top), (50, 1, top), (50, 3, 128 * 2**60)][:3] or got[p.k :][:2] == [(50, 0, top), (50, 1, top)]
+
+
 def test_top_k_of_few_rows(spark):
     assert tk.top_k(tk.quantised(spark.createDataFrame([], "vec_id long, embedding array<float>")), F.col("vec_id") % 50 == 0).count() == 0
     one = spark.createDataFrame([(0, [1.0])], "vec_id long, embedding array<float>")
@@ -194,3 +204,35 @@ def test_license_scan_of_very_many_copies_is_quick():
     n, copies = 26, 4000
     at = [c * (n + 4) + i for c in range(copies) for i in range(n)]
     assert ls.stretches(at, list(range(n)) * copies, 21, n) == [(c * (n + 4), c * (n + 4) + n - 1, n) for c in range(copies)]
+
+
+def test_license_scan_of_many_templates_and_forced_collisions(spark, monkeypatch):
+    r = random.Random(7)
+    templates = {f"t{k}": " ".join(f"w{r.randrange(4000)}" for _ in range(40)) for k in range(300)}
+    texts = [f"start {templates[f't{k}']} end" for k in range(0, 300, 7)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = {(i, f"t{7 * i}") for i in range(len(texts))}
+    assert {(x.doc_id, x.license) for x in ls.scan_licenses(df, templates).collect()} == want
+    whole = ls.hash_words
+    monkeypatch.setattr(ls, "hash_words", lambda words, table: whole(words, table) & np.uint64(3))
+    few = {k: templates[k] for k in ("t0", "t1", "t7")}
+    got = {(x.doc_id, x.license) for x in ls.scan_licenses(df, few).collect()}
+    assert got <= {(0, "t0"), (1, "t7")}  # words decide, whatever the hashes say
+    assert ls.scan_licenses(df, {}).count() == 0
+
+
+def test_classifier_needs_pairs_of_words(spark):
+    r = random.Random(11)
+    rows, labels = [], []
+    for i in range(1500):  # a word is good with one partner and bad with another; noise hides it
+        a, b = r.choice("pq"), r.choice("pq")
+        noise = [f"n{r.randrange(60)}" for _ in range(6)]
+        label = int(a == b) if r.random() < 0.95 else int(a != b)
+        rows.append((i, " ".join([f"first{a}", f"second{b}", *noise]), None))
+        labels.append((i, label))
+    docs, labels = spark.createDataFrame(rows, "doc_id long, text string, n_chars long"), spark.createDataFrame(labels, "doc_id long, quality int")
+    truth = dict(labels.collect())
+    p = fm.QualityFM(epochs=40)
+    out = [x for x in fm.score_quality(docs, fm.fit_on(docs, labels, p), p).collect() if x.held_out]
+    right = sum((x.score >= 0.5) == truth[x.doc_id] for x in out) / len(out)
+    assert right > 0.8, right
