@@ -1,20 +1,27 @@
 """Repeated token spans by compaction of the de Bruijn graph of token k-mers.
 
-Edges are the k-word windows (k-mers) of all documents. A run of consecutive
-k-mers of one document that share their minimizer (the smallest hashed m-word
-window inside) is a nonbranching stretch: it is compacted into one row, its
-minimizer, the hash of all its words, and its source coordinates (document,
-first window, number of windows). Equal k-mers have equal minimizers, so a
-k-mer repeats only where its minimizer does (Chikhi, Limasset and Medvedev,
-2016).
+Edges are the k-word windows (k-mers) of all documents, nodes the (k-1)-word
+windows between them. A k-mer repeats only where its minimizer (the smallest
+hashed m-word window inside) does, so runs of consecutive k-mers of one
+document that share their minimizer travel as one row, a stretch: its
+minimizer, the hash of its words, and its source coordinates (document, first
+window, number of windows; Chikhi, Limasset and Medvedev, 2016).
 
 Spark joins then tell three cases apart. A minimizer seen once has no repeats.
-A stretch that occurs twice or more as a whole is a repeated nonbranching path
-and goes back to its occurrences as one row each. A minimizer with several
-different stretches is a branching point: there one source per stretch is
-opened again at its coordinates, and its single k-mers are counted, each
-weighing as often as its stretch occurs. What is covered by a repeated k-mer is
-cut from the texts.
+A stretch that occurs twice or more as a whole is a path of repeated k-mers. A
+minimizer with several different stretches is opened: one source per stretch
+is read again at its coordinates, and its single k-mers are counted, each
+weighing as often as its stretch occurs.
+
+Repeated stretches that follow each other in a document meet in a node. The
+degrees of such nodes, distinct stretches that come in and go out in all
+documents, are counted by joins; where both are one, the two are one path, and
+a document's rows of one path are compacted into one span (``compacted``).
+
+Every span is then verified at its source coordinates: a 128-bit digest of its
+words as they stand in the text. All spans of one path must have one digest,
+and so must equal k-mers; if hashes ever collided, everything is done again
+with word hashes of another seed. What a verified span covers is cut.
 """
 
 from __future__ import annotations
@@ -24,19 +31,23 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from partloom.llm.runtime import materialise, utf8
-from partloom.llm.words import STEP, U, WindowHasher, hash_words, mix, word_table
+from partloom.llm.runtime import keyed_join, materialise, utf8
+from partloom.llm.words import STEP, U, WindowHasher, hash_words, word_table
 
 
 @dataclass(frozen=True)
 class SubstringDedup:
-    """window: words of a repeated span at least. minimizer: words of a minimizer; window - minimizer < 62."""
+    """window: words of a repeated span at least. minimizer: words of a minimizer; window - minimizer < 62.
+
+    seeds: of word hashes, tried in turn until every span is verified.
+    """
 
     window: int = 35
     minimizer: int = 15
+    seeds: tuple[int, ...] = (0, 1, 2, 3)
 
 
 #: Bits of a minimizer value that hold its place within a batch.
@@ -81,7 +92,11 @@ def stretches(docs: list[tuple[int, np.ndarray]], p: SubstringDedup) -> dict[str
     }
 
 
-def _batched(batch, table, p: SubstringDedup):
+def seeded_hashes(words: list[bytes], seed: int) -> np.ndarray:
+    return hash_words(words, word_table(seed))
+
+
+def _batched(batch, seed: int, p: SubstringDedup):
     """Documents of a batch in groups of about STEP words; a longer one comes in pieces that share window - 1 words."""
     group, total = [], 0
     for i, text in enumerate(batch.column(1)):
@@ -89,7 +104,7 @@ def _batched(batch, table, p: SubstringDedup):
         words = text.split() if text else []
         if len(words) < p.window:
             continue
-        w = hash_words(words, table)
+        w = seeded_hashes(words, seed)
         for at in range(0, len(w) - p.window + 1, STEP):
             piece = w[at : at + STEP + p.window - 1]
             group.append((i, at, piece))
@@ -101,12 +116,11 @@ def _batched(batch, table, p: SubstringDedup):
         yield group
 
 
-def _stretch_rows(p: SubstringDedup):
+def _stretch_rows(p: SubstringDedup, seed: int):
     def run(batches):
-        table = word_table()
         for batch in batches:
             ids = batch.column(0)
-            for group in _batched(batch, table, p):
+            for group in _batched(batch, seed, p):
                 found = stretches([(k, w) for k, (_, _, w) in enumerate(group)], p)
                 if not found:
                     continue
@@ -119,14 +133,13 @@ def _stretch_rows(p: SubstringDedup):
     return run
 
 
-def _window_rows(p: SubstringDedup):
+def _window_rows(p: SubstringDedup, seed: int):
     """Single k-mers of the stretches asked for: rows (key, text, starts, ns, counts) -> k-mers with their weight."""
 
     def run(batches):
-        table = word_table()
         for batch in batches:
             for i in range(batch.num_rows):
-                words = hash_words(batch.column("text")[i].as_py().split(), table)
+                words = seeded_hashes(batch.column("text")[i].as_py().split(), seed)
                 asked = batch.column("asked")[i].values
                 start, n = asked.field("start").to_numpy().astype(np.int64), asked.field("n").to_numpy().astype(np.int64)
                 at = np.repeat(start, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
@@ -147,38 +160,39 @@ def _window_rows(p: SubstringDedup):
     return run
 
 
-def _covered(n_words: int, starts, ns, masks, window: int) -> np.ndarray:
-    edge = np.zeros(n_words + 1, dtype=np.int64)
-    for start, n, mask in zip(starts, ns, masks, strict=True):
-        if mask == -1:
-            edge[start] += 1
-            edge[start + n + window - 1] -= 1
-        else:
-            for place in range(n):
-                if mask >> place & 1:
-                    edge[start + place] += 1
-                    edge[start + place + window] -= 1
-    return np.cumsum(edge[:-1]) > 0
+def digest(words: list[bytes]) -> bytes:
+    """128 bits of the words, which hold no space."""
+    return hashlib.blake2b(b" ".join(words), digest_size=16).digest()
 
 
 def _cutter(p: SubstringDedup):
+    """Rows (doc_id, text, solid, single) -> what is kept, and the digests of the spans by path or k-mer."""
+
     def run(batches):
         for batch in batches:
-            rows = []
-            spans = batch.column("spans")
-            for i, text in enumerate(batch.column("text").to_pylist()):
+            rows, seen = [], []
+            for text, solid, single in zip(*(batch.column(c).to_pylist() for c in ("text", "solid", "single")), strict=True):
                 words = text.split() if text else []
-                kept, removed = words, 0
-                if spans[i].is_valid:
-                    its = spans[i].values
-                    gone = _covered(len(words), its.field("start").to_pylist(), its.field("n").to_pylist(), its.field("mask").to_pylist(), p.window)
-                    removed = int(gone.sum())
-                    kept = [w for w, g in zip(words, gone.tolist(), strict=True) if not g]
-                rows.append((len(words), removed, b" ".join(kept)))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), *(pa.array([r[k] for r in rows], type=kind) for k, kind in enumerate((pa.int64(), pa.int64(), pa.binary())))],
-                names=["doc_id", "n_words", "n_removed", "kept"],
-            )
+                edge, its = np.zeros(len(words) + 1, dtype=np.int64), []
+                for span in solid or ():
+                    at, end = span["start"], span["start"] + span["n"] + p.window - 1
+                    edge[at] += 1
+                    edge[end] -= 1
+                    its.append({"a": span["path"], "b": None, "digest": digest(words[at:end])})
+                for stretch in single or ():
+                    for kmer in stretch["kmers"]:
+                        at, end = stretch["start"] + kmer["place"], stretch["start"] + kmer["place"] + p.window
+                        if kmer["gone"]:
+                            edge[at] += 1
+                            edge[end] -= 1
+                        its.append({"a": kmer["h1"], "b": kmer["h2"], "digest": digest(words[at:end])})
+                gone = np.cumsum(edge[:-1]) > 0
+                kept = words if not its else [w for w, g in zip(words, gone.tolist(), strict=True) if not g]
+                rows.append((len(words), int(gone.sum()), b" ".join(kept)))
+                seen.append(its)
+            columns = [pa.array([r[k] for r in rows], type=kind) for k, kind in enumerate((pa.int64(), pa.int64(), pa.binary()))]
+            checks = pa.array(seen, type=pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64()), ("digest", pa.binary())])))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns, checks], names=["doc_id", "n_words", "n_removed", "kept", "checks"])
 
     return run
 
@@ -187,38 +201,70 @@ def _digested(cut):
     def run(batches):
         for batch in cut(batches):
             sums = [hashlib.sha256(x).hexdigest() for x in batch.column("kept").to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(sums)], names=["doc_id", "n_words", "n_removed", "kept_sha256"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(sums, type=pa.string()), batch.column("checks")], names=["doc_id", "n_words", "n_removed", "kept_sha256", "checks"])
 
     return run
 
 
-def repeated_spans(keyed: DataFrame, params: SubstringDedup = SubstringDedup()) -> DataFrame:
-    """keyed (key long unique, text binary) -> key, spans array<struct<start int, n int, mask long>>.
+def compacted(solid: DataFrame) -> DataFrame:
+    """solid (key, start, n, id): repeated stretches, ``id`` names equal ones -> key, start, n, path: spans along nonbranching paths.
 
-    A span names windows start .. start + n - 1 of a document; mask -1: all of
-    them repeat, else bit i tells it of window start + i.
+    Between two stretches that follow each other is a node. It doesn't branch if every occurrence of the first is
+    followed by the second and every occurrence of the second comes after the first; then the second is inside a
+    path. A path is named by its first stretch, which fixes the others.
+    """
+    by_place = Window.partitionBy("key").orderBy("start")
+    before = F.when(F.lag(F.col("start") + F.col("n")).over(by_place) == F.col("start"), F.lag("id").over(by_place))
+    rows = materialise(solid.withColumn("before", before), "walks")
+    one = lambda c: F.when(F.min(c) == F.max(c), F.min(c))
+    into = rows.groupBy("id").agg(F.count("*").alias("times"), F.count("before").alias("entered"), one("before").alias("only_before"))
+    out_of = rows.where("before is not null").groupBy("before").agg(F.count("*").alias("left"), one("id").alias("only_after"))
+    into = materialise(into, "degrees")
+    ends = into.select(F.col("id").alias("before"), F.col("times").alias("times_before")).join(out_of, "before")
+    inner = ends.where("times_before = left and only_after is not null").select(F.col("only_after").alias("id"), F.col("before").alias("only_before"))
+    inner = into.where("entered = times").join(inner, ["id", "only_before"]).select("id", F.lit(True).alias("inner"))
+    marks = materialise(into.select("id", "times").join(inner, "id", "left").select("id", "times", F.coalesce("inner", F.lit(False)).alias("inner")), "marks")
+    total = into.agg(F.coalesce(F.sum("times"), F.lit(0))).first()[0]
+    marked = keyed_join(rows.drop("before"), marks, ["id"], total, "times")
+    marked = marked.withColumn("run", F.sum(F.when(F.col("inner"), 0).otherwise(1)).over(by_place.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    return marked.groupBy("key", "run").agg(F.min("start").alias("start"), F.sum("n").cast("int").alias("n"), F.max(F.when(~F.col("inner"), F.col("id"))).alias("path")).drop("run")
+
+
+def repeated_spans(keyed: DataFrame, params: SubstringDedup = SubstringDedup(), seed: int = 0) -> DataFrame:
+    """keyed (key long unique, text binary) -> key, solid, single: candidates for what repeats, by hashes.
+
+    solid, array<struct<start, n, path>>: windows start .. start + n - 1 of the document, one path of the graph.
+    single, array<struct<start, kmers>>: single windows at start + place; ``gone`` is false for one that is here
+    only to be compared with its equals.
     """
     p = params
-    found = materialise(keyed.mapInArrow(_stretch_rows(p), "key long, start int, n int, anchor long, whole long"), "stretches")
+    found = materialise(keyed.mapInArrow(_stretch_rows(p, seed), "key long, start int, n int, anchor long, whole long"), "stretches")
     paths = found.groupBy("anchor", "whole", "n").agg(F.count("*").alias("times"), F.min(F.struct("key", "start")).alias("source"))
     paths = materialise(paths, "paths")
     anchors = paths.groupBy("anchor").agg(F.count("*").alias("kinds")).where("kinds > 1").select("anchor")
 
-    repeated = paths.where("times > 1").select("anchor", "whole", "n")
-    solid = found.join(repeated, ["anchor", "whole", "n"]).select("key", "start", "n", F.lit(-1).cast("long").alias("mask"))
+    repeated = paths.where("times > 1").select("anchor", "whole", "n", "times")
+    total = repeated.agg(F.coalesce(F.sum("times"), F.lit(0))).first()[0]
+    solid = keyed_join(found, repeated, ["anchor", "whole", "n"], total, "times").select("key", "start", "n", F.xxhash64("anchor", "whole", "n").alias("id"))
+    solid = compacted(solid).groupBy("key").agg(F.collect_list(F.struct("start", "n", "path")).alias("solid"))
 
     branching = paths.join(anchors, "anchor")
     asked = branching.select(F.col("source.key").alias("key"), F.struct(F.col("source.start").alias("start"), "n", "times").alias("one"))
     asked = asked.groupBy("key").agg(F.collect_list("one").alias("asked"))  # at most a document's own stretches
-    kmers = keyed.join(asked, "key").mapInArrow(_window_rows(p), "key long, start int, place int, times long, h1 long, h2 long")
+    kmers = keyed.join(asked, "key").mapInArrow(_window_rows(p, seed), "key long, start int, place int, times long, h1 long, h2 long")
     kmers = materialise(kmers, "kmers")
-    more = kmers.groupBy("h1", "h2").agg(F.sum("times").alias("total"), F.count("*").alias("sources")).where("total > 1 and sources > 1").select("h1", "h2")
-    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("place"))
-    single = kmers.where("times = 1").join(more, ["h1", "h2"]).groupBy("key", "start").agg(F.bit_or(bit).alias("mask"), F.max("place").alias("top"))
-    single = single.select("key", "start", (F.col("top") + 1).alias("n"), "mask")
+    more = materialise(kmers.groupBy("h1", "h2").agg(F.sum("times").alias("total"), F.count("*").alias("sources")).where("total > 1 and sources > 1").select("h1", "h2", "sources"), "more")
+    held = more.agg(F.coalesce(F.sum("sources"), F.lit(0))).first()[0]
+    single = keyed_join(kmers, more, ["h1", "h2"], held, "sources")
+    single = single.groupBy("key", "start").agg(F.collect_list(F.struct("place", "h1", "h2", (F.col("times") == 1).alias("gone"))).alias("kmers"))
+    single = single.groupBy("key").agg(F.collect_list(F.struct("start", "kmers")).alias("single"))
+    return solid.join(single, "key", "full")
+
 
-    spans = solid.union(single)
-    return spans.groupBy("key").agg(F.collect_list(F.struct("start", "n", "mask")).alias("spans"))
+def verified(cut: DataFrame) -> bool:
+    """Whether the spans of each path and the occurrences of each k-mer, two at least, have one digest."""
+    each = cut.select(F.explode("checks").alias("c")).groupBy("c.a", "c.b").agg(F.min("c.digest").alias("low"), F.max("c.digest").alias("high"), F.count("*").alias("n"))
+    return each.where("low <> high or n < 2").isEmpty()
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -232,8 +278,9 @@ def substring_dedup(docs: DataFrame, params: SubstringDedup = SubstringDedup(),
     word that a window covers whose word sequence starts anywhere else, in the
     same document or another, is removed. Windows are judged on the input. Null
     texts have no words; doc_id may repeat or be null, every row is a document
-    of its own and equal rows are each other's repeats. One row per input
-    row; an empty table gives an empty result; other columns are ignored.
+    of its own and equal rows are each other's repeats. Texts of any length are
+    taken whole. One row per input row; an empty table gives an empty result;
+    other columns are ignored.
     """
     p = params
     slim = _keyed(docs)
@@ -242,8 +289,13 @@ def substring_dedup(docs: DataFrame, params: SubstringDedup = SubstringDedup(),
         slim = materialise(slim.withColumn("key", F.monotonically_increasing_id()), "keyed")  # written once, so the keys stay
     else:
         slim = slim.withColumn("key", F.col("doc_id"))
-    spans = repeated_spans(slim.select("key", "text"), p)
-    joined = slim.join(spans, "key", "left").select("doc_id", "text", "spans")
-    if texts:
-        return joined.mapInArrow(_cutter(p), "doc_id long, n_words long, n_removed long, kept binary")
-    return joined.mapInArrow(_digested(_cutter(p)), "doc_id long, n_words long, n_removed long, kept_sha256 string")
+    kept = "kept" if texts else "kept_sha256"
+    cutter, kind = (_cutter(p), "kept binary") if texts else (_digested(_cutter(p)), "kept_sha256 string")
+    for seed in p.seeds:
+        spans = repeated_spans(slim.select("key", "text"), p, seed)
+        joined = slim.join(spans, "key", "left").select("doc_id", "text", "solid", "single")
+        schema = f"doc_id long, n_words long, n_removed long, {kind}, checks array<struct<a:bigint,b:bigint,digest:binary>>"
+        cut = materialise(joined.mapInArrow(cutter, schema), "cut")
+        if verified(cut):
+            return cut.select("doc_id", "n_words", "n_removed", kept)
+    raise RuntimeError(f"hashes of words collided for all of the seeds {p.seeds}")

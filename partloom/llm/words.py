@@ -22,15 +22,19 @@ BASES = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95)
 class WordHashes(dict):
     """word -> 64-bit hash, remembered; bounded by starting anew."""
 
+    seed = 0
+
     def __missing__(self, word: bytes) -> int:
         if len(self) >= WORD_TABLE:
             self.clear()
-        h = self[word] = xxhash.xxh3_64_intdigest(word)
+        h = self[word] = xxhash.xxh3_64_intdigest(word, self.seed)
         return h
 
 
-def word_table() -> WordHashes:
-    return worker_store("word_hashes", WordHashes, large=True)
+def word_table(seed: int = 0) -> WordHashes:
+    table = worker_store(f"word_hashes {seed}", WordHashes, large=True)
+    table.seed = seed
+    return table
 
 
 def hash_words(words: list[bytes], table: WordHashes) -> np.ndarray:
