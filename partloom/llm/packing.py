@@ -9,6 +9,7 @@ slots are then joined back to the pieces by their rank among equal lengths.
 
 from __future__ import annotations
 
+import functools
 import re
 import zlib
 from dataclasses import dataclass
@@ -24,17 +25,17 @@ from partloom.llm.runtime import materialise, worker_store
 
 @dataclass(frozen=True)
 class Packing:
-    """tokenizer: file of a public tokenizer, the same path on every executor. end: id put after each document."""
+    """tokenizer: file of a public tokenizer, the same path on driver and executors. end: id put after each document."""
 
     tokenizer: str
     length: int = 2048
     end: int = 1
-    #: Distinct words, after spaces and at line starts together, whose ids a worker remembers before it ages them; two such tables are held, about 120 MB each.
-    words: int = 600_000
 
 
-#: White space other than a space or a line feed.
-OTHER_SPACE = re.compile(r"[^\S \n]")
+#: Characters whose classes ``agreed`` compares one by one.
+COMPARED = [*range(1, 0xD800), *range(0xE000, 0x10000), *range(0x1F000, 0x1FB00)]
+#: What the faster BPE isn't given: other characters, and runs so long that its splitting would be slow.
+UNUSUAL = re.compile("[^\x01-\uffff\U0001f000-\U0001faff]|\\S{1000}|\\s{200}")
 
 
 #: Fixed value: how byte-level BPE cuts texts before it merges.
@@ -72,98 +73,59 @@ def fast_twin(path: str):
 class Encoder:
     """Ids of texts as little-endian 32-bit strings.
 
-    A byte-level BPE never merges across the place before a single space, or
-    around a single line feed, between things other than white space. Texts are
-    cut there, and the ids of a word after a space and of a word at the start
-    of a line are remembered. Texts with other or adjoining white space, and
-    the few words that aren't plain, are encoded whole. Words are learned by a
-    faster BPE with the tokenizer's own vocabulary where there is one.
+    Where ``fast``, a faster BPE with the tokenizer's own vocabulary encodes
+    texts; those that hold a special token's string or are ``UNUSUAL`` go to
+    the tokenizer itself. Nothing is remembered from text to text.
     """
 
-    def __init__(self, p: Packing):
+    def __init__(self, path: str, fast: bool):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.most = Tokenizer.from_file(p.tokenizer), p.words
-        self.twin = fast_twin(p.tokenizer)
-        self.inner, self.first, self.old = {}, {}, ({}, {})
-        self.special = [x.content for x in self.tokenizer.get_added_tokens_decoder().values()]  # read as tokens, so such texts go whole
-        self.feed = self._whole(["\n"])[0]
-        if self.twin and not self._agree():
-            self.twin = None
+        self.tokenizer = Tokenizer.from_file(path)
+        self.twin = fast_twin(path) if fast else None
+        self.special = [x.content for x in self.tokenizer.get_added_tokens_decoder().values()]  # read as tokens
 
-    def _agree(self) -> bool:
-        """Whether the faster BPE gives the tokenizer's ids for the vocabulary's own texts, all of them."""
-        texts = [t for t in (self.tokenizer.decode([i]) for i in range(self.tokenizer.get_vocab_size())) if t and t not in self.special and "\ufffd" not in t]
-        return all(np.array(x, dtype="<u4").tobytes() == y for x, y in zip(self.twin.encode_ordinary_batch(texts, num_threads=1), self._whole(texts), strict=True))
-
-    def _whole(self, texts: list[str]) -> list[bytes]:
+    def whole(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(x.ids, dtype="<u4").tobytes() for x in found]
 
-    def _learn(self, words: set[str], known: dict, old: dict, lead: str) -> None:
-        """Ids of words that follow ``lead``; one call encodes many, a line each, and is cut at the line feeds."""
-        fresh = []
-        for w in words - known.keys():
-            if w in old:
-                known[w] = old[w]
-            else:
-                fresh.append(w)
-        for at in range(0, len(fresh), 2048):
-            part = fresh[at : at + 2048]
-            line = "\n".join([lead + w for w in part])
-            ids = self.twin.encode_ordinary(line) if self.twin else self.tokenizer.encode_batch_fast([line], add_special_tokens=False)[0].ids
-            ids = np.array(ids, dtype="<u4")
-            ends = np.append(np.flatnonzero(ids == np.frombuffer(self.feed, "<u4")[0]), len(ids)) * 4
-            data = ids.tobytes()
-            if len(ends) == len(part):
-                start = 0
-                for w, end in zip(part, ends.tolist(), strict=True):
-                    known[w] = data[start:end]
-                    start = end + 4
-            else:  # a word with the line feed's id of its own
-                known.update(zip(part, self._whole([lead + w for w in part]), strict=True))
-
-    def plain(self, text: str) -> bool:
-        odd = "  " in text or "\n " in text or " \n" in text or "\n\n" in text
-        return not odd and text[0] not in " \n" and text[-1] not in " \n" and not OTHER_SPACE.search(text) and not any(x in text for x in self.special)
+    def usual(self, text: str) -> bool:
+        return not any(x in text for x in self.special) and not UNUSUAL.search(text)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         out: list = [b""] * len(texts)
-        cut, whole = {}, []
-        inner, first = set(), set()
+        rest = []
         for i, text in enumerate(texts):
-            if not text:
-                continue
-            if not self.plain(text):
-                whole.append(i)
-                continue
-            cut[i] = lines = [line.split(" ") for line in text.split("\n")]
-            for words in lines:
-                first.add(words[0])
-                inner.update(words[1:])
-        if len(self.inner) + len(self.first) + len(inner) + len(first) > self.most:
-            self.old, self.inner, self.first = (self.inner, self.first), {}, {}
-        self._learn(inner, self.inner, self.old[0], " ")
-        self._learn(first, self.first, self.old[1], "")
-        known = self.inner.__getitem__
-        for i, lines in cut.items():
-            pieces = []
-            for words in lines:
-                pieces += (self.feed, self.first[words[0]])
-                pieces += map(known, words[1:])
-            out[i] = b"".join(pieces[1:])
-        if whole:
-            for i, found in zip(whole, self._whole([texts[i] for i in whole]), strict=True):
+            if text and self.twin and self.usual(text):
+                out[i] = self.twin.encode_to_numpy(text, disallowed_special=()).astype("<u4", copy=False).tobytes()
+            elif text:
+                rest.append(i)
+        if rest:
+            for i, found in zip(rest, self.whole([texts[i] for i in rest]), strict=True):
                 out[i] = found
         return out
 
 
-def _pieces(p: Packing):
+@functools.cache
+def agreed(path: str) -> bool:
+    """Whether the faster BPE gives the tokenizer's ids: for every text of its vocabulary, and for every character
+    of ``COMPARED`` inside words, inside numbers, and after spaces and line feeds."""
+    e = Encoder(path, True)
+    if e.twin is None:
+        return False
+    texts = [t for t in (e.tokenizer.decode([i]) for i in range(e.tokenizer.get_vocab_size())) if t and "\ufffd" not in t]
+    for at in range(0, len(COMPARED), 512):
+        texts.append("".join(f"a{c}b 1{c}2 {c}.\n{c}  {c}'s" for c in map(chr, COMPARED[at : at + 512])))
+    texts = [t for t in texts if not any(x in t for x in e.special)]
+    return [x.astype("<u4").tobytes() for x in (e.twin.encode_to_numpy(t, disallowed_special=()) for t in texts)] == e.whole(texts)
+
+
+def _pieces(p: Packing, fast: bool):
     import os
 
     def run(batches):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        encoder = worker_store(f"encoder {p.tokenizer} {p.words}", lambda: Encoder(p), large=True)
+        encoder = worker_store(f"encoder {p.tokenizer}", lambda: Encoder(p.tokenizer, fast), large=True)
         end, width = np.array([p.end], dtype="<u4").tobytes(), 4 * p.length
         for batch in batches:
             rows, group, held = [], [], 0
@@ -238,7 +200,7 @@ def _slots(patterns: list[tuple[int, tuple[int, ...]]]) -> list[tuple[int, int,
 def token_pieces(docs: DataFrame, params: Packing) -> DataFrame:
     """docs (doc_id, text, ...) -> doc_id, start, length, ids_crc32, doc_tokens: each document cut every ``length`` ids."""
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return slim.mapInArrow(_pieces(params), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long")
+    return slim.mapInArrow(_pieces(params, agreed(params.tokenizer)), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long")
 
 
 def pack_documents(docs: DataFrame, params: Packing) -> DataFrame:
