@@ -10,30 +10,33 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from partloom.llm.runtime import FEW, HOT, keyed_join, materialise
+from partloom.llm.runtime import HOT, keyed_join, materialise
 
+#: Edges of one node that a task takes without any care.
+FEW = 64
 
-def _with_least(rows: DataFrame, total: int, hot: bool) -> DataFrame:
+
+def _with_least(rows: DataFrame, hot: bool) -> DataFrame:
     """rows (u, v) with m, the least v of each u."""
     low = rows.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n_rows"))
     if not hot:
         return rows.join(low.drop("n_rows"), "u")
-    return keyed_join(rows, materialise(low, "least"), ["u"], total, "n_rows")
+    return keyed_join(rows, materialise(low, "least"), ["u"], "n_rows")
 
 
 def _both_ways(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("a").alias("u"), F.col("b").alias("v")).union(edges.select(F.col("b"), F.col("a")))
 
 
-def _large_star(edges: DataFrame, total: int, hot: bool) -> DataFrame:
+def _large_star(edges: DataFrame, hot: bool) -> DataFrame:
     """Each node's larger neighbours move to the least of the node and its neighbours."""
-    return _with_least(_both_ways(edges), 2 * total, hot).where("v > u").select(F.col("v").alias("a"), F.least("u", "m").alias("b"))
+    return _with_least(_both_ways(edges), hot).where("v > u").select(F.col("v").alias("a"), F.least("u", "m").alias("b"))
 
 
-def _small_star(edges: DataFrame, total: int, hot: bool) -> DataFrame:
+def _small_star(edges: DataFrame, hot: bool) -> DataFrame:
     """Each node and its smaller neighbours move to the least of them."""
     down = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
-    moved = _with_least(down, total, hot)
+    moved = _with_least(down, hot)
     return moved.select(F.when(F.col("v") != F.col("m"), F.col("v")).otherwise(F.col("u")).alias("a"), F.col("m").alias("b")).distinct()
 
 
@@ -55,8 +58,8 @@ def connected(edges: DataFrame, label: str = "components") -> DataFrame:
         n, most = mark[0], mark[3]
         hot = most > max(FEW, n // HOT)
         # Without a hub, no node has more smaller neighbours after the large star than it had edges before.
-        large = _large_star(now, n, hot)
-        then = materialise(_small_star(materialise(large, label) if hot else large, n, hot), label)
+        large = _large_star(now, hot)
+        then = materialise(_small_star(materialise(large, label) if hot else large, hot), label)
         now, before, mark = then, mark, _mark(then)
         if mark == before:
             break

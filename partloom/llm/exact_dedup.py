@@ -136,7 +136,7 @@ def exact_dedup(docs: DataFrame, is_history, params: ExactDedup = ExactDedup())
     slim = materialise(docs.select(F.col("doc_id").cast("long").alias("doc_id"), digest.alias("digest"), F.coalesce(is_history, F.lit(False)).alias("old")), "digests")
     groups = materialise(exact_groups(slim.where("old"), slim.where("not old"), params).select("digest", "winner", "count"), "groups")
     none = F.lit(-(1 << 63))
-    out = keyed_join(slim.select("doc_id", "digest"), groups, ["digest"], slim.count(), "count").withColumn("keep_id", F.when(F.col("winner") != none, F.col("winner")))
+    out = keyed_join(slim.select("doc_id", "digest"), groups, ["digest"], "count").withColumn("keep_id", F.when(F.col("winner") != none, F.col("winner")))
     return out.select("doc_id", "keep_id", F.col("count").alias("group_size"), F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))
 
 

@@ -167,7 +167,7 @@ def _verify(pairs: DataFrame, texts: DataFrame, p: NearDedup, label: str) -> Dat
     pairs = materialise(pairs.select("id", "rep"), "pairs")
     hubs = materialise(pairs.groupBy("rep").agg(F.count("*").alias("n_rows")).withColumn("parts", F.ceil(F.col("n_rows") / p.hub).cast("int")), "hubs")
     heads = hubs.select(F.col("rep").alias("doc_id"), "rep", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(None).cast("long").alias("id"))
-    others = keyed_join(pairs, hubs, ["rep"], pairs.count(), "n_rows").select(F.col("id").alias("doc_id"), "rep", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int").alias("part"), "id")
+    others = keyed_join(pairs, hubs, ["rep"], "n_rows").select(F.col("id").alias("doc_id"), "rep", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int").alias("part"), "id")
     rows = heads.union(others).join(texts, "doc_id").select("rep", "part", "id", "text")
     rows = rows.repartition("rep", "part").sortWithinPartitions("rep", "part", F.asc_nulls_first("id"))
     return materialise(rows.mapInArrow(_verifier(p), "a long, b long"), label)
@@ -314,12 +314,11 @@ def near_duplicates(docs: DataFrame, params: NearDedup = NearDedup()) -> DataFra
 
     banded = reps.select("id", F.explode("bands").alias("key"))
     buckets = materialise(banded.groupBy("key").agg(F.min("id").alias("first"), F.count("*").alias("n_members")).where("n_members > 1"), "buckets")
-    held = buckets.agg(F.coalesce(F.sum("n_members"), F.lit(0))).first()[0]
-    members = materialise(keyed_join(banded, buckets, ["key"], held, "n_members"), "members")
+    members = materialise(keyed_join(banded, buckets, ["key"], "n_members"), "members")
     stars = materialise(members.where("id <> first").groupBy("id", F.col("first").alias("rep")).agg(F.count("*").alias("shared")), "stars")
     sketches = reps.select("id", "n", "sketch")
     centres = stars.groupBy("rep").agg(F.count("*").alias("n_rows")).join(sketches.select(F.col("id").alias("rep"), F.col("n").alias("n2"), F.col("sketch").alias("s2")), "rep")
-    near = keyed_join(stars, materialise(centres, "centres"), ["rep"], stars.count(), "n_rows")
+    near = keyed_join(stars, materialise(centres, "centres"), ["rep"], "n_rows")
     near = near.join(sketches.select("id", F.col("n").alias("n1"), F.col("sketch").alias("s1")), "id").mapInArrow(_agreeing(p), "id long, rep long, shared long")
     near = materialise(near, "candidates")
 
@@ -333,17 +332,17 @@ def near_duplicates(docs: DataFrame, params: NearDedup = NearDedup()) -> DataFra
 
     crowd = materialise(_with_component(members.where("n_members > 2"), labels, "id", "comp").select("key", "id", "comp", "n_members"), "crowd")
     mixed = materialise(crowd.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("n_rows")).where("low < high").select("key", "n_rows"), "mixed")
-    crowd = keyed_join(crowd, mixed, ["key"], held, "n_rows").drop("n_rows").join(reps, "id")
+    crowd = keyed_join(crowd, mixed, ["key"], "n_rows").drop("n_rows").join(reps, "id")
     active = _in_groups(_block_pairs(crowd, p.block)).select("key", "lo", "hi", "mine", "id", "comp", "n", "bands", "sketch")
     active = materialise(active.mapInArrow(_unresolved(p), "key long, id long, comp long").distinct(), "unresolved")
     sizes = materialise(active.groupBy("key").agg(F.count("*").alias("n_members")), "sizes")
-    late = keyed_join(active, sizes, ["key"], active.count(), "n_members").join(reps, "id").join(texts.select(F.col("doc_id").alias("id"), "text"), "id")
+    late = keyed_join(active, sizes, ["key"], "n_members").join(reps, "id").join(texts.select(F.col("doc_id").alias("id"), "text"), "id")
     late = _in_groups(_block_pairs(late, p.block)).select("key", "lo", "hi", "mine", "id", "comp", "n", "bands", "sketch", "text")
     labels = _merged(labels, materialise(late.mapInArrow(_block_links(p), "a long, b long"), "links3"))
 
     named = _with_component(classes, labels, "class_id", "component_id").select("d1", "d2", "n", "component_id", "copies")
     named = materialise(named, "named")
     one = with_words.select("doc_id", "n", "d1", "d2")
-    found = keyed_join(one, named, ["d1", "d2", "n"], with_words.count(), "copies").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+    found = keyed_join(one, named, ["d1", "d2", "n"], "copies").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
     alone = sk.where("n = 0 or doc_id is null").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
     return found.union(alone).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))

@@ -16,10 +16,8 @@ from partloom.tables import written
 cloudpickle.register_pickle_by_value(partloom)
 
 
-#: A key with more than 1/HOT of all rows is hot, so there are fewer than HOT hot keys.
+#: The HOT most frequent keys reach their rows by broadcast; any other has fewer than 1/HOT of all rows.
 HOT = 512
-#: Rows of one key that a task takes without any care.
-FEW = 64
 
 
 def materialise(df: DataFrame, label: str) -> DataFrame:
@@ -27,16 +25,25 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     return written(df, label)
 
 
-def keyed_join(rows: DataFrame, per_key: DataFrame, key: list[str], total: int, count: str) -> DataFrame:
-    """rows joined with per_key, a written table of one row per key, whose column ``count`` says how many of the ``total`` rows have it.
+def keyed_join(rows: DataFrame, per_key: DataFrame, key: list[str], count: str) -> DataFrame:
+    """rows joined with per_key, a written table of one row per key, whose column ``count`` says how many of the rows have it.
 
-    Hot keys, fewer than HOT, meet their rows by a broadcast of their few rows; the others by a shuffle, in which
-    no key has more than total/HOT rows (or FEW). ``rows`` is read twice, so it should be a table or cheap.
+    The HOT most frequent keys meet their rows by a broadcast of their few rows, the others by a shuffle, in which no
+    key has 1/HOT of the rows, and in which rows that have met theirs are dealt evenly. The plan is the same whatever
+    the counts.
     """
-    limit = max(FEW, total // HOT)
-    hot, cold = per_key.where(F.col(count) > limit), per_key.where(F.col(count) <= limit)
-    few = F.broadcast(hot)
-    return rows.join(few, key).unionByName(rows.join(F.broadcast(hot.select(*key)), key, "left_anti").join(cold, key))
+    hot = materialise(per_key.orderBy(F.col(count).desc(), *key).limit(HOT), "hot")
+    got = F.struct(*[c for c in per_key.columns if c not in key])
+    met = rows.join(F.broadcast(hot.select(*key, got.alias("_few"))), key, "left")
+    even = F.xxhash64(*rows.columns)
+    even = F.unhex(F.hex(even)) if dict(rows.dtypes)[key[0]] == "binary" else even
+    first = F.when(F.col("_few").isNull(), F.col(key[0])).otherwise(even)
+    rest = per_key.select(*[F.col(k).alias(f"_{k}") for k in key], got.alias("_row"))
+    on = F.col("_few").isNull() & (first == F.col(f"_{key[0]}"))
+    for k in key[1:]:
+        on = on & (F.col(k) == F.col(f"_{k}"))
+    joined = met.join(rest, on, "left").withColumn("_got", F.coalesce("_few", "_row"))
+    return joined.where("_got is not null").select(*rows.columns, "_got.*")
 
 
 def worker_store(name: str, make, large: bool = False):

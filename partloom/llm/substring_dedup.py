@@ -224,8 +224,7 @@ def compacted(solid: DataFrame) -> DataFrame:
     inner = ends.where("times_before = left and only_after is not null").select(F.col("only_after").alias("id"), F.col("before").alias("only_before"))
     inner = into.where("entered = times").join(inner, ["id", "only_before"]).select("id", F.lit(True).alias("inner"))
     marks = materialise(into.select("id", "times").join(inner, "id", "left").select("id", "times", F.coalesce("inner", F.lit(False)).alias("inner")), "marks")
-    total = into.agg(F.coalesce(F.sum("times"), F.lit(0))).first()[0]
-    marked = keyed_join(rows.drop("before"), marks, ["id"], total, "times")
+    marked = keyed_join(rows.drop("before"), marks, ["id"], "times")
     marked = marked.withColumn("run", F.sum(F.when(F.col("inner"), 0).otherwise(1)).over(by_place.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
     return marked.groupBy("key", "run").agg(F.min("start").alias("start"), F.sum("n").cast("int").alias("n"), F.max(F.when(~F.col("inner"), F.col("id"))).alias("path")).drop("run")
 
@@ -244,8 +243,7 @@ def repeated_spans(keyed: DataFrame, params: SubstringDedup = SubstringDedup(),
     anchors = paths.groupBy("anchor").agg(F.count("*").alias("kinds")).where("kinds > 1").select("anchor")
 
     repeated = paths.where("times > 1").select("anchor", "whole", "n", "times")
-    total = repeated.agg(F.coalesce(F.sum("times"), F.lit(0))).first()[0]
-    solid = keyed_join(found, repeated, ["anchor", "whole", "n"], total, "times").select("key", "start", "n", F.xxhash64("anchor", "whole", "n").alias("id"))
+    solid = keyed_join(found, repeated, ["anchor", "whole", "n"], "times").select("key", "start", "n", F.xxhash64("anchor", "whole", "n").alias("id"))
     solid = compacted(solid).groupBy("key").agg(F.collect_list(F.struct("start", "n", "path")).alias("solid"))
 
     branching = paths.join(anchors, "anchor")
@@ -254,8 +252,7 @@ def repeated_spans(keyed: DataFrame, params: SubstringDedup = SubstringDedup(),
     kmers = keyed.join(asked, "key").mapInArrow(_window_rows(p, seed), "key long, start int, place int, times long, h1 long, h2 long")
     kmers = materialise(kmers, "kmers")
     more = materialise(kmers.groupBy("h1", "h2").agg(F.sum("times").alias("total"), F.count("*").alias("sources")).where("total > 1 and sources > 1").select("h1", "h2", "sources"), "more")
-    held = more.agg(F.coalesce(F.sum("sources"), F.lit(0))).first()[0]
-    single = keyed_join(kmers, more, ["h1", "h2"], held, "sources")
+    single = keyed_join(kmers, more, ["h1", "h2"], "sources")
     single = single.groupBy("key", "start").agg(F.collect_list(F.struct("place", "h1", "h2", (F.col("times") == 1).alias("gone"))).alias("kmers"))
     single = single.groupBy("key").agg(F.collect_list(F.struct("start", "kmers")).alias("single"))
     return solid.join(single, "key", "full")

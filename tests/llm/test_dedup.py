@@ -173,8 +173,8 @@ def test_a_hub_and_a_bucket_of_many_rows_are_split(spark, monkeypatch):
     from partloom.llm import components, runtime
 
     for module in (runtime, components):
-        monkeypatch.setattr(module, "FEW", 3)
         monkeypatch.setattr(module, "HOT", 4)
+    monkeypatch.setattr(components, "FEW", 3)
     edges = [(0, i) for i in range(1, 60)] + [(500, i) for i in range(400, 450)] + [(i, i + 1) for i in range(600, 620)]
     got = {r.id: r.comp for r in connected(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {**{i: 0 for i in range(60)}, **{i: 400 for i in [*range(400, 450), 500]}, **{i: 600 for i in range(600, 621)}}
