@@ -165,34 +165,65 @@ def digest(words: list[bytes]) -> bytes:
     return hashlib.blake2b(b" ".join(words), digest_size=16).digest()
 
 
+#: Rows that are cut at a time.
+ROWS = 256
+CHECK = pa.struct([("a", pa.int64()), ("b", pa.int64()), ("digest", pa.binary())])
+
+
+def _inside(column: pa.ListArray, i: int) -> pa.StructArray:
+    """The structs of row i."""
+    return column.values.slice(column.offsets[i].as_py(), column.value_lengths()[i].as_py() or 0)
+
+
+def _spans(solid: pa.ListArray, single: pa.ListArray, i: int, window: int):
+    """First word, end, whether it goes, a and b of row i's spans, and how many of them, the first ones, are paths."""
+    its, stretches = _inside(solid, i), _inside(single, i)
+    start = [its.field("start").to_numpy()]
+    stop = [start[0] + its.field("n").to_numpy() + window - 1]
+    gone, a, b = [np.ones(len(its), dtype=bool)], [its.field("path").to_numpy()], [np.zeros(len(its), dtype=np.int64)]
+    if len(stretches):
+        lists = stretches.field("kmers")
+        kmers = lists.flatten()
+        at = np.repeat(stretches.field("start").to_numpy(), lists.value_lengths().to_numpy()) + kmers.field("place").to_numpy()
+        start.append(at)
+        stop.append(at + window)
+        gone.append(kmers.field("gone").to_numpy(zero_copy_only=False))
+        a.append(kmers.field("h1").to_numpy())
+        b.append(kmers.field("h2").to_numpy())
+    return (*map(np.concatenate, (start, stop, gone, a, b)), len(its))
+
+
 def _cutter(p: SubstringDedup):
     """Rows (doc_id, text, solid, single) -> what is kept, and the digests of the spans by path or k-mer."""
 
     def run(batches):
-        for batch in batches:
-            rows, seen = [], []
-            for text, solid, single in zip(*(batch.column(c).to_pylist() for c in ("text", "solid", "single")), strict=True):
-                words = text.split() if text else []
-                edge, its = np.zeros(len(words) + 1, dtype=np.int64), []
-                for span in solid or ():
-                    at, end = span["start"], span["start"] + span["n"] + p.window - 1
-                    edge[at] += 1
-                    edge[end] -= 1
-                    its.append({"a": span["path"], "b": None, "digest": digest(words[at:end])})
-                for stretch in single or ():
-                    for kmer in stretch["kmers"]:
-                        at, end = stretch["start"] + kmer["place"], stretch["start"] + kmer["place"] + p.window
-                        if kmer["gone"]:
-                            edge[at] += 1
-                            edge[end] -= 1
-                        its.append({"a": kmer["h1"], "b": kmer["h2"], "digest": digest(words[at:end])})
-                gone = np.cumsum(edge[:-1]) > 0
-                kept = words if not its else [w for w, g in zip(words, gone.tolist(), strict=True) if not g]
-                rows.append((len(words), int(gone.sum()), b" ".join(kept)))
-                seen.append(its)
-            columns = [pa.array([r[k] for r in rows], type=kind) for k, kind in enumerate((pa.int64(), pa.int64(), pa.binary()))]
-            checks = pa.array(seen, type=pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64()), ("digest", pa.binary())])))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns, checks], names=["doc_id", "n_words", "n_removed", "kept", "checks"])
+        for whole in batches:
+            for lo in range(0, whole.num_rows, ROWS):
+                batch = whole.slice(lo, ROWS)
+                solid, single = batch.column("solid"), batch.column("single")
+                counts, kept, a, b, digests, ends = [], [], [], [], [], [0]
+                for i, text in enumerate(batch.column("text")):
+                    words = (text.as_py() or b"").split()
+                    removed, left = 0, words
+                    if solid[i].is_valid or single[i].is_valid:
+                        start, stop, gone, its_a, its_b, paths = _spans(solid, single, i, p.window)
+                        edge = np.zeros(len(words) + 1, dtype=np.int64)
+                        np.add.at(edge, start[gone], 1)
+                        np.add.at(edge, stop[gone], -1)
+                        inside = np.cumsum(edge[:-1]) > 0
+                        removed = int(inside.sum())
+                        left = [w for w, g in zip(words, inside.tolist(), strict=True) if not g]
+                        a.append(its_a)
+                        b.append(np.ma.array(its_b, mask=np.arange(len(its_b)) < paths))
+                        digests += [digest(words[x:y]) for x, y in zip(start.tolist(), stop.tolist(), strict=True)]
+                    counts.append((len(words), removed))
+                    kept.append(b" ".join(left))
+                    ends.append(len(digests))
+                none = np.zeros(0, dtype=np.int64)
+                flat = [pa.array(np.concatenate([none, *a])), pa.array(np.ma.concatenate([none, *b]).filled(0), mask=np.ma.getmaskarray(np.ma.concatenate([none, *b]))), pa.array(digests, type=pa.binary())]
+                checks = pa.ListArray.from_arrays(pa.array(ends, type=pa.int32()), pa.StructArray.from_arrays(flat, fields=list(CHECK)))
+                numbers = [pa.array([c[k] for c in counts], type=pa.int64()) for k in (0, 1)]
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *numbers, pa.array(kept, type=pa.binary()), checks], names=["doc_id", "n_words", "n_removed", "kept", "checks"])
 
     return run
 
