@@ -74,3 +74,16 @@ def safe_filename(name: Column) -> Column:
     clean = F.regexp_replace(F.regexp_replace(name, '[<>:"/\\\\|?*\\x00-\\x1F]', "_"), "^[. ]+|[. ]+$", "")
     stem = F.upper(F.substring_index(clean, ".", 1))
     return F.when(clean == "", "unnamed").when(stem.isin(*RESERVED), F.concat(F.lit("_"), clean)).otherwise(clean)
+
+
+def stable_uuid(key: Column) -> Column:
+    """An id in the form of a UUID that is the same for the same key, from its md5."""
+    h = F.md5(key.cast("binary"))
+    cut = lambda at, n: F.substring(h, at, n)
+    return F.concat_ws("-", cut(1, 8), cut(9, 4), cut(13, 4), cut(17, 4), cut(21, 12))
+
+
+def iso_time(at: Column) -> Column:
+    """A time as ISO 8601 text in UTC, to the second, whatever the session's zone."""
+    utc = F.to_utc_timestamp(at, F.current_timezone())
+    return F.date_format(utc, "yyyy-MM-dd'T'HH:mm:ss'Z'")

@@ -162,13 +162,21 @@ def mcnemar_chi2(b: Column, c: Column) -> Column:
 
 
 def chi2_p(chi2: Column) -> Column:
-    """Upper tail of chi-square with one degree of freedom; Spark has no erfc, so an Arrow-batched function over the few summary rows."""
+    """Upper tail of chi-square with one degree of freedom, erfc(sqrt(chi2 / 2)), in built-in functions.
 
-    @F.pandas_udf("double")
-    def tail(x: pd.Series) -> pd.Series:
-        return x.map(lambda v: math.erfc(math.sqrt(v / 2)), na_action="ignore")
+    Below 2.5 the positive series of erf, beyond it the continued fraction of erfc; both end far below double precision.
+    """
+    z = F.sqrt(chi2 / 2.0)
+    bell = F.exp(-z * z) / math.sqrt(math.pi)
+    start = F.struct(z.alias("sum"), z.alias("term"))
+
+    def add(acc, n):
+        term = acc["term"] * (2.0 * z * z) / (2.0 * n + 1.0)
+        return F.struct((acc["sum"] + term).alias("sum"), term.alias("term"))
 
-    return tail(chi2)
+    series = F.aggregate(F.sequence(F.lit(1), F.lit(80)), start, add, lambda acc: acc["sum"])
+    tail = F.aggregate(F.sequence(F.lit(-120), F.lit(-1)), F.lit(0.0), lambda t, k: (-k / 2.0) / (z + t))
+    return F.when(z < 2.5, 1.0 - 2.0 * bell * series).otherwise(bell / (z + tail))
 
 
 def mcnemar(df: DataFrame, right_a: Column, right_b: Column, group: list[str] = ()) -> DataFrame:

@@ -92,6 +92,42 @@ def topology_key(faces: Column, edges: Column, vertices: Column, areas: Column,
     return F.sha2(F.concat_ws("|", *parts).cast("binary"), 256)
 
 
+#: How many of the largest areas and lengths each kind of source puts into its key; None for no lengths at all.
+KEY_PARTS = {"exchange": (50, None), "shape": (50, 50), "mesh": (50, None)}
+
+
+def shape_key(kind: str, faces: Column, edges: Column, vertices: Column, areas: Column, lengths: Column) -> Column:
+    """The topology key as a kind of source computes it; keys of different kinds are never equal by intention.
+
+    Exchange files: areas alone. Shapes: areas and edge lengths. Meshes: triangle areas and no edges.
+    """
+    top, long = KEY_PARTS[kind]
+    return topology_key(faces, F.lit(0) if kind == "mesh" else edges, vertices, areas, lengths if long else None, top)
+
+
+def mesh_features(vertices: DataFrame, triangles: DataFrame, normals: DataFrame, axes: DataFrame) -> DataFrame:
+    """What a mesh tells of a part: area, volume, box, bounding cylinder along its axis, and the cylindrical share.
+
+    normals (mesh_id, vid, nx..nz); axes (mesh_id, ax..az), as from ``cloud.principal_axis``. A triangle counts as
+    cylindrical if the mean |normal . axis| of its corners is below 0.3. Meshes of under 4 vertices or 2 faces go.
+    """
+    sizes = mesh_measures(vertices, triangles).where("n_vertices >= 4 and n_faces >= 2")
+    a = g.triple("a")
+    mean = vertices.groupBy("mesh_id").agg(*[F.avg(k).alias(f"m{k}") for k in "xyz"])
+    j = vertices.join(mean, "mesh_id").join(axes, "mesh_id")
+    d = g.minus(g.triple("", "xyz"), g.triple("m"))
+    t = g.dot(d, a)
+    cyl = j.groupBy("mesh_id").agg((F.max(t) - F.min(t)).alias("bcyl_l"), (2 * F.max(g.norm(g.minus(d, g.times(a, t))))).alias("bcyl_d"))
+    lean = normals.join(axes, "mesh_id").select("mesh_id", "vid", F.abs(g.dot(g.triple("n"), a)).alias("lean"))
+    corner = lambda k: vertices.join(lean, ["mesh_id", "vid"], "left").select("mesh_id", F.col("vid").alias(k), *[F.col(c).alias(f"{k}{c}") for c in "xyz"], F.col("lean").alias(f"l{k}"))
+    tri = triangles.join(corner("a"), ["mesh_id", "a"]).join(corner("b"), ["mesh_id", "b"]).join(corner("c"), ["mesh_id", "c"])
+    area = g.norm(g.cross(g.minus(g.triple("b"), g.triple("a")), g.minus(g.triple("c"), g.triple("a")))) / 2
+    round_ = tri.groupBy("mesh_id").agg(F.sum(F.when((F.col("la") + F.col("lb") + F.col("lc")) / 3 < 0.3, area).otherwise(0.0)).alias("round_area"))
+    out = sizes.join(cyl, "mesh_id").join(round_, "mesh_id")
+    aspect = F.when(F.col("bcyl_d") > 1e-12, F.col("bcyl_l") / F.col("bcyl_d")).otherwise(0.0)
+    return out.withColumns({"aspect": aspect, "cyl_ratio": F.col("round_area") / F.greatest("area", F.lit(1e-12))}).drop("round_area")
+
+
 def mesh_measures(vertices: DataFrame, triangles: DataFrame) -> DataFrame:
     """vertices (mesh_id, vid, x, y, z), triangles (mesh_id, fid, a, b, c) -> mesh_id, area, volume, box, n_vertices, n_faces.
 

@@ -19,7 +19,9 @@ PART_RULES = (
     (r"flat[\s_-]*washer|\bplain[\s_-]*washer\b|\bwasher\b", "flat_washer"), (r"\brivet\b", "rivet"), (r"\bcirclip\b|snap[\s_-]*ring|retain", "snap_ring"), (r"\bstud\b", "stud"), (r"\bthreaded[\s_-]*rod\b", "stud"), (r"\banchor\b", "anchor"),
     (r"\bdowel\b|cylindrical[\s_-]*pin|taper[\s_-]*pin|roll[\s_-]*pin|split[\s_-]*pin", "pin"), (r"_pin\b|^pin_", "pin"), (r"\bscrew\b", "cap_screw"), (r"\bnut\b", "hex_nut"),
 )
-SKIP = r"\bassem(bly)?\b|_asm\b|compound"
+# Names that aren't single parts.
+SKIP = (r"\bassem(bly)?\b|_asm\b", r"compound")
+# Patterns of harvested names, their subtypes and reasons, in order.
 HARVEST_RULES = (
     (r"\b(?:iso|din)\s*[-_ ]?\s*(?:4762|912|7984)\b", "socket_screw", "standard"),
     (r"\b(?:iso|din)\s*[-_ ]?\s*(?:4014|4017|931|933|6921)\b", "hex_bolt", "standard"),
@@ -41,6 +43,7 @@ HARVEST_RULES = (
     (r"\b(?:retaining[-_ ]?ring|snap[-_ ]?ring|circlip|e[-_ ]?ring)\b", "snap_ring", "keyword"),
     (r"\banchor\b", "anchor", "keyword"),
 )
+# A metric size, names of other things and their reasons, assemblies, and words that only look like fasteners.
 METRIC_SIZE = r"\bm\s*\d+(?:[.,_]\d+)?\s*(?:x|X|by)\s*\d+(?:[.,_]\d+)?\b"
 NEGATIVE_RULES = (
     (r"\b(?:bracket|mounting[-_ ]?plate|plate|panel|cover|lid)\b", "structural"),
@@ -52,6 +55,7 @@ NEGATIVE_RULES = (
 )
 ASSEMBLY_HINT = r"\b(?:assembly|assemblage|assy|asm|subassembly|sub[-_ ]?asm)\b"
 OVERRIDE = r"\b(?:screwdriver|nutcracker|pinion|piniongear|washerfluid)\b"
+# Keywords of fasteners, a metric code, words that rule them out, and names that settle a class.
 KEYWORDS = (
     "bolt", "screw", "nut", "washer", "stud", "rivet", "fastener", "threaded", "dowel", "anchor", "clip", "circlip",
     "din125", "din126", "din127", "din128", "din912", "din913", "din914", "din915", "din916", "din931", "din933", "din934", "din935", "din936", "din7984", "din7985", "din7991", "din6912", "din6921", "din985", "din980", "din982",
@@ -72,7 +76,7 @@ def _any_case(name: Column, pattern: str) -> Column:
 
 
 def name_class(name: Column) -> Column:
-    out = F.when(_any_case(name, SKIP), "_skip")
+    out = F.when(_any_case(name, SKIP[0]) | _any_case(name, SKIP[1]), "_skip")
     for pattern, cls in PART_RULES:
         out = out.when(_any_case(name, pattern), cls)
     return out.otherwise("_unknown")

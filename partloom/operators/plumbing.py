@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from partloom.functions.text import family_stem, hash_fraction
+from partloom.operators.greedy import ranked
 from partloom.tables import written
 
 
@@ -195,3 +196,79 @@ def assembly_paths(nodes: DataFrame, node: str = "part_id", parent: str = "paren
         up = now.select(F.col("id").alias("head"), F.col("head").alias("next"), F.col("path").alias("above"), F.col("depth").alias("d"))
         now = now.join(up, "head", "left").select("id", F.col("next").alias("head"), F.when(F.col("above").isNotNull(), F.concat_ws(sep, "above", "path")).otherwise(F.col("path")).alias("path"), (F.col("depth") + F.coalesce("d", F.lit(0))).alias("depth"))
     return now.select("id", "path", "depth")
+
+
+def overlap(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
+    """Keys that both tables have, and those of one alone: n_shared, n_a_only, n_b_only."""
+    side = lambda df, name: df.select(F.col(key)).distinct().withColumn(name, F.lit(1))
+    j = side(a, "a").join(side(b, "b"), key, "full")
+    n = lambda c: F.coalesce(F.sum(c.cast("long")), F.lit(0))
+    both, one, other = F.col("a").isNotNull() & F.col("b").isNotNull(), F.col("b").isNull(), F.col("a").isNull()
+    return j.agg(n(both).alias("n_shared"), n(one).alias("n_a_only"), n(other).alias("n_b_only"))
+
+
+def paired_without(a: DataFrame, b: DataFrame, key: str, excluded: DataFrame) -> DataFrame:
+    """Rows of both tables side by side (a's columns, then b's as b_*), without the excluded keys."""
+    right = b.select(F.col(key), *[F.col(c).alias(f"b_{c}") for c in b.columns if c != key])
+    return a.join(right, key).join(excluded.select(key), key, "left_anti")
+
+
+def looked_up(rows: DataFrame, table: DataFrame, key: str, default: str = "_unknown") -> DataFrame:
+    """rows with the table's other columns, ``default`` where the key is missing there."""
+    found = [c for c in table.columns if c != key]
+    return rows.join(table, key, "left").na.fill(default, found)
+
+
+def union_keys(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
+    return a.select(key).union(b.select(key)).distinct()
+
+
+def common_keys(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
+    return a.select(key).intersect(b.select(key))
+
+
+def class_weighted_sample(rows: DataFrame, key: str, cls: str, n: int, seed: str = "sample") -> DataFrame:
+    """n rows without replacement, seeded, each class about as likely as any other whatever its size.
+
+    A row of a class with c rows has weight 1/c; the n least of -ln(u) / weight are taken (Efraimidis and Spirakis).
+    """
+    sizes = rows.groupBy(F.col(cls).alias("_cls")).agg(F.count("*").alias("_n"))
+    u = hash_fraction(F.concat(F.lit(seed + ":"), F.col(key).cast("string")))
+    j = rows.join(sizes, F.col(cls).eqNullSafe(F.col("_cls")))
+    ranked = j.withColumn("_at", -F.log(F.greatest(u, F.lit(1e-10))) * F.col("_n"))
+    return ranked.orderBy("_at", key).limit(n).drop("_cls", "_n", "_at")
+
+
+def padded(rows: DataFrame, group: str, order: str, value: str, length: int) -> DataFrame:
+    """group, values, mask: each group's values in order, cut or padded with zeros to one length; mask marks the padding."""
+    own = rows.groupBy(group).agg(F.transform(F.slice(F.array_sort(F.collect_list(F.struct(order, value))), 1, length), lambda r: r[value].cast("double")).alias("own"))
+    fill = lambda x: F.array_repeat(x, F.lit(length) - F.size("own"))
+    return own.select(group, F.concat("own", fill(F.lit(0.0))).alias("values"), F.concat(F.transform("own", lambda v: F.lit(False)), fill(F.lit(True))).alias("mask"))
+
+
+def model_samples(listing: DataFrame, split: str = "train", ratio: float = 0.8, marker: str = "face_grids.npy") -> DataFrame:
+    """listing (path, relative to the root) -> cls, class_idx, model: the samples of a split.
+
+    A model is a folder that holds the marker. If the root has a folder named as the split, that is read whole; else
+    the root's samples in order of class and model are cut at ``ratio`` (train before it). If the first five folders
+    are models themselves, the layout is flat and all are of the class ``_flat``; else folders are classes.
+    """
+    nested = bool(listing.agg(F.max(F.startswith("path", F.lit(split + "/")))).first()[0])
+    if nested:
+        listing = listing.where(F.startswith("path", F.lit(split + "/"))).withColumn("path", F.substring("path", len(split) + 2, 1 << 30))
+    parts = F.split("path", "/")
+    inside = listing.where((F.size(parts) > 1) & ~F.startswith("path", F.lit("."))).select(parts.alias("p"))
+    firsts = inside.groupBy(F.col("p")[0].alias("dir")).agg(F.max((F.size("p") == 2) & (F.col("p")[1] == marker)).alias("own")).orderBy("dir").limit(5).collect()
+    if firsts and all(r["own"] for r in firsts):
+        found = inside.where((F.size("p") == 2) & (F.col("p")[1] == marker)).select(F.lit("_flat").alias("cls"), F.col("p")[0].alias("model"))
+        classes = found.select("cls").distinct()
+    else:
+        found = inside.where((F.size("p") == 3) & (F.col("p")[2] == marker)).select(F.col("p")[0].alias("cls"), F.col("p")[1].alias("model"))
+        classes = inside.select(F.col("p")[0].alias("cls")).distinct()
+    index = classes.select("cls", (F.row_number().over(Window.orderBy("cls")) - 1).cast("int").alias("class_idx"))  # as many as classes
+    found = found.distinct().join(index, "cls")
+    if nested:
+        return found.select("cls", "class_idx", "model")
+    placed = written(ranked(found.withColumn("all", F.lit(0)), "all", F.struct("cls", "model")), "samples")
+    cut = int(placed.count() * ratio)
+    return placed.where(F.col("rank") < cut if split == "train" else F.col("rank") >= cut).select("cls", "class_idx", "model")

@@ -54,6 +54,11 @@ def losses(new: DataFrame, old: DataFrame, tags: str | None = None, flags: list[
     return out
 
 
+def count_losses(counts: DataFrame) -> DataFrame:
+    """counts (kind, before, after), as of PMI and relationships -> kind, lost where there are fewer than before."""
+    return counts.where((F.col("before") > 0) & (F.col("after") < F.col("before"))).select("kind", (F.col("before") - F.col("after")).alias("lost"))
+
+
 def transfer_losses(new: DataFrame, old: DataFrame, tags: str | None = None, flags: list[str] = ()) -> DataFrame:
     f = losses(new, old, tags, flags).agg(F.count("*").alias("f")).crossJoin(old.agg(F.count("*").alias("n")))
     return f.select(*_row("transfer_losses", F.col("f") == 0, F.greatest(F.lit(0.0), 1.0 - F.col("f") / F.greatest("n", F.lit(1))), F.col("f")))
@@ -91,6 +96,22 @@ def topology_attribution(stats: DataFrame) -> DataFrame:
     return stats.agg(*_row("topology", after == 0, 1.0 - after / F.greatest(F.coalesce(F.sum("before"), F.lit(0)), after, F.lit(1)), after))
 
 
+def topology_check(files: DataFrame) -> DataFrame:
+    """files (path, n_failed, healed, remaining_invalid; the last two null without repair statistics) -> passed, score, detail.
+
+    Failures are laid to the source as far as it had solids that couldn't be healed, then to the conversion.
+    """
+    failed, healed, left = F.col("n_failed"), F.coalesce("healed", F.lit(0)), F.coalesce("remaining_invalid", F.lit(0))
+    made = F.greatest(F.lit(0), failed - left)
+    say = lambda n, text: F.when(n > 0, F.concat(n.cast("string"), F.lit(text)))
+    named = F.concat_ws("; ", say(left, " unhealable from source"), say(made, " introduced by conversion"), say(healed, " source solid(s) auto-healed"))
+    known = F.col("remaining_invalid").isNotNull()
+    why = F.when(~known, "").when(named == "", " (source unknown)").otherwise(F.concat(F.lit(" ("), named, F.lit(")")))
+    good = F.when(healed > 0, F.concat(F.lit("all solids pass ("), healed.cast("string"), F.lit(" healed before writing)"))).otherwise("all solids pass")
+    detail = F.when(failed == 0, good).otherwise(F.concat(failed.cast("string"), F.lit(" solids failed"), why))
+    return files.select("path", (failed == 0).alias("passed"), F.when(failed == 0, 1.0).otherwise(0.0).alias("score"), detail.alias("detail"))
+
+
 def report(checks: list[DataFrame]) -> DataFrame:
     """All check rows."""
     out = checks[0]

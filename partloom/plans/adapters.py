@@ -50,6 +50,11 @@ SELECT l_partkey AS part_id, l_orderkey * 10 + l_linenumber AS face_index,
        l_quantity / 4e0 AS radius, 1e0 + l_tax * 1e2 AS length, l_orderkey % 3 = 0 AS is_internal,
        CASE l_linenumber % 5 WHEN 0 THEN 'plane' WHEN 1 THEN 'cylinder' WHEN 2 THEN 'cone' WHEN 3 THEN 'torus' ELSE 'sphere' END AS stype
 FROM {lineitem}""",
+    "fx_radii": """
+SELECT part_id, face_index, face_index % 10 = 3 AS inner_,
+       CASE WHEN face_index % 10 = 3 THEN CASE part_id % 5 WHEN 3 THEN 25e-1 ELSE 1e0 + radius / 16e0 END
+            ELSE CASE part_id % 5 WHEN 0 THEN 3e0 WHEN 1 THEN CASE face_index % 10 WHEN 1 THEN 3e0 ELSE 5e0 END WHEN 2 THEN 4e0 + CAST(face_index % 10 AS DOUBLE) / 1e1 ELSE 2e0 + radius / 8e0 END END AS r
+FROM fx_cylinders WHERE face_index % 10 IN (1, 2) OR face_index % 10 = 3 AND part_id % 3 <> 0""",
     "fx_pred": """
 SELECT l.doc_id, l.quality AS y, d.source, d.lang,
        CAST((l.doc_id * 7919) % 1000 AS DOUBLE) / 1e3 AS pa, CAST((l.doc_id * 104729) % 1000 AS DOUBLE) / 1e3 AS pb,

@@ -64,25 +64,6 @@ def iso_standard_histogram(spark, sf_dir):
     return standards.best_match(_scored(spark, sf_dir)).groupBy("standard", "variant").agg(F.count("*").alias("n"))
 
 
-@query(f"""{MATCH}, rep AS (SELECT part_id, CAST(part_id % 4 + 1 AS INT) AS repetition FROM fx_dims),
-j AS (SELECT f.part_id, f.cyl_ratio >= 15e-2 AND f.aspect >= 2e-2 AS cand, b.type, b.standard, b.variant, coalesce(b.score, 0e0) AS s, r.repetition,
-  greatest(f.dx, f.dy, f.dz) > 5e2 OR f.bcyl_d * f.bcyl_l * 3e0 > 5e5 AS big, coalesce(f.head_d >= 13e-1 * f.bcyl_d, false) AS strict_head
-  FROM fx_dims f LEFT JOIN best b ON b.part_id = f.part_id JOIN rep r ON r.part_id = f.part_id),
-k AS (SELECT *, NOT cand AS rej, cand AND (big OR coalesce(type IN ({BOLT}), false) AND NOT strict_head) AS ref FROM j),
-c AS (SELECT *, CASE WHEN rej OR ref OR type IS NULL THEN 'unclassified' ELSE type END AS base, CASE WHEN rej OR ref THEN 0e0 ELSE s END AS c0 FROM k),
-d AS (SELECT *, CASE WHEN NOT rej AND repetition >= 3 THEN least(c0 + 1e-1, 1e0) ELSE c0 END AS confidence FROM c)
-SELECT part_id, CASE WHEN confidence < 6e-1 THEN 'unclassified' WHEN confidence < 9e-1 THEN 'possible_' || base ELSE base END AS fastener_type,
- CASE WHEN NOT rej AND NOT ref AND s >= 3e-1 AND confidence >= 6e-1 THEN standard END AS standard,
- CASE WHEN NOT rej AND NOT ref AND s >= 3e-1 AND confidence >= 6e-1 THEN variant END AS variant, confidence FROM d""")
-def classify_parts(spark, sf_dir):
-    f = view(spark, sf_dir, "fx_dims").withColumns({
-        "max_bbox": F.greatest("dx", "dy", "dz"), "volume": F.col("bcyl_d") * F.col("bcyl_l") * 3.0, "n_torus": F.lit(0), "repetition": (F.col("part_id") % 4 + 1).cast("int"),
-        "strict_head": F.coalesce(F.col("head_d") >= 1.3 * F.col("bcyl_d"), F.lit(False)),
-        "sig_type": F.lit(None).cast("string"), "sig_conf": F.lit(None).cast("double"), "sig_shaft": F.lit(None).cast("double"), "sig_head": F.lit(None).cast("double"),
-    })
-    return standards.classify(f, standards.standards(spark))
-
-
 @query(f"{ctes('fx_dims')}, s AS (SELECT part_id, list_sort([dx, dy, dz]) AS d FROM fx_dims) SELECT part_id, (d[1] + d[2]) / 2 AS bcyl_d, d[3] AS bcyl_l, CASE WHEN (d[1] + d[2]) / 2 > 1e-12 THEN d[3] / ((d[1] + d[2]) / 2) ELSE 0e0 END AS aspect FROM s")
 def bounding_cylinder(spark, sf_dir):
     return ft.bounding_cylinder(view(spark, sf_dir, "fx_dims").select("part_id", "dx", "dy", "dz")).select("part_id", "bcyl_d", "bcyl_l", "aspect")
@@ -128,18 +109,66 @@ def principal_shaft(spark, sf_dir):
 
 
 def _sig_features(spark, sf_dir):
-    d = view(spark, sf_dir, "fx_dims")
-    c = view(spark, sf_dir, "fx_cylinders")
-    radii = c.groupBy("part_id").agg(F.collect_list(F.when(~F.col("is_internal"), F.col("radius"))).alias("ext"), F.collect_list(F.when(F.col("is_internal"), F.col("radius"))).alias("internal"))
+    d, r = view(spark, sf_dir, "fx_dims"), view(spark, sf_dir, "fx_radii")
+    radii = r.groupBy("part_id").agg(F.collect_list(F.when(~F.col("inner_"), F.col("r"))).alias("ext"), F.collect_list(F.when(F.col("inner_"), F.col("r"))).alias("internal"))
     s = F.array_sort(F.array("dx", "dy", "dz"))
     k = F.col("part_id")
     counts = {"n_plane": k % 9, "n_cone": F.when(k % 4 == 0, 2).otherwise(0), "n_torus": F.when(k % 8 == 0, 1).otherwise(0), "n_sphere": F.lit(0), "num_faces": k % 40 + 6}
     return d.join(radii, "part_id").withColumns({"d0": s[0], "d1": s[1], "d2": s[2], "volume": F.col("bcyl_d") * F.col("bcyl_l"), **{n: v.cast("int") for n, v in counts.items()}})
 
 
-@query()
+# Clusters of radii by a walk in rising order; then the decision list, the first rule that holds.
+SIGNED = f"""{ctes('fx_dims', 'fx_radii').replace('WITH', 'WITH RECURSIVE', 1)}, placed AS (SELECT part_id, inner_, r, row_number() OVER (PARTITION BY part_id, inner_ ORDER BY r) AS i FROM fx_radii),
+stepped AS (SELECT part_id, inner_, i, r, r AS head, 0 AS c FROM placed WHERE i = 1
+  UNION ALL SELECT p.part_id, p.inner_, p.i, p.r, CASE WHEN (p.r - w.head) / greatest(w.head, 1e-9) <= 5e-2 THEN w.head ELSE p.r END, CASE WHEN (p.r - w.head) / greatest(w.head, 1e-9) <= 5e-2 THEN w.c ELSE w.c + 1 END
+  FROM stepped w JOIN placed p ON p.part_id = w.part_id AND p.inner_ = w.inner_ AND p.i = w.i + 1),
+clusters AS (SELECT part_id, inner_, c, median(r) AS m, count(*) AS n FROM stepped GROUP BY 1, 2, 3),
+of_clusters AS (SELECT part_id, count(*) FILTER (NOT inner_) AS nec, count(*) FILTER (inner_) AS nic, arg_min(m, c) FILTER (NOT inner_) AS first_, arg_max(m, c) FILTER (NOT inner_) AS last_, arg_max(m, n * 1000e0 + m) FILTER (NOT inner_) AS common FROM clusters GROUP BY 1),
+of_radii AS (SELECT part_id, count(*) FILTER (NOT inner_) AS ne, count(*) FILTER (inner_) AS ni, max(r) FILTER (inner_) AS mi, min(r) FILTER (inner_) AS li, min(r) FILTER (NOT inner_) AS me, max(r) FILTER (NOT inner_) AS top_e, median(r) FILTER (NOT inner_) AS med_e, median(r) FILTER (inner_) AS med_i FROM fx_radii GROUP BY 1),
+wide AS (SELECT f.*, list_sort([dx, dy, dz]) AS d, r.* EXCLUDE (part_id), c.* EXCLUDE (part_id), CAST(f.part_id % 9 AS INT) AS np, CASE WHEN f.part_id % 4 = 0 THEN 2 ELSE 0 END AS nco, CASE WHEN f.part_id % 8 = 0 THEN 1 ELSE 0 END AS nto, CAST(f.part_id % 40 + 6 AS INT) AS nf FROM fx_dims f JOIN of_radii r ON r.part_id = f.part_id JOIN of_clusters c ON c.part_id = f.part_id),
+x AS (SELECT *, aspect AS a, d[1] / d[3] AS f, nco + nto >= 1 OR coalesce(head_d > 0, false) OR coalesce(nec >= 2 AND last_ >= 13e-1 * first_, false) AS h FROM wide),
+ruled AS (SELECT *, CASE WHEN d[3] > 5e2 OR bcyl_d * bcyl_l > 5e5 OR coalesce(ne > 0 AND me > 30, false) THEN 0
+ WHEN coalesce(f <= 4e-1 AND d[2] / d[3] >= 8e-1 AND ni >= 1 AND ne >= 1 AND np >= 2 AND nf <= 60 AND nto <= 4 AND top_e > 115e-2 * li, false) THEN 1
+ WHEN coalesce(a BETWEEN 2e-1 AND 18e-1 AND ni >= 1 AND np >= 6 AND mi > 0 AND (NOT coalesce(top_e > 12e-1 * med_i, false) OR a < 8e-1), false) THEN 2
+ WHEN coalesce(a BETWEEN 1e0 AND 15e0 AND ne >= 2 AND ni >= 1 AND nec >= 2 AND last_ >= 13e-1 * first_ AND mi > 0 AND mi < 11e-1 * first_ AND first_ <= 30, false) THEN 3
+ WHEN coalesce(a BETWEEN 12e-1 AND 15e0 AND ne >= 1 AND h AND np >= 6 AND (ni = 0 OR mi < 6e-1 * me), false) THEN CASE WHEN common > 30 THEN 0 ELSE 4 END
+ WHEN coalesce(a >= 5 AND f <= 25e-2 AND nco >= 1 AND ne >= 3 AND ni >= 1, false) THEN CASE WHEN med_e > 15 THEN 0 ELSE 5 END
+ WHEN coalesce(a >= 3 AND f <= 35e-2 AND ne >= 1 AND NOT h AND np <= 10 AND (ni = 0 OR mi < 5e-1 * me), false) THEN CASE WHEN med_e > 30 THEN 0 ELSE 6 END
+ WHEN coalesce(a BETWEEN 4e-1 AND 10e0 AND f <= 5e-1 AND ne >= 1 AND NOT h AND ni = 0 AND np <= 4 AND med_e BETWEEN 4e-1 AND 10e0, false) THEN 7
+ WHEN coalesce(a BETWEEN 4e-1 AND 30e0 AND f <= 5e-1 AND ne >= 2 AND nec >= 2 AND ni = 0 AND np <= 6 AND first_ BETWEEN 4e-1 AND 30e0 AND last_ / first_ BETWEEN 11e-1 AND 3e0, false) THEN 8
+ WHEN coalesce(a BETWEEN 5e-1 AND 25e-1 AND f BETWEEN 4e-1 AND 1e0 AND ni >= 1 AND np BETWEEN 4 AND 6 AND mi > 0 AND med_i BETWEEN 1e0 AND 20e0, false) THEN 9
+ WHEN coalesce(a BETWEEN 7e-1 AND 22e-1 AND f <= 7e-1 AND ni >= 3 AND ne >= 6 AND nec = 1 AND nic <= 3 AND mi > 0 AND nco >= 2 AND np >= 2 AND med_i BETWEEN 15e-1 AND 15e0 AND last_ > 115e-2 * med_i, false) THEN 10
+ WHEN coalesce(a BETWEEN 5e-1 AND 4e0 AND f <= 4e-1 AND ne >= 1 AND NOT h AND ni >= 1 AND mi > 0 AND mi < 9e-1 * me, false) THEN CASE WHEN med_e > 30 THEN 0 ELSE 11 END ELSE 0 END AS sig_rule FROM x),
+signed AS (SELECT *, ['flat_washer', 'hex_nut', 'socket_head_cap_screw', 'hex_bolt', 'wood_screw', 'threaded_stud', 'dowel_pin', 'dowel_pin', 'square_nut', 'threaded_insert', 'set_screw'][nullif(sig_rule, 0)] AS sig_type, [9e-1, 9e-1, 88e-2, 85e-2, 75e-2, 8e-1, 78e-2, 78e-2, 82e-2, 78e-2, 75e-2][nullif(sig_rule, 0)] AS sig_conf,
+ CASE sig_rule WHEN 1 THEN 2 * li WHEN 3 THEN 2 * first_ WHEN 8 THEN 2 * first_ WHEN 4 THEN 2 * common WHEN 2 THEN 2 * med_i WHEN 9 THEN 2 * med_i WHEN 10 THEN 2 * med_i WHEN 0 THEN NULL ELSE 2 * med_e END AS sig_shaft,
+ CASE sig_rule WHEN 1 THEN 2 * top_e WHEN 2 THEN greatest(d[2], 3 * med_i) WHEN 3 THEN 2 * last_ WHEN 4 THEN 2 * CASE WHEN last_ <= 11e-1 * common THEN bcyl_d / 2 ELSE last_ END WHEN 5 THEN 2 * top_e WHEN 8 THEN 2 * last_ WHEN 9 THEN d[2] WHEN 10 THEN 2 * last_ WHEN 0 THEN NULL ELSE 2 * med_e END AS sig_head,
+ nco + nto >= 1 OR coalesce(nec >= 2 AND last_ >= 13e-1 * first_, false) OR coalesce(bcyl_d > 0 AND head_d >= 13e-1 * bcyl_d, false) AS strict_head FROM ruled)"""
+
+
+@query(SIGNED + " SELECT part_id, sig_rule, sig_type, sig_conf, round(sig_shaft, 9) AS sig_shaft, round(sig_head, 9) AS sig_head, strict_head FROM signed")
 def part_signature(spark, sf_dir):
-    return with_signature(_sig_features(spark, sf_dir)).select("part_id", "sig_rule", "sig_type", "sig_conf", "sig_shaft", "sig_head", "strict_head")
+    return with_signature(_sig_features(spark, sf_dir)).select("part_id", "sig_rule", "sig_type", "sig_conf", F.round("sig_shaft", 9).alias("sig_shaft"), F.round("sig_head", 9).alias("sig_head"), "strict_head")
+
+
+FAMILY = f"CASE WHEN sig_type IN ('hex_bolt', 'socket_head_cap_screw', 'threaded_stud', 'set_screw', 'wood_screw', 'dowel_pin') THEN i.type IN ({BOLT}) WHEN sig_type IN ('hex_nut', 'square_nut', 'threaded_insert') THEN i.type IN ({NUT}) WHEN sig_type = 'flat_washer' THEN i.type IN ({WASH}) ELSE true END"
+MEASURED = "coalesce(sig_shaft > 0, false)"
+SHAFT_GAP = f"least(CASE WHEN {MEASURED} THEN abs(sig_shaft - i.ref_shaft) END, CASE WHEN {MEASURED} AND sig_type = 'hex_nut' THEN abs(sig_shaft + 15e-1 - i.ref_shaft) END, CASE WHEN NOT {MEASURED} AND bcyl_d > 0 THEN abs(bcyl_d - i.ref_shaft) END)"
+HEAD_GAP = "least(CASE WHEN sig_head > 0 THEN abs(sig_head - i.ref_head) END, abs(head_d - i.ref_head))"
+
+
+@query(f"""{SIGNED}, {ISO}, graded AS (SELECT s.part_id, i.*, {_grade(SHAFT_GAP, "3e-1", "15e-2")} + {_grade(HEAD_GAP, "2e-1", "1e-1")} + {_grade("abs(head_h - i.ref_height)", "15e-2", "7e-2")} + CASE WHEN i.ref_pitch > 0 AND has_thread THEN 5e-2 ELSE 0e0 END
+  + CASE WHEN i.type IN ({BOLT}) AND aspect BETWEEN 15e-1 AND 15e0 THEN 1e-1 WHEN i.type IN ({NUT}) AND aspect BETWEEN 3e-1 AND 15e-1 THEN 1e-1 WHEN i.type IN ({WASH}) AND aspect BETWEEN 5e-2 AND 5e-1 THEN 1e-1 ELSE 0e0 END + CASE WHEN cyl_ratio > 5e-1 THEN 5e-2 ELSE 0e0 END AS score
+  FROM signed s JOIN iso i ON {FAMILY} WHERE cyl_ratio >= 15e-2 AND (aspect >= 2e-2 OR nto > 0)),
+best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY part_id ORDER BY score DESC, std_ord, variant_ord) AS rn FROM graded WHERE score > 0) WHERE rn = 1),
+j AS (SELECT s.*, cyl_ratio >= 15e-2 AND (aspect >= 2e-2 OR nto > 0) AS cand, b.type, b.standard, b.variant, least(coalesce(b.score, 0e0), 1e0) AS sc, CAST(s.part_id % 4 + 1 AS INT) AS repetition, d[3] > 5e2 OR bcyl_d * bcyl_l * 3e0 > 5e5 AS big FROM signed s LEFT JOIN best b ON b.part_id = s.part_id),
+k AS (SELECT *, sig_type IS NOT NULL AND sig_conf >= 75e-2 AND sc < 4e-1 AS by_sign, sig_type IS NOT NULL AND sc >= 4e-1 AS both_, NOT cand OR sig_type IS NULL AND (big OR coalesce(type IN ({BOLT}), false) AND NOT strict_head) AS out_ FROM j),
+c AS (SELECT *, CASE WHEN out_ THEN 'unclassified' WHEN by_sign OR both_ THEN sig_type ELSE coalesce(type, 'unclassified') END AS base, CASE WHEN out_ THEN 0e0 WHEN by_sign THEN sig_conf * 85e-2 WHEN both_ THEN least(1e0, 4e-1 * sig_conf + 6e-1 * sc + 2e-1) ELSE sc END AS c0, NOT out_ AND NOT by_sign AND sc >= 3e-1 AS sized FROM k),
+e AS (SELECT *, round(CASE WHEN cand AND repetition >= 3 THEN least(c0 + 1e-1, 1e0) ELSE c0 END, 9) AS confidence FROM c)
+SELECT part_id, CASE WHEN confidence < 6e-1 THEN 'unclassified' WHEN confidence < 9e-1 THEN 'possible_' || base ELSE base END AS fastener_type, CASE WHEN sized AND confidence >= 6e-1 THEN standard END AS standard, CASE WHEN sized AND confidence >= 6e-1 THEN variant END AS variant, confidence FROM e""")
+def classify_parts(spark, sf_dir):
+    signed = with_signature(_sig_features(spark, sf_dir))
+    f = signed.withColumns({"max_bbox": F.greatest("dx", "dy", "dz"), "volume": F.col("bcyl_d") * F.col("bcyl_l") * 3.0, "repetition": (F.col("part_id") % 4 + 1).cast("int")})
+    return standards.classify(f, standards.standards(spark)).withColumn("confidence", F.round("confidence", 9))
 
 
 EDGES = f"""{ctes('fx_shafts', 'fx_holes')}, met AS (
@@ -223,10 +252,11 @@ def coaxial_clusters(spark, sf_dir):
     return _clustered(spark, sf_dir).select("part_id", "face_index", "cluster")
 
 
-@query("SELECT 'contained_in' AS kind, n_nationkey AS subject_id, n_regionkey AS target_id, 1 AS depth, CAST(1 AS DOUBLE) AS confidence, false AS inferred FROM nation")
+@query(f"{ctes('fx_parts')} SELECT 'contained_in' AS kind, part_id AS subject_id, part_id // 3 AS target_id, 1 AS depth, CAST(1 AS DOUBLE) AS confidence, false AS inferred FROM fx_parts WHERE part_id > 20 AND kind <= 2")
 def contained_in(spark, sf_dir):
-    parts = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("part_id"), F.col("n_regionkey").alias("parent_id"))
-    return joints.contained_in(parts, parts)
+    k = F.col("part_id")
+    parts = view(spark, sf_dir, "fx_parts").withColumn("parent_id", F.when(k > 20, F.floor(k / 3)))
+    return joints.contained_in(parts, parts.where("kind <= 2"))
 
 
 @query("""WITH own AS (SELECT doc_id, sha256(coalesce(text, '')) AS h FROM documents), first_ AS (SELECT h, min(doc_id) AS canonical_id FROM own GROUP BY h)

@@ -63,15 +63,28 @@ def distance_buckets(spark, sf_dir):
     return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", cloud.distance_bucket(F.col("l_quantity") * 4.0).alias("bucket"))
 
 
-@query()
+PICK = "first_value(pid) OVER w AS pick, first_value(x) OVER w AS px, first_value(y) OVER w AS py, first_value(z) OVER w AS pz"
+
+
+@query(f"""{PTS.replace('WITH', 'WITH RECURSIVE', 1)}, fp AS (SELECT 0 AS step, sample_id, pid, x, y, z, CAST('infinity' AS DOUBLE) AS d, {PICK} FROM fx_points WINDOW w AS (PARTITION BY sample_id ORDER BY pid)
+UNION ALL SELECT step + 1, sample_id, pid, x, y, z, d, {PICK} FROM (SELECT step, sample_id, pid, x, y, z, least(d, (x - px) * (x - px) + (y - py) * (y - py) + (z - pz) * (z - pz)) AS d FROM fp WHERE step < 7) WINDOW w AS (PARTITION BY sample_id ORDER BY d DESC, pid))
+SELECT DISTINCT sample_id, step, pick AS pid FROM fp""")
 def farthest_point_sample(spark, sf_dir):
     return cloud.farthest_points(_points(spark, sf_dir), 8)
 
 
-@query()
+# The covariance squared over and over tends to the projection on its main axis.
+@query(f"""{PTS.replace('WITH', 'WITH RECURSIVE', 1)}, c AS (SELECT sample_id, covar_pop(x, x) AS xx, covar_pop(x, y) AS xy, covar_pop(x, z) AS xz, covar_pop(y, y) AS yy, covar_pop(y, z) AS yz, covar_pop(z, z) AS zz, avg(x) AS mx, avg(y) AS my, avg(z) AS mz FROM fx_points GROUP BY 1),
+q AS (SELECT 0 AS k, sample_id, xx / (xx + yy + zz) AS xx, xy / (xx + yy + zz) AS xy, xz / (xx + yy + zz) AS xz, yy / (xx + yy + zz) AS yy, yz / (xx + yy + zz) AS yz, zz / (xx + yy + zz) AS zz FROM c
+UNION ALL SELECT k + 1, sample_id, xx / t, xy / t, xz / t, yy / t, yz / t, zz / t FROM (SELECT k, sample_id, xx * xx + xy * xy + xz * xz AS xx, xx * xy + xy * yy + xz * yz AS xy, xx * xz + xy * yz + xz * zz AS xz, xy * xy + yy * yy + yz * yz AS yy, xy * xz + yy * yz + yz * zz AS yz, xz * xz + yz * yz + zz * zz AS zz,
+  xx * xx + 2 * xy * xy + 2 * xz * xz + yy * yy + 2 * yz * yz + zz * zz AS t FROM q WHERE k < 40)),
+v AS (SELECT sample_id, CASE WHEN xx >= yy AND xx >= zz THEN [xx, xy, xz] WHEN yy >= zz THEN [xy, yy, yz] ELSE [xz, yz, zz] END AS v FROM q WHERE k = 40),
+a AS (SELECT sample_id, v[1] / sqrt(v[1] * v[1] + v[2] * v[2] + v[3] * v[3]) AS ax, v[2] / sqrt(v[1] * v[1] + v[2] * v[2] + v[3] * v[3]) AS ay, v[3] / sqrt(v[1] * v[1] + v[2] * v[2] + v[3] * v[3]) AS az FROM v),
+d AS (SELECT p.sample_id, x - mx AS x, y - my AS y, z - mz AS z, ax, ay, az, (x - mx) * ax + (y - my) * ay + (z - mz) * az AS t FROM fx_points p JOIN c ON c.sample_id = p.sample_id JOIN a ON a.sample_id = p.sample_id)
+SELECT sample_id, round(max(t) - min(t), 6) AS length, round(2 * max(sqrt((x - t * ax) ** 2 + (y - t * ay) ** 2 + (z - t * az) ** 2)), 6) AS diameter FROM d GROUP BY 1""")
 def pca_axis(spark, sf_dir):
     p = _points(spark, sf_dir)
-    return cloud.axis_measures(p, cloud.principal_axis(p))
+    return cloud.axis_measures(p, cloud.principal_axis(p)).select("sample_id", F.round("length", 6).alias("length"), F.round("diameter", 6).alias("diameter"))
 
 
 EF = "ef AS (SELECT l_orderkey % 400 AS sample_id, l_partkey % 97 AS edge_index, l_suppkey % 30 AS face_index FROM lineitem)"
@@ -100,9 +113,14 @@ def shortest_paths(spark, sf_dir):
     return cloud.shortest_paths(_face_edges(spark, sf_dir))
 
 
-@query()
+# Paths through faces 0 .. k - 1 only, for k up to 30.
+@query(ADJ + """, e AS (SELECT d.sample_id, d.i, d.j, acos(greatest(-1e0, least(1e0, a.nx * b.nx + a.ny * b.ny + a.nz * b.nz))) AS w FROM adj d JOIN nm a ON a.sample_id = d.sample_id AND a.face_index = d.i JOIN nm b ON b.sample_id = d.sample_id AND b.face_index = d.j),
+both_ AS (SELECT sample_id, i, j, w FROM e UNION ALL SELECT sample_id, j, i, w FROM e), fw AS (SELECT 0 AS k, sample_id, i, j, min(w) AS d FROM (SELECT * FROM both_ UNION ALL SELECT DISTINCT sample_id, i, i, 0e0 FROM both_) GROUP BY 2, 3, 4
+UNION ALL SELECT k + 1, sample_id, i, j, min(d) FROM (SELECT k, sample_id, i, j, d FROM fw UNION ALL SELECT a.k, a.sample_id, a.i, b.j, a.d + b.d FROM fw a JOIN fw b ON a.sample_id = b.sample_id AND a.j = a.k AND b.i = a.k) WHERE k < 30 GROUP BY 1, 2, 3, 4)
+SELECT sample_id, i, j, round(d, 6) AS d, round(d, 6) AS edge_path FROM fw WHERE k = 30""")
 def angular_paths(spark, sf_dir):
-    return cloud.shortest_paths(_face_edges(spark, sf_dir), weighted=True)
+    paths = cloud.shortest_paths(_face_edges(spark, sf_dir), weighted=True).withColumn("d", F.round("d", 6))
+    return paths.withColumn("edge_path", F.col("d"))
 
 
 @query(f"{PTS} SELECT sample_id, max(x) AS x, max(y) AS y, max(z) AS z FROM fx_points GROUP BY sample_id")
@@ -110,10 +128,17 @@ def max_pool(spark, sf_dir):
     return cloud.max_pool(_points(spark, sf_dir), ["sample_id"], ["x", "y", "z"])
 
 
-@query()
+# In order: a part that isn't taken seeds the later free parts near it.
+@query(f"""{ctes('fx_dims').replace('WITH', 'WITH RECURSIVE', 1)}, p AS MATERIALIZED (SELECT part_id, bcyl_d AS d, bcyl_l AS l, CASE WHEN part_id % 3 = 0 THEN 0e0 ELSE bcyl_d * bcyl_l * (1e0 + 15e-3 * CAST(part_id % 5 AS DOUBLE)) END AS v, row_number() OVER (ORDER BY part_id) AS i FROM fx_dims WHERE bcyl_d > 0 AND bcyl_l > 0),
+near AS MATERIALIZED (SELECT s.i, list(b.i ORDER BY b.i) AS js FROM p s JOIN p b ON b.i > s.i AND abs(s.d - b.d) / s.d <= 2e-2 AND abs(s.l - b.l) / s.l <= 2e-2 AND CASE WHEN s.v > 0 AND b.v > 0 THEN abs(s.v - b.v) / s.v <= 2e-2 ELSE true END GROUP BY s.i),
+g AS (SELECT CAST(0 AS BIGINT) AS i, CAST([] AS BIGINT[]) AS taken, CAST([] AS BIGINT[]) AS own
+UNION ALL SELECT i + 1, CASE WHEN len(own) > 0 THEN list_concat(list_append(taken, i + 1), own) ELSE taken END, own FROM (SELECT g.i, g.taken, CASE WHEN n.js IS NULL OR list_contains(g.taken, g.i + 1) THEN CAST([] AS BIGINT[]) ELSE list_filter(n.js, lambda j: NOT list_contains(g.taken, j)) END AS own FROM g LEFT JOIN near n ON n.i = g.i + 1 WHERE g.i < (SELECT max(i) FROM p))),
+m AS (SELECT i AS seed, unnest(list_append(own, i)) AS i, len(own) + 1 AS repetition FROM g WHERE len(own) > 0)
+SELECT p.part_id, s.part_id AS seed_id, m.repetition FROM m JOIN p ON p.i = m.i JOIN p s ON s.i = m.seed""")
 def repetition_groups(spark, sf_dir):
-    f = view(spark, sf_dir, "fx_dims")
-    return group_repeats(f.select("part_id", F.col("part_id").alias("ord"), F.col("bcyl_d").alias("diameter"), F.col("bcyl_l").alias("length"), F.lit(0.0).alias("volume")))
+    f, k = view(spark, sf_dir, "fx_dims"), F.col("part_id")
+    volume = F.when(k % 3 == 0, 0.0).otherwise(F.col("bcyl_d") * F.col("bcyl_l") * (1.0 + 0.015 * (k % 5).cast("double")))
+    return group_repeats(f.select("part_id", k.alias("ord"), F.col("bcyl_d").alias("diameter"), F.col("bcyl_l").alias("length"), volume.alias("volume")))
 
 
 RULE_TYPES = ("unclassified", "hex_bolt", "possible_hex_nut", "flat_washer")

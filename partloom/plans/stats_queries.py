@@ -144,10 +144,19 @@ def mcnemar_chi2(spark, sf_dir):
     return es.mcnemar(*_rights(_pred(spark, sf_dir)))
 
 
-@query()
+# erfc by the series of erf below 2.5 and by its continued fraction beyond.
+TAIL = f"""{P.replace('WITH', 'WITH RECURSIVE', 1)}, c AS (SELECT source, {CELLS} FROM fx_pred GROUP BY source UNION ALL SELECT 'all', {CELLS} FROM fx_pred), m AS (SELECT source, {CHI2} FROM c), z AS (SELECT source, chi2, sqrt(chi2 / 2e0) AS z FROM m),
+series AS (SELECT 0 AS n, source, z, z AS term, z AS total FROM z UNION ALL SELECT n + 1, source, z, term * 2e0 * z * z / (2e0 * n + 3e0), total + term * 2e0 * z * z / (2e0 * n + 3e0) FROM series WHERE n < 80),
+fraction AS (SELECT 120 AS k, source, z, 0e0 AS t FROM z UNION ALL SELECT k - 1, source, z, (k / 2e0) / (z + t) FROM fraction WHERE k > 0)
+SELECT z.source, round(chi2, 9) AS chi2, round(CASE WHEN z.z < 25e-1 THEN 1e0 - 2e0 * exp(-z.z * z.z) / sqrt(pi()) * s.total ELSE exp(-z.z * z.z) / sqrt(pi()) / (z.z + f.t) END, 9) AS p
+FROM z JOIN series s ON s.source IS NOT DISTINCT FROM z.source AND s.n = 80 JOIN fraction f ON f.source IS NOT DISTINCT FROM z.source AND f.k = 0"""
+
+
+@query(TAIL)
 def mcnemar_p(spark, sf_dir):
-    m = es.mcnemar(*_rights(_pred(spark, sf_dir)))
-    return m.select("chi2", es.chi2_p(F.col("chi2")).alias("p"))
+    df, a, b = _rights(_pred(spark, sf_dir))
+    every = es.mcnemar(df, a, b, ["source"]).unionByName(es.mcnemar(df, a, b).withColumn("source", F.lit("all")))
+    return every.select("source", F.round("chi2", 9).alias("chi2"), F.round(es.chi2_p(F.col("chi2")), 9).alias("p"))
 
 
 @query(f'{P}, c AS (SELECT lang, {CELLS} FROM fx_pred GROUP BY lang) SELECT lang, a_only, b_only, "both", neither, {CHI2} FROM c')
@@ -218,9 +227,9 @@ def class_weights(spark, sf_dir):
     return es.class_weights(_pred(spark, sf_dir), "source")
 
 
-@query(f"{P}, c AS (SELECT y5 AS y, p5 AS pred, count(*) AS n FROM fx_pred WHERE y5 <> p5 GROUP BY 1, 2) SELECT * FROM c ORDER BY n DESC, y, pred LIMIT 5")
+@query(f"{P}, c AS (SELECT y5 AS y, p5 AS pred, count(*) AS n FROM fx_pred WHERE y5 <> p5 GROUP BY 1, 2) SELECT * FROM c ORDER BY n DESC, y, pred LIMIT 30")
 def top_confused(spark, sf_dir):
-    return es.top_confused(_cells(spark, sf_dir), 5)
+    return es.top_confused(_cells(spark, sf_dir))
 
 
 @query("""WITH l AS (SELECT vec_id, list_transform(embedding[1:8], lambda x: CAST(x AS DOUBLE)) AS z FROM embeddings), e AS (SELECT vec_id, list_transform(z, lambda x: exp(x - list_max(z))) AS e FROM l),

@@ -8,37 +8,114 @@ import struct
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from partloom.functions import geometry as g
+from partloom.operators.features import shape_key
 from partloom.sources.schemas import MANIFEST
 
 
-def read_manifests(spark: SparkSession, path: str) -> dict[str, DataFrame]:
-    """Manifest JSON files -> tables meta, parts, relationships, pmi, keyed by manifest_id (the file); unknown keys are ignored."""
-    docs = spark.read.schema(MANIFEST).json(path, multiLine=True).withColumn("manifest_id", F.input_file_name())
+def manifest_tables(docs: DataFrame) -> dict[str, DataFrame]:
+    """docs (manifest_id and the columns of MANIFEST) -> tables meta, parts, relationships, pmi."""
     each = lambda name: docs.select("manifest_id", F.posexplode(name).alias("ord", "x")).select("manifest_id", "ord", "x.*")
     return {"meta": docs.select("manifest_id", "meta.*"), "parts": each("parts"), "relationships": each("relationships"), "pmi": each("global_pmi")}
 
 
+def read_manifests(spark: SparkSession, path: str) -> dict[str, DataFrame]:
+    """Manifest JSON files -> tables meta, parts, relationships, pmi, keyed by manifest_id (the file); unknown keys are ignored."""
+    return manifest_tables(spark.read.schema(MANIFEST).json(path, multiLine=True).withColumn("manifest_id", F.input_file_name()))
+
+
+def _zip_members(batches):
+    import io
+    import zipfile
+
+    import pandas as pd
+
+    for pdf in batches:
+        rows = []
+        for path, content in zip(pdf["path"], pdf["content"], strict=True):
+            with zipfile.ZipFile(io.BytesIO(bytes(content))) as archive:
+                rows += [(path, i, m.filename, m.file_size, archive.read(m)) for i, m in enumerate(archive.infolist()) if not m.is_dir()]
+        yield pd.DataFrame(rows, columns=["path", "pos", "member", "size", "content"])
+
+
+def zip_members(files: DataFrame) -> DataFrame:
+    """files (path, content) of zip archives -> their members, in order, with their contents."""
+    return files.select("path", "content").mapInPandas(_zip_members, "path string, pos int, member string, size long, content binary")
+
+
+def bundle_manifests(members: DataFrame) -> dict[str, DataFrame]:
+    """members (path, member, content) -> the manifest tables of bundles, keyed by the bundle's path."""
+    own = members.where("member = 'manifest.json'").select(F.col("path").alias("manifest_id"), F.from_json(F.decode("content", "UTF-8"), MANIFEST).alias("m"))
+    return manifest_tables(own.select("manifest_id", "m.*"))
+
+
+def open_bundle(spark: SparkSession, path: str) -> dict[str, DataFrame]:
+    """The manifest tables of a bundle, a folder or a zip file (or a pattern of zip files). Zip members are read in place."""
+    if path.rstrip("/").endswith(".zip"):
+        return bundle_manifests(zip_members(_files(spark, path)))
+    return read_manifests(spark, f"{path.rstrip('/')}/manifest.json")
+
+
 def read_unreal_bundle(spark: SparkSession, path: str) -> DataFrame:
-    """Bundle JSON (parts with location in cm, left-handed) -> part_id, name, parent_id, translation in canonical mm."""
-    schema = "parts array<struct<uuid:string,name:string,parent:string,location:array<double>,rotation:array<double>,scale:array<double>,mesh_bin:string>>"
-    docs = spark.read.schema(schema).json(path, multiLine=True)
+    """Bundle JSON (cm, left-handed) -> bundle, ord, part_id, name, translation in canonical mm, rotation, scale, mesh_ref,
+    material (the first, or a grey default), source_type, tags. Bundles know no parents."""
+    material = "struct<name:string,base_color:array<double>,metallic:double,roughness:double>"
+    part = f"uuid:string,name:string,transform:struct<translation:array<double>,rotation:array<double>,scale:array<double>>,mesh_ref:string,materials:array<{material}>,source_provenance:map<string,string>,tags:array<string>"
+    docs = spark.read.schema(f"parts array<struct<{part}>>").json(path, multiLine=True)
     p = docs.select(F.input_file_name().alias("bundle"), F.posexplode("parts").alias("ord", "p")).select("bundle", "ord", "p.*")
-    at = lambda i, k: F.coalesce(F.get("location", i), F.lit(0.0)) * k
-    return p.select("bundle", "ord", F.col("uuid").alias("part_id"), "name", F.col("parent").alias("parent_id"), F.array(at(0, 10.0), at(1, -10.0), at(2, 10.0)).alias("translation"), F.col("rotation").alias("rotation_quat"), "scale", "mesh_bin")
+    at = lambda i, k: F.coalesce(F.get("transform.translation", i), F.lit(0.0)) * k
+    first, name = F.get("materials", 0), F.coalesce("name", F.lit("Unknown"))
+    grey = F.array(*map(F.lit, GREY))
+    return p.select(
+        "bundle", "ord", F.col("uuid").alias("part_id"), name.alias("name"), F.array(at(0, 10.0), at(1, -10.0), at(2, 10.0)).alias("translation"),
+        F.coalesce("transform.rotation", F.array(*map(F.lit, (0.0, 0.0, 0.0, 1.0)))).alias("rotation_quat"), F.coalesce("transform.scale", F.array(*[F.lit(1.0)] * 3)).alias("scale"), "mesh_ref",
+        F.struct(F.coalesce(first["name"], F.concat(F.lit("mat_"), name)).alias("name"), F.coalesce(first["base_color"], grey).alias("base_color"), F.coalesce(first["metallic"], F.lit(0.0)).alias("metallic"), F.coalesce(first["roughness"], F.lit(0.5)).alias("roughness")).alias("material"),
+        F.when(F.coalesce(F.try_element_at("source_provenance", F.lit("Datasmith_SourceCADPath")), F.lit("")) != "", "original_step").otherwise("unreal_native").alias("source_type"), F.coalesce("tags", F.array().cast("array<string>")).alias("tags"),
+    )
+
+
+# The colour of parts without a material.
+GREY = (0.7, 0.7, 0.7, 1.0)
+
+
+def read_datasmith_materials(spark: SparkSession, path: str) -> DataFrame:
+    """Materials defined in scene XML (elements with properties): name, base_color, metallic, roughness; a later one wins."""
+    schema = "_Name string, Property array<struct<_Name:string,_Value:string>>"
+    out = None
+    for source_ord, tag in enumerate(("Material", "MasterMaterial")):
+        rows = spark.read.format("xml").option("rowTag", tag).schema(schema).load(path).withColumn("ord", F.struct(F.lit(source_ord), F.monotonically_increasing_id()))
+        out = rows if out is None else out.unionByName(rows)
+    out = out.where("Property is not null").groupBy(F.col("_Name").alias("name")).agg(F.max_by("Property", "ord").alias("p"))
+    value = lambda k: F.get(F.filter("p", lambda x: x["_Name"] == k), 0)["_Value"]
+    color = F.transform(F.split(F.regexp_replace(value("BaseColor"), "[()]", ""), ","), lambda x: x.try_cast("double"))
+    rgba = F.when(F.size(color) >= 3, F.array_append(F.slice(color, 1, 3), F.lit(1.0))).otherwise(F.array(*map(F.lit, GREY)))
+    number = lambda k, default: F.coalesce(value(k).try_cast("double"), F.lit(default))
+    return out.select("name", F.coalesce(rgba, F.array(*map(F.lit, GREY))).alias("base_color"), number("Metallic", 0.0).alias("metallic"), number("Roughness", 0.5).alias("roughness"))
 
 
 def read_datasmith(spark: SparkSession, path: str) -> DataFrame:
-    """Actors of scene XML, ``Actor`` rows before ``StaticMeshActor`` rows, with their material ids and tags."""
+    """Actors of scene XML, ``Actor`` rows before ``StaticMeshActor`` rows: names, mesh, materials, tags, metadata, provenance, place.
+
+    part_id is the id that an earlier export left in the metadata, else the name.
+    """
     transform = "Transform struct<_tx:double,_ty:double,_tz:double,_qx:double,_qy:double,_qz:double,_qw:double,_sx:double,_sy:double,_sz:double>"
-    schema = f"_name string, _label string, mesh struct<_name:string>, material array<struct<_id:int,_name:string>>, tag array<struct<_value:string>>, {transform}"
+    schema = f"_Name string, _Label string, _Layer string, _Folder string, _Mesh string, Material array<struct<_Name:string>>, Tag array<struct<_Value:string>>, MetaData array<struct<_Key:string,_Value:string>>, {transform}"
     out = None
     for source_ord, tag in enumerate(("Actor", "StaticMeshActor")):
         rows = spark.read.format("xml").option("rowTag", tag).schema(schema).load(path).withColumn("source_ord", F.lit(source_ord)).withColumn("element", F.lit(tag))
         out = rows if out is None else out.unionByName(rows)
     t = F.col("Transform")
+    pairs = F.coalesce("MetaData", F.array().cast("array<struct<_Key:string,_Value:string>>"))
+    meta = F.map_from_entries(F.transform(F.filter(pairs, lambda m: m["_Key"].isNotNull()), lambda m: F.struct(m["_Key"], m["_Value"])))
+    out = out.withColumn("metadata", meta)
+    known = F.get(F.map_values(F.map_filter("metadata", lambda k, v: F.endswith(k, F.lit("_uuid")))), 0)
+    source = lambda k: F.try_element_at("metadata", F.lit(k))
+    whole = lambda k, default: F.coalesce(t[k], F.lit(default))
     return out.select(
-        "source_ord", "element", F.col("_name").alias("part_id"), F.coalesce("_label", "_name").alias("name"), F.col("mesh._name").alias("mesh"), F.transform("material", lambda m: m["_name"]).alias("materials"), F.transform("tag", lambda x: x["_value"]).alias("tags"),
-        F.array(t["_tx"] * 10.0, t["_ty"] * -10.0, t["_tz"] * 10.0).alias("translation"), F.array(*[t[f"_q{k}"] for k in "xyzw"]).alias("rotation_quat"), F.array(*[t[f"_s{k}"] for k in "xyz"]).alias("scale"),
+        "source_ord", "element", F.coalesce(known, "_Name").alias("part_id"), F.coalesce("_Label", "_Name").alias("name"), F.col("_Mesh").alias("mesh"), F.col("_Layer").alias("layer"), F.col("_Folder").alias("folder"),
+        F.transform("Material", lambda m: m["_Name"]).alias("materials"), F.transform("Tag", lambda x: x["_Value"]).alias("tags"), "metadata",
+        F.when(source("Datasmith_SourceCADPath").isNotNull(), "original_step").otherwise("unreal_native").alias("source_type"), source("Datasmith_SourceCADPath").alias("source_path"), source("Datasmith_SourceHash").alias("source_hash"),
+        F.array(whole("_tx", 0.0) * 10.0, whole("_ty", 0.0) * -10.0, whole("_tz", 0.0) * 10.0).alias("translation"), F.array(*[whole(f"_q{k}", float(k == "w")) for k in "xyzw"]).alias("rotation_quat"), F.array(*[whole(f"_s{k}", 1.0) for k in "xyz"]).alias("scale"),
     )
 
 
@@ -93,10 +170,38 @@ def _files(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("path", "content")
 
 
-def read_gltf_nodes(spark: SparkSession, path: str) -> DataFrame:
-    """Nodes of glTF/GLB files with their parents (children inverted) and ids from extras."""
+def gltf_nodes_of(files: DataFrame) -> DataFrame:
+    """files (path, content) -> nodes of glTF/GLB documents with their parents (children inverted) and ids from extras."""
     schema = "path string, node int, name string, part_id string, parent int, mesh int, translation array<double>, rotation array<double>, scale array<double>, matrix array<double>"
-    return _files(spark, path).mapInPandas(_gltf_nodes, schema)
+    return files.select("path", "content").mapInPandas(_gltf_nodes, schema)
+
+
+def read_gltf_nodes(spark: SparkSession, path: str) -> DataFrame:
+    return gltf_nodes_of(_files(spark, path))
+
+
+def _gltf_materials(batches):
+    import pandas as pd
+
+    for pdf in batches:
+        rows = []
+        for path, content in zip(pdf["path"], pdf["content"], strict=True):
+            doc, _ = split_glb(bytes(content))
+            for i, node in enumerate(doc.get("nodes", [])):
+                name, extras = node.get("name") or f"Node_{i}", node.get("extras") or {}
+                primitives = doc["meshes"][node["mesh"]].get("primitives", []) if node.get("mesh") is not None else []
+                at, made = primitives[0].get("material") if primitives else None, doc.get("materials", [])
+                m = made[at] if at is not None and at < len(made) else {"name": f"mat_{name}"}
+                pbr = m.get("pbrMetallicRoughness", {})
+                color = (list(map(float, pbr.get("baseColorFactor", GREY))) + [1.0])[:4]
+                rows.append((path, i, name, m.get("name") or f"material_{at}", color, float(pbr.get("metallicFactor", 0.0)), float(pbr.get("roughnessFactor", 0.5)), m.get("alphaMode", "OPAQUE").lower(), bool(m.get("doubleSided", False)), extras.get("source_type", "unreal_native")))
+        yield pd.DataFrame(rows, columns=["path", "node", "name", "material", "base_color", "metallic", "roughness", "alpha_mode", "double_sided", "source_type"])
+
+
+def gltf_materials_of(files: DataFrame) -> DataFrame:
+    """files (path, content) -> the material of each node: that of its mesh's first primitive, else a grey one."""
+    schema = "path string, node int, name string, material string, base_color array<double>, metallic double, roughness double, alpha_mode string, double_sided boolean, source_type string"
+    return files.select("path", "content").mapInPandas(_gltf_materials, schema)
 
 
 def _gltf_triangles(batches):
@@ -119,13 +224,35 @@ def _gltf_triangles(batches):
                         for j, axis in enumerate("xyz"):
                             out[f"{name}{axis}"] = corners[:, k, j]
                     base += len(xyz)
-                    yield out
+                    yield out.assign(n_vertices=base)
 
 
-def read_gltf_triangles(spark: SparkSession, path: str) -> DataFrame:
-    """Triangles of all TRIANGLES primitives, vertex numbers running on over a mesh's primitives, with their corners."""
+def gltf_triangles_of(files: DataFrame) -> DataFrame:
+    """files (path, content) -> triangles of all TRIANGLES primitives with their corners.
+
+    Vertex numbers run on over a mesh's primitives; n_vertices is their number so far.
+    """
     corners = ", ".join(f"{n}{a} double" for n in "abc" for a in "xyz")
-    return _files(spark, path).mapInPandas(_gltf_triangles, f"path string, mesh int, a long, b long, c long, {corners}")
+    return files.select("path", "content").mapInPandas(_gltf_triangles, f"path string, mesh int, a long, b long, c long, {corners}, n_vertices long")
+
+
+def read_gltf_triangles(spark: SparkSession, path: str) -> DataFrame:
+    return gltf_triangles_of(_files(spark, path))
+
+
+def mesh_fingerprints(triangles: DataFrame) -> DataFrame:
+    """Triangles of glTF meshes -> path, mesh, box, volume and area in canonical mm, counts and topology key."""
+    t = triangles
+    for k in "abc":
+        for axis, value in zip("xyz", g.gltf_to_canonical(g.triple(k)), strict=True):
+            t = t.withColumn(f"_{k}{axis}", value)
+    a, b, c = (g.triple(f"_{k}") for k in "abc")
+    normal = g.cross(g.minus(b, a), g.minus(c, a))
+    t = t.withColumn("_area", g.norm(normal) / 2).withColumn("_six", g.dot(a, normal))
+    box = [f(F.greatest(*[F.col(f"_{k}{x}") for k in "abc"]) if n == "max" else F.least(*[F.col(f"_{k}{x}") for k in "abc"])).alias(f"{n}_{x}") for n, f in (("min", F.min), ("max", F.max)) for x in "xyz"]
+    out = t.groupBy("path", "mesh").agg(*box, F.abs(F.sum("_six") / 6).alias("volume"), F.sum("_area").alias("area"), F.max("n_vertices").alias("n_vertices"), F.count("*").alias("n_faces"), F.collect_list("_area").alias("_areas"))
+    key = shape_key("mesh", F.col("n_faces").cast("string"), F.lit(0), F.col("n_vertices").cast("string"), F.col("_areas"), F.array().cast("array<double>"))
+    return out.withColumn("topology_hash", key).drop("_areas")
 
 
 MOST_VERTICES, MOST_INDICES = 10_000_000, 30_000_000
@@ -156,9 +283,37 @@ def _udsmesh(batches):
         yield pd.DataFrame(rows, columns=["path", "n_vertices", "n_faces", "xyz", "indices"])
 
 
+MESH = "path string, n_vertices int, n_faces int, xyz array<float>, indices array<long>"
+
+
+def udsmesh_of(files: DataFrame) -> DataFrame:
+    """files (path, content) of binary meshes; those without a sane header give empty meshes."""
+    return files.select("path", "content").mapInPandas(_udsmesh, MESH)
+
+
 def read_udsmesh(spark: SparkSession, path: str) -> DataFrame:
-    """Binary meshes; files without a sane header give empty meshes."""
-    return _files(spark, path).mapInPandas(_udsmesh, "path string, n_vertices int, n_faces int, xyz array<float>, indices array<long>")
+    return udsmesh_of(_files(spark, path))
+
+
+def _bundle_meshes(batches):
+    import numpy as np
+    import pandas as pd
+
+    for pdf in batches:
+        rows = []
+        for path, content in zip(pdf["path"], pdf["content"], strict=True):
+            content = bytes(content)
+            v, i = struct.unpack_from("<II", content, 8) if len(content) >= 16 else (0, 0)
+            ok = 0 < v <= MOST_VERTICES and i % 3 == 0 and 16 + 12 * v + 4 * i <= len(content)
+            v, i = (v, i) if ok else (0, 0)
+            xyz = np.frombuffer(content, "<f4", 3 * v, 16).reshape(-1, 3) * np.array([10, -10, 10], "<f4") if v else np.zeros((0, 3))
+            rows.append((path, v, i // 3, xyz.ravel().tolist(), np.frombuffer(content, "<u4", i, 16 + 12 * v).tolist() if i else []))
+        yield pd.DataFrame(rows, columns=["path", "n_vertices", "n_faces", "xyz", "indices"])
+
+
+def bundle_meshes_of(files: DataFrame) -> DataFrame:
+    """files (path, content) of a bundle's mesh files (mark, version, two counts, vertices, indices) in canonical mm."""
+    return files.select("path", "content").mapInPandas(_bundle_meshes, MESH)
 
 
 def read_url_manifest(spark: SparkSession, path: str, csv: bool = False, keep_marked: bool = False) -> DataFrame:
@@ -179,8 +334,11 @@ def read_url_manifest(spark: SparkSession, path: str, csv: bool = False, keep_ma
 
 
 def product_names(spark: SparkSession, path: str) -> DataFrame:
-    """The first PRODUCT name in the first 2 MiB of each exchange file, else its stem."""
-    files = _files(spark, path)
+    return product_names_of(_files(spark, path))
+
+
+def product_names_of(files: DataFrame) -> DataFrame:
+    """files (path, content): the first PRODUCT name in the first 2 MiB of each exchange file, else its stem."""
     head = F.decode(F.substring("content", 1, 2097152), "ISO-8859-1")
     found = F.regexp_extract(head, "(?i)PRODUCT\\s*\\(\\s*'([^']+)'", 1)
     stem = F.regexp_replace(F.substring_index("path", "/", -1), "\\.[^.]*$", "")

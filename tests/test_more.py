@@ -135,7 +135,7 @@ def test_more_plumbing(spark):
 
 
 def test_more_sources(spark, tmp_path):
-    (tmp_path / "b.json").write_text(json.dumps({"parts": [{"uuid": "u", "name": "n", "location": [1, 2, 3]}]}))
+    (tmp_path / "b.json").write_text(json.dumps({"parts": [{"uuid": "u", "name": "n", "transform": {"translation": [1, 2, 3]}, "mesh_ref": "m.bin"}]}))
     assert readers.read_unreal_bundle(spark, f"{tmp_path}/b.json").first().translation == [10.0, -20.0, 30.0]
     (tmp_path / "split.json").write_text(json.dumps({"train": [f"s{i}" for i in range(200)], "test": ["t"]}))
     got = [r.split for r in readers.split_file(spark, f"{tmp_path}/split.json").collect()]

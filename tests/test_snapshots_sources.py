@@ -149,7 +149,7 @@ def test_readers(spark, tmp_path):
     (tmp_path / "p.step").write_text("x\n#1 = PRODUCT ( 'Bolt' ,'','');")
     (tmp_path / "q.step").write_text("nothing")
     assert sorted(r.name for r in readers.product_names(spark, f"{tmp_path}/*.step").collect()) == ["Bolt", "q"]
-    (tmp_path / "scene.xml").write_text('<S><StaticMeshActor name="m1" label="L"><mesh name="x"/><Transform tx="1" ty="2" tz="3"/></StaticMeshActor><Actor name="a1"/></S>')
+    (tmp_path / "scene.xml").write_text('<S><StaticMeshActor Name="m1" Label="L" Mesh="x"><Transform tx="1" ty="2" tz="3"/></StaticMeshActor><Actor Name="a1"/></S>')
     got = readers.read_datasmith(spark, f"{tmp_path}/scene.xml").orderBy("source_ord").collect()
     assert [(r.element, r.part_id, r.name) for r in got] == [("Actor", "a1", "a1"), ("StaticMeshActor", "m1", "L")] and got[1].translation == [10.0, -20.0, 30.0]
 
