@@ -12,8 +12,8 @@ import xxhash
 from partloom.llm.runtime import worker_store
 
 U = np.uint64
-#: Entries a worker's word table holds before it starts anew: about 100 MB.
-WORD_TABLE = 600_000
+#: Entries a worker's word table holds before it starts anew: about 50 MB.
+WORD_TABLE = 300_000
 #: Words hashed in one vectorised step.
 STEP = 1 << 18
 BASES = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95)
