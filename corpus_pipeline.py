@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from partloom.llm import exact_dedup, mixing, near_dedup, packing, quality_fm
 from partloom.llm.queries import tokenizer_path
 from partloom.llm.runtime import materialise, table
+from partloom.tables import kept, scope
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -49,12 +50,12 @@ def _only(docs: DataFrame, dedup: Callable[[DataFrame], DataFrame], order: Colum
     Where doc_id repeats or is null, rows get keys in ``order``, written once, that stand in for it.
     """
     if docs.groupBy("doc_id").count().where("count > 1 or doc_id is null").isEmpty():
-        kept = dedup(docs).where("kept").select(F.col("doc_id").alias("id")).alias("kept")
-        return docs.alias("docs").join(kept, F.col("docs.doc_id") == F.col("kept.id"), "left_semi")
+        stays = dedup(docs).where("kept").select(F.col("doc_id").alias("id")).alias("stays")
+        return docs.alias("docs").join(stays, F.col("docs.doc_id") == F.col("stays.id"), "left_semi")
     rows = docs.select(F.struct(*docs.columns).alias("row"), "doc_id", F.monotonically_increasing_id().alias("tie"))
     keyed = materialise(rows.orderBy(order, "tie").select("row", F.monotonically_increasing_id().alias("key")), "keyed")
-    kept = dedup(keyed.select(F.col("key").alias("doc_id"), F.col("row.text").alias("text"))).where("kept")
-    return keyed.join(kept.select(F.col("doc_id").alias("key")), "key", "left_semi").select("row.*")
+    stays = dedup(keyed.select(F.col("key").alias("doc_id"), F.col("row.text").alias("text"))).where("kept")
+    return keyed.join(stays.select(F.col("doc_id").alias("key")), "key", "left_semi").select("row.*")
 
 
 STAGES = [("quality", quality), ("exact dedup", exact), ("near dedup", near), ("mixing", mix), ("packing", pack)]
@@ -64,9 +65,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages in turn. What a stage writes besides its rows is deleted when these are written."""
     docs = table(spark, sf_dir, "documents")
-    for i, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if i < len(STAGES) - 1:
-            docs = materialise(docs, f"stage-{name.replace(' ', '-')}")
-    return docs
+    for name, stage in STAGES[:-1]:
+        with scope(spark) as outer:
+            docs = kept(stage(spark, docs, sf_dir), f"stage-{name.replace(' ', '-')}", outer)
+    return STAGES[-1][1](spark, docs, sf_dir)
