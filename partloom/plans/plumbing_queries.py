@@ -106,7 +106,7 @@ def _sql_case(rules, name, flags="i"):
     return " ".join(f"WHEN regexp_matches({name}, '{p}', '{flags}') THEN '{c}'" for p, c in rules)
 
 
-@query(f"SELECT p_partkey, CASE WHEN regexp_matches(p_name, '{lb.SKIP}', 'i') THEN '_skip' {_sql_case(lb.PART_RULES, 'p_name')} ELSE '_unknown' END AS cls FROM part")
+@query(f"SELECT p_partkey, CASE WHEN regexp_matches(p_name, '{lb.SKIP[0]}', 'i') OR regexp_matches(p_name, '{lb.SKIP[1]}', 'i') THEN '_skip' {_sql_case(lb.PART_RULES, 'p_name')} ELSE '_unknown' END AS cls FROM part")
 def name_label_rules(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", lb.name_class(F.col("p_name")).alias("cls"))
 

@@ -17,7 +17,7 @@ def test_every_oracle_has_its_query():
     assert callable(__spark_entry__.entry)
 
 
-@pytest.mark.parametrize("without", [("corpus_pipeline.py", "partloom/llm"), ()])
+@pytest.mark.parametrize("without", [("corpus_pipeline.py", "partloom/llm"), ("partloom/llm",), ()])
 def test_import_without_the_subpackage(tmp_path, without):
     for name in ("__spark_entry__.py", "partloom", "corpus_pipeline.py"):
         source = os.path.join(HERE, name)

@@ -185,3 +185,47 @@ def test_stream_resumes_and_replay_adds_nothing(spark, tmp_path):
     (src / "2.json").write_text('{"event":"e","id":"b"}\n{"event":"e","id":"c"}\n')
     run("ck")
     assert sorted(r.id for r in spark.read.parquet(out).collect()) == ["a", "b", "c"]
+
+
+def test_fingerprint_match_by_shapes(spark):
+    import random
+
+    r = random.Random(8)
+    shapes = [(f"h{r.randrange(5)}", r.choice([100.0, 100.05, 103.0, 0.0, -1.0, 4.5e-11, 5.2e-11])) for _ in range(9)]
+    old = [part(f"o{i}", i, "n", *r.choice(shapes)) for i in range(50)]
+    new = [part(f"n{i}", i, "n", *r.choice(shapes)) for i in range(50)]
+
+    def score(n, o):
+        gap = abs(n[4] - o[4]) / max(n[4], o[4], 1e-10)
+        if n[3] == o[3]:
+            return 0.95 if gap <= 0.001 else 0.85 if gap <= 0.01 else 0.80
+        return 0.85 if gap <= 0.001 else 0.70 if gap <= 0.01 else 0.60 if gap <= 0.05 else 0.0
+
+    got = {x.new_id: (x.old_id, x.confidence) for x in rc.fingerprint_match(spark.createDataFrame(new, PART), spark.createDataFrame(old, PART)).collect()}
+    assert got == brute_greedy(new, old, score, 0.60)
+
+
+def test_tables_are_scoped_and_refuse_local_folders(spark, monkeypatch):
+    import os
+
+    from partloom import tables
+
+    with tables.scope(spark) as outer:
+        inside = tables.written(spark.range(5), "inside")
+        kept = tables.kept(inside.where("id > 1"), "kept", outer)
+        path = inside.inputFiles()[0]
+        assert os.path.exists(path.removeprefix("file://"))
+    assert not os.path.exists(path.removeprefix("file://")) and kept.count() == 3
+
+    class Far:
+        master = "spark://far:7077"
+
+        def getConf(self):
+            return {}
+
+    class Session:
+        sparkContext = Far()
+        conf = {}
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        tables.shared_dir(Session())
