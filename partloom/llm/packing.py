@@ -117,7 +117,8 @@ def agreed(path: str) -> bool:
     for at in range(0, len(COMPARED), 512):
         texts.append("".join(f"a{c}b 1{c}2 {c}.\n{c}  {c}'s" for c in map(chr, COMPARED[at : at + 512])))
     texts = [t for t in texts if not any(x in t for x in e.special)]
-    return [x.astype("<u4").tobytes() for x in (e.twin.encode_to_numpy(t, disallowed_special=()) for t in texts)] == e.whole(texts)
+    fast = lambda t: e.twin.encode_to_numpy(t, disallowed_special=()).astype("<u4").tobytes()
+    return all([fast(t) for t in texts[at : at + 16]] == e.whole(texts[at : at + 16]) for at in range(0, len(texts), 16))  # a few at a time: this runs on the driver
 
 
 def _pieces(p: Packing, fast: bool):
