@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from partloom.llm import exact_dedup as exact
-from partloom.llm import license_scan, mixing, near_dedup, packing, quality_fm, sharding, substring_dedup, topk_search, url_filter
+from partloom.llm import filter_audit, license_scan, mixing, near_dedup, packing, quality_fm, sharding, simhash, substring_dedup, topk_search, url_filter
 from partloom.llm.runtime import table
 
 #: Words by bytes 0x20 and 0x09-0x0D, for DuckDB.
@@ -64,7 +64,15 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_dedup(docs, exact.older_half(docs))
 
 
-QUERIES = {f.__name__: f for f in (op1_license_scan, op2_url_filter, op3_sharding, op4_near_dedup, op5_substring_dedup, op6_quality, op7_topk_search, op8_mixing, op9_packing, op10_exact_dedup)}
+def op11_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.simhash_dedup(table(spark, sf_dir, "documents"))
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.filter_audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+QUERIES = {f.__name__: f for f in (op1_license_scan, op2_url_filter, op3_sharding, op4_near_dedup, op5_substring_dedup, op6_quality, op7_topk_search, op8_mixing, op9_packing, op10_exact_dedup, op11_simhash, op13_filter_audit)}
 
 UPPER_TO_LOWER = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
 
@@ -154,5 +162,32 @@ SELECT doc_id, max(doc_id) OVER (PARTITION BY coalesce(text, '')) AS keep_id, co
 FROM documents
 """
 
+OP13 = f"""
+WITH RECURSIVE seen AS (
+  SELECT coalesce(source, '') AS part, doc_id, coalesce(text, '') AS t, {SQL_WORDS.format("coalesce(text, '')")} AS w, min(doc_id) OVER (PARTITION BY coalesce(text, '')) AS first_id FROM documents),
+told AS (SELECT doc_id, max(CAST(quality = 1 AS INT)) AS good, max(CAST(toxic = 1 AS INT)) AS toxic FROM labels GROUP BY doc_id),
+failing AS (
+  SELECT part, coalesce(good, 0) AS good, coalesce(l.toxic, 0) AS toxic,
+         CAST(len(w) < 50 AS INT) + 2 * CAST(100 * len(list_distinct(w)) < 65 * len(w) AS INT)
+         + 4 * CAST(100 * (length(t) - length(regexp_replace(t, '[A-Z]', '', 'g'))) > 5 * length(t) AS INT)
+         + 8 * CAST(regexp_matches(t, '[#$%&*|]') AS INT) + 16 * CAST(coalesce(s.doc_id > first_id, false) AS INT) AS m
+  FROM seen s LEFT JOIN told l ON l.doc_id = s.doc_id),
+cells AS (SELECT part, m, count(*) AS n, sum(good) AS n_good, sum(toxic) AS n_toxic FROM failing GROUP BY part, m),
+orders(filter_order) AS (SELECT '' UNION ALL SELECT filter_order || x FROM orders, unnest(['A', 'B', 'C', 'D', 'E']) AS u(x) WHERE strpos(filter_order, x) = 0),
+steps AS (
+  SELECT filter_order, CAST(k AS INT) AS step, 1 << CAST(ascii(substr(filter_order, k, 1)) - 65 AS INT) AS bit,
+         CAST(coalesce(list_sum(list_transform(range(1, k), lambda i: 1 << CAST(ascii(substr(filter_order, i, 1)) - 65 AS INT))), 0) AS INT) AS gone
+  FROM orders, unnest([1, 2, 3, 4, 5]) AS u(k) WHERE length(filter_order) = 5)
+SELECT part, filter_order, step,
+       CAST(sum(CASE WHEN m & (bit | gone) = 0 THEN n ELSE 0 END) AS BIGINT) AS kept,
+       CAST(sum(CASE WHEN m & bit <> 0 AND m & gone = 0 THEN n ELSE 0 END) AS BIGINT) AS removed,
+       CAST(sum(CASE WHEN m & bit <> 0 AND m & gone <> 0 THEN n ELSE 0 END) AS BIGINT) AS redundant,
+       CAST(sum(CASE WHEN m = bit THEN n ELSE 0 END) AS BIGINT) AS unique_fails,
+       CAST(sum(CASE WHEN m & bit <> 0 AND m & gone = 0 THEN n_good ELSE 0 END) AS BIGINT) AS good_lost,
+       CAST(sum(CASE WHEN m & bit <> 0 AND m & gone = 0 THEN n_toxic ELSE 0 END) AS BIGINT) AS toxic_lost,
+       CAST(sum(CASE WHEN m & bit <> 0 THEN n * 120 // bit_count(m) ELSE 0 END) AS BIGINT) AS shapley
+FROM cells, steps GROUP BY part, filter_order, step
+"""
+
 #: SQL can't express template retrieval (1), the search for the smallest capacity (3), a fitted model (6) or a tokenizer (9).
-SQL = {"op2_url_filter": OP2, "op4_near_dedup": OP4, "op5_substring_dedup": OP5, "op7_topk_search": OP7, "op8_mixing": OP8, "op10_exact_dedup": OP10}
+SQL = {"op2_url_filter": OP2, "op4_near_dedup": OP4, "op5_substring_dedup": OP5, "op7_topk_search": OP7, "op8_mixing": OP8, "op10_exact_dedup": OP10, "op13_filter_audit": OP13}

@@ -4,14 +4,14 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from partloom.llm import exact_dedup, license_scan, mixing, near_dedup, packing, quality_fm, sharding, substring_dedup, topk_search, url_filter
+from partloom.llm import exact_dedup, filter_audit, license_scan, mixing, near_dedup, packing, quality_fm, sharding, simhash, substring_dedup, topk_search, url_filter
 from partloom.llm.queries import tokenizer_path
 
 LONG = " ".join(f"w{i % 5000}" for i in range(120_000))
 ROWS = [(1, "a b c d e f g", "en", "s", 13), (1, "a b c d e f g", "en", "s", 13), (None, None, None, None, None), (None, "a b c d e f g", None, None, 13), (None, "x", None, "s", None), (2, "", "en", None, 0), (3, LONG, "en", "t", len(LONG)), (3, "other text of one id", "en", "t", 20)]
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 NAMES = ("id rep part key row n size digest keep_id kept shard slot start n_words score predicted held_out w rank comp component_id taken target draw stratum words bucket count license containment path solid single checks place "
-         "before times inner run length offset sequence_id ids_crc32 rest cut copy first_sequence its_length quality at value stats bands sketch d1 d2 text_crc32 law capacity winner member").split()
+         "before times inner run length offset sequence_id ids_crc32 rest cut copy first_sequence its_length quality at value stats bands sketch d1 d2 text_crc32 law capacity winner member fingerprint print first copies comp part mask digest good toxic known every label cells s bit gone step removed filter_order n_ok").split()
 
 
 def fitted(docs):
@@ -28,6 +28,8 @@ OPERATORS = {
     "mix": mixing.mix_sources,
     "mixed": mixing.mixed_documents,
     "pack": lambda d: packing.pack_documents(d, packing.Packing(tokenizer_path())),
+    "simhash": simhash.simhash_dedup,
+    "audit": lambda d: filter_audit.filter_audit(d, d.sparkSession.createDataFrame([(1, 1, 0), (None, 1, 1), (3, None, 1)], "doc_id long, quality int, toxic int")),
     "exact": lambda d: exact_dedup.exact_dedup(d, exact_dedup.older_half(d)),
 }
 STAGES = {name: (lambda d, f=stage, name=name: f(d.sparkSession, d, "")) for name, stage in corpus_pipeline.STAGES if name != "quality"}
