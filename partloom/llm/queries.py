@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from partloom.llm import exact_dedup as exact
-from partloom.llm import filter_audit, license_scan, mixing, near_dedup, packing, quality_fm, sharding, simhash, substring_dedup, topk_search, url_filter
+from partloom.llm import filter_audit, license_scan, mixing, near_dedup, packing, point_in_time, quality_fm, sharding, simhash, substring_dedup, topk_search, url_filter
 from partloom.llm.runtime import table
 
 #: Words by bytes 0x20 and 0x09-0x0D, for DuckDB.
@@ -68,11 +68,15 @@ def op11_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_dedup(table(spark, sf_dir, "documents"))
 
 
+def op12_point_in_time(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return point_in_time.point_in_time(*(table(spark, sf_dir, t) for t in ("clicks", "sales", "sale_lines")))
+
+
 def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.filter_audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_license_scan, op2_url_filter, op3_sharding, op4_near_dedup, op5_substring_dedup, op6_quality, op7_topk_search, op8_mixing, op9_packing, op10_exact_dedup, op11_simhash, op13_filter_audit)}
+QUERIES = {f.__name__: f for f in (op1_license_scan, op2_url_filter, op3_sharding, op4_near_dedup, op5_substring_dedup, op6_quality, op7_topk_search, op8_mixing, op9_packing, op10_exact_dedup, op11_simhash, op12_point_in_time, op13_filter_audit)}
 
 UPPER_TO_LOWER = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
 
@@ -162,6 +166,32 @@ SELECT doc_id, max(doc_id) OVER (PARTITION BY coalesce(text, '')) AS keep_id, co
 FROM documents
 """
 
+OP12 = """
+WITH RECURSIVE bits(i, k, c) AS (SELECT i, 0, i FROM range(256) AS r(i) UNION ALL SELECT i, k + 1, xor(c >> 1, 3988292384 * (c & 1)) FROM bits WHERE k < 8),
+crc AS (SELECT list(c ORDER BY i) AS steps FROM bits WHERE k = 8),
+s AS (
+  SELECT row_number() OVER () AS r, sale_id, client_id, epoch_us(sold_at) AS sold, epoch_us(arrived_at) + 14400000000 AS known, CAST(coalesce(floor(100e0 * total + 0.5e0), 0) AS BIGINT) AS cents,
+         epoch_us(sold_at) + 1000000 * CASE WHEN sale_id IS NULL THEN 0 ELSE (xor(list_reduce(list_prepend(4294967295, list_transform(string_split(CAST(sale_id AS VARCHAR), ''), lambda d: CAST(ascii(d) AS BIGINT))),
+           lambda c, d: xor(c >> 8, steps[(xor(c, d) & 255) + 1])), 4294967295) % 259200) END AS t
+  FROM sales, crc WHERE client_id IS NOT NULL AND sold_at IS NOT NULL),
+q AS (SELECT s.*, d, t - d * 86400000000 AS low FROM s, unnest([2, 14]) AS u(d)),
+c AS (
+  SELECT client_id, click_id, epoch_us(ts) AS e, epoch_us(arrived_at) + 14400000000 AS known, CAST(kind IS NOT DISTINCT FROM 'purchase' AS INT) AS bought, CAST(coalesce(floor(100e0 * value + 0.5e0), 0) AS BIGINT) AS cents
+  FROM (SELECT DISTINCT * FROM clicks)),
+clicked AS (
+  SELECT r, d, count(*) AS n_clicks, CAST(sum(c.bought) AS BIGINT) AS n_purchases, CAST(sum(c.cents) AS BIGINT) AS click_cents, arg_max(c.click_id, (c.e, c.click_id)) AS last_click_id
+  FROM q JOIN c ON c.client_id = q.client_id AND c.e > q.low AND c.e <= q.t AND c.known <= q.t GROUP BY r, d),
+usable AS (SELECT q.r, q.d, q.t, p.sale_id, p.cents FROM q JOIN s p ON p.client_id = q.client_id AND p.sold > q.low AND p.sold <= q.t AND p.known <= q.t),
+sold AS (SELECT r, d, count(*) AS n_sales, CAST(sum(cents) AS BIGINT) AS sale_cents FROM usable GROUP BY r, d),
+sent AS (
+  SELECT r, d, count(*) AS n_lines, count(DISTINCT item_id) AS n_items, CAST(sum(coalesce(floor(100e0 * amount + 0.5e0), 0)) AS BIGINT) AS line_cents
+  FROM usable u JOIN sale_lines l ON l.sale_id = u.sale_id AND epoch_us(l.shipped_at) <= u.t GROUP BY r, d),
+ahead AS (SELECT DISTINCT a.r FROM s a JOIN s b ON b.client_id = a.client_id AND b.sold > a.t AND b.sold <= a.t + 604800000000)
+SELECT q.sale_id, CAST(q.d AS INT) AS d, q.t AS t_us, a.r IS NOT NULL AS label, coalesce(n_clicks, 0) AS n_clicks, coalesce(n_purchases, 0) AS n_purchases, coalesce(click_cents, 0) AS click_cents, last_click_id,
+       coalesce(n_sales, 0) AS n_sales, coalesce(sale_cents, 0) AS sale_cents, coalesce(n_lines, 0) AS n_lines, coalesce(n_items, 0) AS n_items, coalesce(line_cents, 0) AS line_cents
+FROM q LEFT JOIN clicked x ON x.r = q.r AND x.d = q.d LEFT JOIN sold y ON y.r = q.r AND y.d = q.d LEFT JOIN sent z ON z.r = q.r AND z.d = q.d LEFT JOIN ahead a ON a.r = q.r
+"""
+
 OP13 = f"""
 WITH RECURSIVE seen AS (
   SELECT coalesce(source, '') AS part, doc_id, coalesce(text, '') AS t, {SQL_WORDS.format("coalesce(text, '')")} AS w, min(doc_id) OVER (PARTITION BY coalesce(text, '')) AS first_id FROM documents),
@@ -190,4 +220,4 @@ FROM cells, steps GROUP BY part, filter_order, step
 """
 
 #: SQL can't express template retrieval (1), the search for the smallest capacity (3), a fitted model (6) or a tokenizer (9).
-SQL = {"op2_url_filter": OP2, "op4_near_dedup": OP4, "op5_substring_dedup": OP5, "op7_topk_search": OP7, "op8_mixing": OP8, "op10_exact_dedup": OP10, "op13_filter_audit": OP13}
+SQL = {"op2_url_filter": OP2, "op4_near_dedup": OP4, "op5_substring_dedup": OP5, "op7_topk_search": OP7, "op8_mixing": OP8, "op10_exact_dedup": OP10, "op12_point_in_time": OP12, "op13_filter_audit": OP13}
