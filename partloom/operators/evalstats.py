@@ -3,9 +3,11 @@
 import math
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from partloom.operators.prefix import running
+
 
 def ratio(a: Column, b: Column) -> Column:
     """a / b as double, 0 where b is 0 or missing."""
@@ -89,12 +91,12 @@ def multiclass_agreement(cells: DataFrame) -> DataFrame:
 def auroc(df: DataFrame, score: str, label: Column, group: list[str] = ()) -> DataFrame:
     """Rank-sum AUROC with average ranks for ties, per group; null where a class is empty.
 
-    Ranks come from counts per distinct score, so no window spans the whole table's rows.
+    Ranks come from counts per distinct score, summed up in pieces of the order, so neither a group's rows nor its
+    distinct scores meet in one task.
     """
     g = list(group)
     each = df.groupBy(*g, F.col(score).alias("s")).agg(F.count("*").alias("n"), total(label).alias("pos"))
-    w = Window.partitionBy(*g).orderBy("s").rowsBetween(Window.unboundedPreceding, -1)
-    ranked = each.withColumn("before", F.coalesce(F.sum("n").over(w), F.lit(0)))
+    ranked = running(each, g, ["s"], {"before": F.col("n")})
     mean_rank = F.col("before") + (F.col("n") + 1) / 2
     sums = ranked.groupBy(*g).agg(F.sum(mean_rank * F.col("pos")).alias("rank_sum"), F.sum("pos").alias("pos"), F.sum(F.col("n") - F.col("pos")).alias("neg"))
     p, q = F.col("pos").cast("double"), F.col("neg").cast("double")

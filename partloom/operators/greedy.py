@@ -10,25 +10,16 @@ from __future__ import annotations
 import math
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from partloom.operators.prefix import ranked
 from partloom.tables import written
 
 
-def ranked(rows: DataFrame, group: str, order: Column) -> DataFrame:
-    """Adds ``rank``, 0, 1, ... within each group by ``order``; a group of any size is ranked in pieces."""
-    dealt = written(rows.withColumn("_place", order).repartitionByRange(group, "_place").withColumn("_piece", F.spark_partition_id()), "dealt")
-    sizes = dealt.groupBy(group, "_piece").count()
-    before = Window.partitionBy(group).orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = sizes.withColumn("_before", F.coalesce(F.sum("count").over(before), F.lit(0))).drop("count")
-    within = F.row_number().over(Window.partitionBy(group, "_piece").orderBy("_place")) - 1
-    return dealt.withColumn("_within", within).join(sizes, [group, "_piece"]).withColumn("rank", F.col("_before") + F.col("_within")).drop("_before", "_within", "_piece", "_place")
-
-
 def _in_order(rows: DataFrame, side: str) -> DataFrame:
     """rows (cls, part_id, ord) -> cls, ``side``_id and ``side``, the place in the order of (ord, part_id)."""
-    placed = ranked(rows.select("cls", "part_id", F.struct("ord", "part_id").alias("place"), F.lit(0).alias("all")), "all", F.col("place"))
+    placed = ranked(rows.select("cls", "part_id", "ord"), [], ["ord", "part_id"])
     return written(placed.select("cls", F.col("part_id").alias(f"{side}_id"), F.col("rank").alias(side)), side)
 
 

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from partloom.functions.text import family_stem, hash_fraction
-from partloom.operators.greedy import ranked
+from partloom.operators.prefix import ranked
 from partloom.tables import written
 
 
@@ -57,10 +59,11 @@ def carve_validation(samples: DataFrame, key: Column, ratio: float, seed: str =
 
 
 def ratio_split(samples: DataFrame, order: str, group: list[str], ratio: float = 0.8) -> DataFrame:
-    """By position in each group's sorted list: the first floor(ratio * n) rows are train."""
-    w = Window.partitionBy(*group).orderBy(order)
-    n = F.count("*").over(Window.partitionBy(*group))
-    return samples.withColumn("split", F.when(F.row_number().over(w) <= F.floor(F.lit(ratio) * n), "train").otherwise("test"))
+    """By position in each group's sorted list: the first floor(ratio * n) rows are train. A group of any size is ranked in pieces."""
+    sizes = samples.groupBy(*[F.col(c).alias(f"_{c}") for c in group]).agg(F.count("*").alias("_n"))
+    own = reduce(Column.__and__, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in group], F.lit(True))
+    placed = ranked(samples, group, [order], "_rank").join(sizes, own)
+    return placed.select(*samples.columns, F.when(F.col("_rank") < F.floor(F.lit(ratio) * F.col("_n")), "train").otherwise("test").alias("split"))
 
 
 def class_index(samples: DataFrame, cls: str) -> DataFrame:
@@ -132,10 +135,11 @@ def url_dedup(urls: DataFrame, limit: int | None = None) -> DataFrame:
     return firsts.orderBy("ord").limit(limit) if limit else firsts
 
 
-def unique_names(df: DataFrame, name: str, order: str, sep: str = "_") -> DataFrame:
-    """Later rows of one name get _1, _2, ... in order."""
-    rn = F.row_number().over(Window.partitionBy(name).orderBy(order)) - 1
-    return df.withColumn("unique_name", F.when(rn > 0, F.concat_ws(sep, name, rn)).otherwise(F.col(name)))
+def unique_names(df: DataFrame, name: str, order: str, sep: str = "_", within: tuple[str, ...] = ()) -> DataFrame:
+    """Later rows of one name get _1, _2, ... in order, within each of ``within``. A name of any number of rows is ranked in pieces."""
+    rank = F.col("_rank")
+    named = ranked(df, [*within, name], [order], "_rank")
+    return named.withColumn("unique_name", F.when(rank > 0, F.concat_ws(sep, name, rank)).otherwise(F.col(name))).drop("_rank")
 
 
 # Words of a slug that don't change the geometry.
@@ -269,6 +273,6 @@ def model_samples(listing: DataFrame, split: str = "train", ratio: float = 0.8,
     found = found.distinct().join(index, "cls")
     if nested:
         return found.select("cls", "class_idx", "model")
-    placed = written(ranked(found.withColumn("all", F.lit(0)), "all", F.struct("cls", "model")), "samples")
+    placed = written(ranked(found, [], ["cls", "model"]), "samples")
     cut = int(placed.count() * ratio)
     return placed.where(F.col("rank") < cut if split == "train" else F.col("rank") >= cut).select("cls", "class_idx", "model")

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import json
 import struct
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from partloom.functions import geometry as g
@@ -353,18 +354,25 @@ def scan_samples(spark: SparkSession, root: str, pattern: str = "*") -> DataFram
     return files.select(at(3).alias("split"), at(2).alias("class"), F.regexp_replace(at(1), "\\.[^.]*$", "").alias("name"), "path", "length")
 
 
+# What exporters write where a product has no name of its own.
+DEFAULT_NAMES = ("open cascade step translator", "opencascade step translator", "step translator", "translator-")
+MORE_DEFAULTS = "open cascade|unnamed|^solid\\d*$|^shape\\d*$"
+
+
 def flat_parts(solids: DataFrame) -> DataFrame:
-    """solids (file, ord, name, n_solids) -> named parts: entities without solids go, default names become Part_nnn, repeats get _1, _2.
+    """solids (file, ord, name, n_solids, ...) -> named parts: entities without solids go, default names become Part_nnn, repeats get _1, _2.
 
-    Names count as default if they hold one of a few fragments that exporters write.
+    A name is a default if it is null or blank or holds one of a few fragments that exporters write. nnn is the part's
+    place in its file, from 1. A file or a name of any number of parts is ranked in pieces.
     """
     from partloom.operators.plumbing import unique_names
+    from partloom.operators.prefix import ranked
 
-    kept = solids.where("n_solids >= 1")
-    default = F.col("name").isNull() | F.lower("name").rlike("open cascade|unnamed|^solid\\d*$|^shape\\d*$")
-    n = F.row_number().over(Window.partitionBy("file").orderBy("ord"))
-    named = kept.withColumn("name", F.when(default, F.format_string("Part_%03d", n)).otherwise(F.col("name")))
-    return unique_names(named.withColumn("_key", F.concat_ws("/", "file", "name")), "_key", "ord").withColumn("name", F.regexp_replace("unique_name", "^.*/", "")).drop("_key", "unique_name")
+    placed = ranked(solids.where("n_solids >= 1"), ["file"], ["ord"], "_place")
+    low = F.lower(F.trim("name"))
+    default = F.col("name").isNull() | (low == "") | low.rlike(MORE_DEFAULTS) | reduce(Column.__or__, [F.contains(low, F.lit(x)) for x in DEFAULT_NAMES])
+    named = placed.withColumn("name", F.when(default, F.format_string("Part_%03d", F.col("_place") + 1)).otherwise(F.col("name"))).drop("_place")
+    return unique_names(named, "name", "ord", within=("file",)).withColumn("name", F.col("unique_name")).drop("unique_name")
 
 
 def fallback_part(files: DataFrame) -> DataFrame:
