@@ -23,6 +23,7 @@ client, sale or item.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -107,7 +108,7 @@ def _latest_points(seen: DataFrame) -> DataFrame:
     return points.select(*_fact(ITEM, F.col("point.e"), F.col("a"), F.col("point.n"), 0))
 
 
-def facts_of(clicks: DataFrame, sales: DataFrame, lines: DataFrame, p: PointInTime) -> DataFrame:
+def facts_of(clicks: DataFrame, sales: DataFrame, lines: DataFrame, p: PointInTime) -> list[DataFrame]:
     """Facts of clicks, of the sales of ``_named_sales``, of their lines and of their items; lines of one sale and day are summed up before they meet it."""
     same = [F.col(c).alias(f"c{i}") for i, c in enumerate(("click_id", "ts", "arrived_at", "client_id", "kind", "value", "props"))]
     once = clicks.where("client_id is not null and ts is not null and arrived_at is not null").select(*same[:-1], F.sha2(F.col("props").cast("string"), 256).alias("c6")).distinct()
@@ -123,7 +124,7 @@ def facts_of(clicks: DataFrame, sales: DataFrame, lines: DataFrame, p: PointInTi
     by_item = known.where("item is not null").groupBy("line_sale", "item").agg(F.min("shipped").alias("shipped"))
     items = by_item.join(of_sale, F.col("line_sale") == F.col("sale_id")).select("client", "item", F.col("sold").alias("e"), F.greatest("known", "shipped").alias("a"))
     never = F.lit(NEVER)
-    return seen.union(sold).union(sent.where(F.col("a") < never)).union(_latest_points(items.where(F.col("a") < never)))
+    return [seen, sold, sent.where(F.col("a") < never), _latest_points(items.where(F.col("a") < never))]
 
 
 def time_slices(facts: DataFrame, p: PointInTime) -> tuple[DataFrame, DataFrame]:
@@ -280,7 +281,7 @@ def point_in_time(clicks: DataFrame, sales: DataFrame, lines: DataFrame, params:
     """
     p = params
     named = _named_sales(sales, p)
-    facts = materialise(facts_of(clicks, named, lines, p), "facts")
+    facts = reduce(DataFrame.union, [materialise(f, "facts") for f in facts_of(clicks, named, lines, p)])
     by_hour, slices = time_slices(facts, p)
     shards = max(1, -(-2 * facts.count() // p.capacity))
     facts = facts.withColumn("hour", F.floor(F.col("e") / F.lit(HOUR))).join(by_hour, ["client", "hour"], "left").drop("hour")

@@ -2,6 +2,7 @@
 
 import binascii
 import datetime as dt
+import functools
 import math
 import random
 from collections import Counter
@@ -109,7 +110,7 @@ def test_a_hot_client_sale_and_item_fill_no_shard(spark):
     p = pit.PointInTime(capacity=50)
     _, sold, sent = tables(spark, ([], sales, lines))
     clicks = tables(spark, ([], [], []))[0]
-    facts = pit.facts_of(clicks, pit._named_sales(sold, p), sent, p).cache()
+    facts = functools.reduce(lambda a, b: a.union(b), pit.facts_of(clicks, pit._named_sales(sold, p), sent, p)).cache()
     assert facts.count() <= 600 + 605 + 2 * 600
     by_hour, slices = pit.time_slices(facts, p)
     cut = facts.withColumn("hour", F.floor(F.col("e") / F.lit(pit.HOUR))).join(by_hour, ["client", "hour"]).groupBy("slice").count()
