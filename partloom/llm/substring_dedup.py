@@ -271,13 +271,14 @@ def repeated_spans(keyed: DataFrame, params: SubstringDedup = SubstringDedup(),
     found = materialise(keyed.mapInArrow(_stretch_rows(p, seed), "key long, start int, n int, anchor long, whole long"), "stretches")
     paths = found.groupBy("anchor", "whole", "n").agg(F.count("*").alias("times"), F.min(F.struct("key", "start")).alias("source"))
     paths = materialise(paths, "paths")
-    anchors = paths.groupBy("anchor").agg(F.count("*").alias("kinds")).where("kinds > 1").select("anchor")
+    anchors = materialise(paths.groupBy("anchor").agg(F.count("*").alias("kinds")).where("kinds > 1"), "anchors")
 
     repeated = paths.where("times > 1").select("anchor", "whole", "n", "times")
     solid = keyed_join(found, repeated, ["anchor", "whole", "n"], "times").select("key", "start", "n", F.xxhash64("anchor", "whole", "n").alias("id"))
     solid = compacted(solid).groupBy("key").agg(F.collect_list(F.struct("start", "n", "path")).alias("solid"))
 
-    branching = paths.join(anchors, "anchor")
+    # An anchor in very many different stretches (a boilerplate of just under a window) would fill a task.
+    branching = keyed_join(paths, anchors, ["anchor"], "kinds")
     asked = branching.select(F.col("source.key").alias("key"), F.struct(F.col("source.start").alias("start"), "n", "times").alias("one"))
     asked = asked.groupBy("key").agg(F.collect_list("one").alias("asked"))  # at most a document's own stretches
     kmers = keyed.join(asked, "key").mapInArrow(_window_rows(p, seed), "key long, start int, place int, times long, h1 long, h2 long")
