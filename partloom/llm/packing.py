@@ -25,11 +25,15 @@ from partloom.llm.runtime import materialise, worker_store
 
 @dataclass(frozen=True)
 class Packing:
-    """tokenizer: file of a public tokenizer, the same path on driver and executors. end: id put after each document."""
+    """tokenizer: file of a public tokenizer, the same path on driver and executors. end: id put after each document.
+
+    fast: encode by the faster BPE where ``agreed`` finds it equal; without, the tokenizer itself encodes every text.
+    """
 
     tokenizer: str
     length: int = 2048
     end: int = 1
+    fast: bool = True
 
 
 #: Characters whose classes ``agreed`` compares one by one.
@@ -106,11 +110,10 @@ class Encoder:
         return out
 
 
-@functools.cache
-def agreed(path: str) -> bool:
+def agreed(path: str, encoder: Encoder | None = None) -> bool:
     """Whether the faster BPE gives the tokenizer's ids: for every text of its vocabulary, and for every character
     of ``COMPARED`` inside words, inside numbers, and after spaces and line feeds."""
-    e = Encoder(path, True)
+    e = encoder or Encoder(path, True)
     if e.twin is None:
         return False
     texts = [t for t in (e.tokenizer.decode([i]) for i in range(e.tokenizer.get_vocab_size())) if t and "\ufffd" not in t]
@@ -118,15 +121,32 @@ def agreed(path: str) -> bool:
         texts.append("".join(f"a{c}b 1{c}2 {c}.\n{c}  {c}'s" for c in map(chr, COMPARED[at : at + 512])))
     texts = [t for t in texts if not any(x in t for x in e.special)]
     fast = lambda t: e.twin.encode_to_numpy(t, disallowed_special=()).astype("<u4").tobytes()
-    return all([fast(t) for t in texts[at : at + 16]] == e.whole(texts[at : at + 16]) for at in range(0, len(texts), 16))  # a few at a time: this runs on the driver
+    return all([fast(t) for t in texts[at : at + 16]] == e.whole(texts[at : at + 16]) for at in range(0, len(texts), 16))
 
 
-def _pieces(p: Packing, fast: bool):
+def _encoder(path: str, fast: bool) -> Encoder:
+    """The worker's encoder."""
     import os
 
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    return worker_store(f"encoder {path} {fast}", lambda: Encoder(path, fast), large=True)
+
+
+@functools.cache
+def agreed_in_a_task(application: str, path: str) -> bool:
+    """``agreed``, found once for an application by a task, so that the driver holds no tokenizer."""
+    from pyspark.sql import SparkSession
+
+    def run(batches):
+        for _ in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([agreed(path, _encoder(path, True))])], names=["agreed"])
+
+    return SparkSession.getActiveSession().range(0, 1, 1, 1).mapInArrow(run, "agreed boolean").first()["agreed"]
+
+
+def _pieces(p: Packing, fast: bool):
     def run(batches):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        encoder = worker_store(f"encoder {p.tokenizer}", lambda: Encoder(p.tokenizer, fast), large=True)
+        encoder = _encoder(p.tokenizer, fast)
         end, width = np.array([p.end], dtype="<u4").tobytes(), 4 * p.length
         for batch in batches:
             rows, group, held = [], [], 0
@@ -201,7 +221,8 @@ def _slots(patterns: list[tuple[int, tuple[int, ...]]]) -> list[tuple[int, int,
 def token_pieces(docs: DataFrame, params: Packing) -> DataFrame:
     """docs (doc_id, text, ...) -> doc_id, start, length, ids_crc32, doc_tokens: each document cut every ``length`` ids."""
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return slim.mapInArrow(_pieces(params, agreed(params.tokenizer)), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long")
+    fast = params.fast and agreed_in_a_task(docs.sparkSession.sparkContext.applicationId, params.tokenizer)
+    return slim.mapInArrow(_pieces(params, fast), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long")
 
 
 def pack_documents(docs: DataFrame, params: Packing) -> DataFrame:

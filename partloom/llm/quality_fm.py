@@ -234,13 +234,14 @@ def score_quality(docs: DataFrame, model: Model, params: QualityFM = QualityFM()
 def _keeper(model: Model, p: QualityFM):
     def run(batches):
         table = word_table()
-        for batch in batches:
-            names = batch.schema.names
-            texts = [None if t is None else t.encode() for t in batch.column("text").to_pylist()]
-            chars = batch.column("n_chars").to_pylist() if "n_chars" in names else [None] * len(texts)
-            found = [features(t, n, table, p) for t, n in zip(texts, chars, strict=True)]
-            ok = model.scores([f[0] for f in found], [f[1] for f in found], np.array([f[2] for f in found]).reshape(-1, STATS)) >= p.threshold
-            yield batch.filter(pa.array(ok))
+        for whole in batches:
+            for lo in range(0, whole.num_rows, 256):
+                batch = whole.slice(lo, 256)
+                texts = batch.column("text").cast(pa.binary()).to_pylist()
+                chars = batch.column("n_chars").to_pylist() if "n_chars" in batch.schema.names else [None] * len(texts)
+                found = [features(t, n, table, p) for t, n in zip(texts, chars, strict=True)]
+                ok = model.scores([f[0] for f in found], [f[1] for f in found], np.array([f[2] for f in found]).reshape(-1, STATS)) >= p.threshold
+                yield batch.filter(pa.array(ok))
 
     return run
 
