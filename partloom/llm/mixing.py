@@ -10,6 +10,8 @@ A source's documents are dealt by a seeded hash into strata of about
 what remains of a stratum's share is taken in seeded order, whole documents
 first and of one document a leading part, so that the words taken come to the
 target. Strata keep a source with a third of all rows out of a single task.
+``mixed_documents`` gives out whole documents only: the one that is taken in
+part stays or goes by a seeded draw with that part as its chance.
 """
 
 from __future__ import annotations
@@ -38,9 +40,12 @@ def words_of(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def _draw(p: Mixing) -> Column:
-    """A seeded hash of the doc_id; rows without one are told apart by their size."""
-    key = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("null:"), F.col("size").cast("string")))
+def _row_key() -> Column:
+    """The doc_id as text; rows without one get a number of their own, which holds once it is written."""
+    return F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("null:"), F.monotonically_increasing_id().cast("string")))
+
+
+def _draw(p: Mixing, key: Column) -> Column:
     return F.md5(F.concat_ws(":", F.lit(p.seed), key).cast("binary"))
 
 
@@ -72,21 +77,21 @@ def mix_sources(docs: DataFrame, params: Mixing = Mixing()) -> DataFrame:
     gives an empty result.
     """
     p = params
-    sized = materialise(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), words_of(F.col("text")).alias("size")), "sized")
+    sized = materialise(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), words_of(F.col("text")).alias("size"), _row_key().alias("key")), "sized")
     return take(sized, p).select("doc_id", "size", "source_size", "target", "taken")
 
 
-def take(sized: DataFrame, params: Mixing = Mixing()) -> DataFrame:
-    """sized (doc_id, source, size, ...) with source_size, target and taken added."""
+def take(sized: DataFrame, params: Mixing = Mixing(), ties: tuple[str, ...] = ()) -> DataFrame:
+    """sized (doc_id, source, size, key, ...), a written table, with source_size, target and taken added. ties: more columns that put rows in order."""
     p = params
     targets = source_targets(sized, p)
     renamed = targets.withColumnRenamed("source", "its_source")
     rows = sized.join(renamed, F.col("source").eqNullSafe(F.col("its_source"))).drop("its_source")
     strata = F.ceil(F.col("source_rows") / p.stratum)
-    rows = rows.withColumn("draw", _draw(p))
+    rows = rows.withColumn("draw", _draw(p, F.col("key")))
     rows = rows.withColumn("stratum", F.pmod(F.conv(F.substring("draw", 1, 8), 16, 10).cast("long"), strata))
     whole = Window.partitionBy("source", "stratum")
-    running = whole.orderBy("draw", "doc_id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    running = whole.orderBy("draw", "doc_id", "size", *ties).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     rows = rows.withColumn("words", F.sum("size").over(whole)).withColumn("start", F.sum("size").over(running) - F.col("size"))
     passes = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
     budget = F.when(F.col("source_size") > 0, F.floor(F.col("target") * F.col("words") / F.col("source_size") + 0.5)).otherwise(0).cast("long")
@@ -96,30 +101,27 @@ def take(sized: DataFrame, params: Mixing = Mixing()) -> DataFrame:
 
 
 def mixed_documents(docs: DataFrame, params: Mixing = Mixing()) -> DataFrame:
-    """docs repeated as the mix takes them, with their own columns.
+    """docs repeated as the mix takes them: whole rows, with their own columns and texts.
 
-    taken // size whole copies, and for a remaining part one copy cut to its
-    first taken % size words (joined by one space; n_chars, if there is one,
-    follows the cut text). Documents taken 0 times go. Of rows that agree in
-    doc_id, source and text one stands for all, with its other columns, and is
-    repeated as often as they are taken together.
+    A row comes taken // size times, and of a stratum's row that is taken in
+    part one more copy stays with the chance (taken % size) / size, drawn by the
+    seed. Documents taken 0 times go, so rows without words do. Rows that agree
+    in every column share their copies.
     """
-    names = ["doc_id", "source", "size", "text_hash"]
-    of_row = {"doc_id": F.col("doc_id"), "source": F.col("source"), "size": words_of(F.col("text")), "text_hash": F.xxhash64("text")}
-    counts = take(materialise(docs.select(*[c.alias(k) for k, c in of_row.items()]), "sized"), params).where("taken > 0")
-    counts = materialise(counts.groupBy(*names).agg(F.sum("taken").alias("taken"), F.count("*").alias("rows")), "taken")
+    names = ["doc_id", "source", "size", "text_hash", "row_hash"]
+    others = [c for c in docs.columns if c not in ("doc_id", "source", "text")]
+    nulls = F.concat_ws("", *[F.col(c).isNull().cast("string") for c in ("text", *others)])
+    of_row = {"doc_id": F.col("doc_id"), "source": F.col("source"), "size": words_of(F.col("text")), "text_hash": F.xxhash64("text"), "row_hash": F.xxhash64(nulls, *others)}
+    sized = materialise(docs.select(*[c.alias(k) for k, c in of_row.items()], _row_key().alias("key")), "sized")
+    counts = take(sized, params, ("text_hash", "row_hash")).where("taken > 0")
+    chance = F.pmod(F.xxhash64(F.lit(params.seed), "key", "text_hash", "row_hash"), F.lit(1 << 30)) / float(1 << 30)
+    part = F.when(chance < (F.col("taken") % F.col("size")) / F.col("size"), 1).otherwise(0)
+    counts = counts.withColumn("copies", F.floor(F.col("taken") / F.col("size")) + part).groupBy(*names).agg(F.sum("copies").alias("copies"), F.count("*").alias("rows"))
+    counts = materialise(counts.where("copies > 0"), "taken")
     rows = docs.select(F.struct(*docs.columns).alias("row"), *[c.alias(f"row_{k}") for k, c in of_row.items()])
-    if not counts.where("rows > 1").isEmpty():  # equal rows: one of them stands for all
+    if not counts.where("rows > 1").isEmpty():  # rows equal throughout: one of them stands for all
         rows = rows.dropDuplicates([f"row_{k}" for k in names])
     same = F.lit(True)
     for k in names:
         same = same & F.col(f"row_{k}").eqNullSafe(F.col(k))
-    parts = rows.join(counts, same).withColumn("copy", F.explode(F.sequence(F.lit(1), F.ceil(F.col("taken") / F.col("size")))))
-    rest = F.when(F.col("copy") * F.col("size") > F.col("taken"), F.col("taken") % F.col("size")).otherwise(0).cast("int")
-    text = F.col("row")["text"]
-    words = F.split(F.regexp_replace(text, "^[\\x20\\x09-\\x0D]+", ""), "[\\x20\\x09-\\x0D]+")
-    cut = parts.withColumn("rest", rest).withColumn("cut", F.when(F.col("rest") > 0, F.array_join(F.slice(words, F.lit(1), F.greatest("rest", F.lit(1))), " ")).otherwise(text))
-    out = {c: F.col("row")[c] for c in docs.columns} | {"text": F.col("cut")}
-    if "n_chars" in docs.columns:
-        out["n_chars"] = F.when(F.col("rest") > 0, F.length("cut").cast(docs.schema["n_chars"].dataType)).otherwise(out["n_chars"])
-    return cut.select(*[out[c].alias(c) for c in docs.columns])
+    return rows.join(counts, same).select("row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))).alias("copy")).select(*[F.col("row")[c].alias(c) for c in docs.columns])

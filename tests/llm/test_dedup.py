@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import random
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -184,3 +185,47 @@ def test_a_hub_and_a_bucket_of_many_rows_are_split(spark, monkeypatch):
     assert got == brute_components(rows, 5)
     out = ex.exact_dedup(spark.createDataFrame(rows, "doc_id long, text string"), F.col("doc_id") < 110)
     assert {(r.doc_id, r.keep_id, r.group_size) for r in out.collect()} == {(i, i, 1) for i in range(40)} | {(100 + i, 139, 40) for i in range(40)}
+
+
+def test_lookups_stay_small_whatever_the_history(spark, tmp_path, monkeypatch):
+    """An empty history, and one row far from the others' doc_ids: no bucket gets more than a few times its share."""
+    df = spark.range(40_000).select((F.col("id") + 10**12).alias("doc_id"), F.concat(F.lit("text "), F.col("id").cast("string")).alias("text"))
+    df = df.union(spark.createDataFrame([(0, "text 7"), (1, "alone")], "doc_id long, text string"))
+    seen = spark.sparkContext.accumulator(0)
+    most = spark.sparkContext.accumulator(0, type("Most", (), {"zero": lambda self, v: 0, "addInPlace": lambda self, a, b: max(a, b)})())
+    plain = ex._look_up
+
+    def counted(key, incoming, held):
+        seen.add(len(incoming))
+        most.add(len(incoming))
+        return plain(key, incoming, held)
+
+    monkeypatch.setattr(ex, "_look_up", counted)
+    p = ex.ExactDedup(bucket=512)
+    for history in (F.lit(False), F.col("doc_id") < 10, ex.older_half(df)):
+        got = ex.exact_dedup(df, history, p)
+        assert got.where("not kept").collect()[0].doc_id == 0 and got.count() == 40_002
+        assert most.value <= 3 * 512
+    assert 0.4 < df.where(ex.older_half(df)).count() / 40_002 < 0.6
+
+
+def test_a_boilerplate_just_under_the_window_is_dealt_out(spark, monkeypatch):
+    """34 words that open every text: distinct stretches of one minimizer, which no task should meet all of."""
+    from partloom.llm import runtime
+
+    monkeypatch.setattr(runtime, "HOT", 8)
+    rng = random.Random(8)
+    head = " ".join(f"boiler{i}" for i in range(34))
+    rows = [(i, f"{head} " + " ".join(f"own{rng.randrange(10**6)}" for _ in range(20))) for i in range(1500)]
+    rows += [(9000, rows[0][1]), (9001, "x " + " ".join(rows[1][1].split()[:40]))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in sd.substring_dedup(df).collect()}
+    assert got == brute_substrings(rows, 35)
+    paths = spark.createDataFrame([(1, i, 1) for i in range(3000)] + [(i, i, 1) for i in range(2, 400)], "anchor long, whole long, n int")
+    anchors = runtime.materialise(paths.groupBy("anchor").agg(F.count("*").alias("kinds")), "anchors")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        met = runtime.keyed_join(paths, anchors, ["anchor"], "kinds").withColumn("task", F.spark_partition_id())
+        assert met.count() == paths.count() and met.groupBy("task").count().agg(F.max("count")).first()[0] < 2000
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")

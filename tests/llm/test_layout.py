@@ -92,14 +92,43 @@ def test_mix_takes_the_targets(clashing, rows, stratum):
     assert sorted(out) == sorted(mx.mix_sources(clashing, p).collect())
 
 
-def test_mixed_documents_hold_the_taken_words(docs, clashing):
-    want = {r.doc_id: r.taken for r in mx.mix_sources(docs).collect()}
-    out = mx.mixed_documents(clashing)
+@pytest.mark.parametrize("stratum", [4, 1024])
+def test_mixed_documents_are_whole_and_as_many_as_taken(docs, clashing, rows, stratum):
+    p = mx.Mixing(stratum=stratum)
+    taken = {r.doc_id: (r.taken, r.size) for r in mx.mix_sources(docs, p).collect()}
+    out = mx.mixed_documents(clashing, p)
     assert out.columns == clashing.columns
-    got = defaultdict(int)
-    for r in out.collect():
-        got[r.doc_id] += len(r.text.encode().split())
-    assert dict(got) == {k: v for k, v in want.items() if v}
+    found = out.collect()
+    texts, source = {i: t for i, t, *_ in rows}, {i: s for i, _, _, s, _ in rows}
+    assert all(r.text == texts[r.doc_id] and r.n_chars == len(r.text) for r in found)
+    copies, words, want = defaultdict(int), defaultdict(int), defaultdict(int)
+    for r in found:
+        copies[r.doc_id] += 1
+        words[source[r.doc_id]] += taken[r.doc_id][1]
+    for i, (t, size) in taken.items():
+        want[source[i]] += t
+        assert copies[i] in ({0} if not t else {t // size, -(-t // size)})
+    longest = max(size for _, size in taken.values())
+    strata = len(rows) // stratum + 2
+    assert all(abs(words[s] - want[s]) <= longest * strata for s in want)
+    assert sorted(map(str, found)) == sorted(map(str, mx.mixed_documents(clashing, p).collect()))
+
+
+def test_rows_alike_but_for_one_column_stay_apart(spark):
+    rows = [(1, "a b c", "s", "en"), (1, "a b c", "s", "de"), (1, "a b c", "s", None), (1, "a b c", "s", ""), (None, "a b c", "s", "en"), (None, "a b c", "s", "en")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")
+    got = mx.mixed_documents(df, mx.Mixing(weights=(1,)))
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(rows, key=str)
+
+
+def test_rows_without_an_id_fill_many_strata(spark):
+    df = spark.range(4000).select(F.lit(None).cast("long").alias("doc_id"), F.lit("a b").alias("text"), F.when(F.col("id") < 3000, "s").otherwise("t").alias("source"))
+    sized = mx.materialise(df.select("doc_id", "source", F.lit(2).cast("long").alias("size"), mx._row_key().alias("key")), "sized")
+    p = mx.Mixing(stratum=100)
+    strata = F.pmod(F.conv(F.substring(mx._draw(p, F.col("key")), 1, 8), 16, 10).cast("long"), F.lit(30))
+    assert sized.where("source = 's'").groupBy(strata.alias("k")).count().agg(F.max("count")).first()[0] < 200
+    out = mx.mix_sources(df, p).groupBy("target").agg(F.sum("taken").alias("taken")).collect()
+    assert all(abs(r.taken - r.target) <= 31 for r in out)
 
 
 def test_mix_of_nothing_and_of_blanks(spark, empty):
@@ -157,6 +186,7 @@ ODD = ["a  b", "a \nb", " x", "x ", "a\tb c", "don't  we'll", "a\u00a0b c", "\n\
 def test_encoder_equals_the_tokenizer():
     path = public_tokenizers.path("byte_bpe_50k.json")
     assert pk.agreed(path)
+    assert pk.agreed_in_a_task(spark.sparkContext.applicationId, path)
     texts = [*ODD, "a" * 5000 + " b", "x" + " " * 900 + "y", "\x00 nul", "\U00020000\U0001d400 b", "end<|endoftext|>"]
     for fast in (True, False):
         e = pk.Encoder(path, fast)
