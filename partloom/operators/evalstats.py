@@ -237,6 +237,30 @@ def bootstrap_ci(df: DataFrame, right_a: Column, right_b: Column, replicates: in
     return deltas.agg(F.count("*").alias("replicates"), F.avg("delta").alias("mean"), q[0].alias("low"), q[1].alias("high"))
 
 
+#: How likely a Poisson(1) count is to be at most 0, 1, 2, ...; beyond these the chance is below 1e-11.
+POISSON_STEPS = tuple(sum(math.exp(-1.0) / math.factorial(j) for j in range(k + 1)) for k in range(13))
+
+
+def poisson_bootstrap(df: DataFrame, key: Column, right_a: Column, right_b: Column, replicates: int = 2000, seed: str = "boot-1") -> DataFrame:
+    """Percentile interval of the accuracy difference when every row counts Poisson(1) times in each replicate.
+
+    A row's count comes from a hash of (seed, replicate, key), so any engine
+    draws the same, rows may lie anywhere, and the replicates' sums are added
+    up before they move. Keys should be unique. No rows give no replicates, and
+    a replicate in which no row counts is left out.
+    """
+    gain = right_a.cast("long") - right_b.cast("long")
+    rows = df.select(key.cast("string").alias("key"), F.coalesce(gain, F.lit(0)).alias("gain"))
+    drawn = rows.withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
+    digest = F.md5(F.concat_ws(":", F.lit(seed), F.col("replicate").cast("string"), "key").cast("binary"))
+    at = F.conv(F.substring(digest, 1, 8), 16, 10).cast("double") / float(1 << 32)
+    count = sum((at >= x).cast("long") for x in POISSON_STEPS)
+    sums = drawn.withColumn("n", count).groupBy("replicate").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("gain")).alias("gain"))
+    deltas = sums.where("n > 0").select((F.col("gain").cast("double") / F.col("n").cast("double")).alias("delta"))
+    q = F.percentile("delta", F.array(F.lit(0.025), F.lit(0.975)))
+    return deltas.agg(F.count("*").alias("replicates"), F.avg("delta").alias("mean"), q[0].alias("low"), q[1].alias("high"))
+
+
 def threshold_sweep(df: DataFrame, confidence: str, predicted: Column, truth: Column, thresholds: list[float]) -> DataFrame:
     """P/R/F1 at each threshold in one pass: a prediction counts if its confidence reaches the threshold."""
     grid = F.broadcast(df.sparkSession.createDataFrame([(t,) for t in thresholds], "threshold double"))

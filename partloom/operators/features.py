@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from partloom.functions import geometry as g
+from partloom.functions.numbers import printed
 
 
 def sorted_dims(dx: Column, dy: Column, dz: Column) -> Column:
@@ -81,11 +82,8 @@ def median_of(values: Column) -> Column:
 
 
 def topology_key(faces: Column, edges: Column, vertices: Column, areas: Column, lengths: Column | None = None, top: int | None = None) -> Column:
-    """sha256 over counts and the sorted face areas (edge lengths), four decimals each.
-
-    Decimals are rounded half up on the shortest decimal form; see the README for how that differs from C printf.
-    """
-    listed = lambda values: F.array_join(F.transform(F.slice(F.sort_array(values, asc=False), 1, top or 1 << 30), lambda v: F.call_function("format_number", v, F.lit("0.0000"))), ",")
+    """sha256 over counts and the sorted face areas (edge lengths), four decimals each, printed as C's printf does."""
+    listed = lambda values: F.array_join(F.transform(F.slice(F.sort_array(values, asc=False), 1, top or 1 << 30), lambda v: printed(v, 4)), ",")
     parts = [F.concat(F.lit("F"), faces), F.concat(F.lit("E"), edges), F.concat(F.lit("V"), vertices), F.when(F.size(areas) > 0, F.concat(F.lit("FA:"), listed(areas)))]
     if lengths is not None:
         parts.append(F.when(F.size(lengths) > 0, F.concat(F.lit("EL:"), listed(lengths))))

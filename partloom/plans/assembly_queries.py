@@ -43,14 +43,17 @@ best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY part_id ORDER
 MATCH = f"{ctes('fx_dims')}, {ISO}, {SCORED}"
 
 
+def _eligible(spark, sf_dir):
+    return view(spark, sf_dir, "fx_dims").where("cyl_ratio >= 0.15D and aspect >= 0.02D")
+
+
 def _scored(spark, sf_dir):
-    f = view(spark, sf_dir, "fx_dims").where("cyl_ratio >= 0.15D and aspect >= 0.02D")
-    return standards.score_all(f, standards.standards(spark))
+    return standards.score_all(_eligible(spark, sf_dir), standards.standards(spark))
 
 
 @query(MATCH + " SELECT part_id, standard, variant, type, score, CASE WHEN score < 6e-1 THEN 'unclassified' WHEN score < 9e-1 THEN 'possible_' || type ELSE type END AS band FROM best")
 def iso_best_match(spark, sf_dir):
-    best = standards.best_match(_scored(spark, sf_dir))
+    best = standards.best_of(_eligible(spark, sf_dir))
     return best.select("part_id", "standard", "variant", "type", "score", standards.confidence_band(F.col("type"), F.col("score")).alias("band"))
 
 
@@ -61,7 +64,7 @@ def iso_score_all(spark, sf_dir):
 
 @query(MATCH + " SELECT standard, variant, count(*) AS n FROM best GROUP BY 1, 2")
 def iso_standard_histogram(spark, sf_dir):
-    return standards.best_match(_scored(spark, sf_dir)).groupBy("standard", "variant").agg(F.count("*").alias("n"))
+    return standards.best_of(_eligible(spark, sf_dir)).groupBy("standard", "variant").agg(F.count("*").alias("n"))
 
 
 @query(f"{ctes('fx_dims')}, s AS (SELECT part_id, list_sort([dx, dy, dz]) AS d FROM fx_dims) SELECT part_id, (d[1] + d[2]) / 2 AS bcyl_d, d[3] AS bcyl_l, CASE WHEN (d[1] + d[2]) / 2 > 1e-12 THEN d[3] / ((d[1] + d[2]) / 2) ELSE 0e0 END AS aspect FROM s")

@@ -191,9 +191,18 @@ def agreement4(spark, sf_dir):
     return df.agg(F.count("*").alias("n"), F.avg((F.col("a") == F.col("b")).cast("double")).alias("agree"), es.total(a & ~b).alias("a_only"), es.total(~a & b).alias("b_only"), es.total(a & b).alias("both"), es.total(~a & ~b).alias("neither"))
 
 
-@query()
+@query(
+    f"""{P}, r AS (SELECT CAST(doc_id AS VARCHAR) AS key, CAST({A} = y AS INT) - CAST({B} = y AS INT) AS gain FROM fx_pred),
+drawn AS (SELECT b.b, gain, CAST('0x' || substr(md5('boot-1:' || CAST(b.b AS VARCHAR) || ':' || key), 1, 8) AS BIGINT) / 4294967296e0 AS u FROM r, (SELECT unnest(range(1000)) AS b) b),
+counted AS (SELECT b, gain, {" + ".join(f"CAST(u >= {x!r} AS INT)" for x in es.POISSON_STEPS)} AS n FROM drawn),
+sums AS (SELECT b, sum(n) AS n, sum(n * gain) AS gain FROM counted GROUP BY b),
+deltas AS (SELECT CAST(gain AS DOUBLE) / CAST(n AS DOUBLE) AS delta FROM sums WHERE n > 0)
+SELECT count(*) AS replicates, round(avg(delta), 9) AS mean, round(quantile_cont(delta, 25e-3), 9) AS low, round(quantile_cont(delta, 975e-3), 9) AS high FROM deltas"""
+)
 def bootstrap_ci(spark, sf_dir):
-    return es.bootstrap_ci(*_rights(_pred(spark, sf_dir)))
+    df, a, b = _rights(_pred(spark, sf_dir))
+    found = es.poisson_bootstrap(df, F.col("doc_id"), a, b, replicates=1000)
+    return found.select("replicates", *[F.round(c, 9).alias(c) for c in ("mean", "low", "high")])
 
 
 @query(f"{P} SELECT source, count(*) AS n, avg(CAST({A} = y AS INT)) AS acc_a, avg(CAST({B} = y AS INT)) AS acc_b FROM fx_pred GROUP BY source")
