@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -13,6 +15,12 @@ def lod_levels(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(LOD_LEVELS, "level int, screen_size double, polygon_target int")
 
 
+def lod_of(screen: Column) -> dict[str, Column]:
+    """The level of detail for a share of the screen: the finest whose screen_size it reaches, else the coarsest; and its numbers."""
+    pick = lambda at: reduce(lambda out, row: F.when(screen >= row[1], row[at]).otherwise(out), reversed(LOD_LEVELS[:-1]), F.lit(LOD_LEVELS[-1][at]))
+    return {"level": pick(0), "screen_size": pick(1), "polygon_target": pick(2)}
+
+
 def lod_totals(parts: DataFrame, is_fastener: Column) -> DataFrame:
     """parts (original_faces, proxy_faces): how many are substituted and the share of their polygons that saves."""
     f = is_fastener.cast("long")

@@ -74,16 +74,26 @@ def _cylinders(spark, sf_dir):
     return view(spark, sf_dir, "fx_parts").select(F.col("part_id").alias("mesh_id"), (F.col("m") / 2).alias("radius"), (F.col("m") * (2.0 + F.col("s5"))).alias("height"))
 
 
-@query(f"{ctes('fx_parts')} SELECT part_id AS mesh_id, v AS fid, CAST(k AS INT) AS a, CAST((k + 1) % 16 AS INT) AS b, CAST(k + 16 AS INT) AS c FROM (SELECT part_id, unnest(range(16)) AS k FROM fx_parts) CROSS JOIN (SELECT 1) JOIN (SELECT unnest(range(16)) AS i, unnest(range(16)) * 4 AS v) ON i = k")
+#: Corners of the k-th side's four triangles, j the next side, w which of the four.
+FLIPPED = "CAST(CASE w WHEN 0 THEN k WHEN 1 THEN j WHEN 2 THEN 32 ELSE 33 END AS INT) AS a, CAST(CASE w WHEN 2 THEN k WHEN 3 THEN j + 16 ELSE k + 16 END AS INT) AS b, CAST(CASE w WHEN 0 THEN j WHEN 1 THEN j + 16 WHEN 2 THEN j ELSE k + 16 END AS INT) AS c"
+
+
+@query(f"""{ctes('fx_parts')}, t AS (SELECT part_id AS mesh_id, CAST(unnest(range(64)) AS INT) AS fid FROM fx_parts), k AS (SELECT *, fid // 4 AS k, (fid // 4 + 1) % 16 AS j, fid % 4 AS w FROM t)
+SELECT mesh_id, CAST(fid AS BIGINT) AS fid, {FLIPPED} FROM k""")
 def flipped_triangles(spark, sf_dir):
     _, triangles = ft.cylinder_mesh(_cylinders(spark, sf_dir), 16)
-    return ft.flip_winding(ft.flip_winding(triangles)).where("fid % 4 = 0").select("mesh_id", F.col("fid").cast("long").alias("fid"), "a", "b", "c")
+    return ft.flip_winding(triangles).select("mesh_id", F.col("fid").cast("long").alias("fid"), "a", "b", "c")
 
 
-# The corner sums of a cylinder's top centre point up, of its bottom centre down; ring normals lean out.
-@query(f"{ctes('fx_parts')} SELECT part_id AS mesh_id, CAST(32 + k AS INT) AS vid, 0e0 AS nx, 0e0 AS ny, CAST(2 * k - 1 AS DOUBLE) AS nz FROM fx_parts CROSS JOIN (SELECT unnest([0, 1]) AS k)")
+@query(f"""{ctes('fx_parts')}, s AS (SELECT part_id AS mesh_id, m / 2e0 AS r, m * (2e0 + s5) AS h FROM fx_parts),
+v AS (SELECT mesh_id, CAST(i + 16 * l AS INT) AS vid, r * cos(i * pi() / 8e0) AS x, r * sin(i * pi() / 8e0) AS y, h * l AS z FROM s, unnest(range(16)) AS u(i), unnest([0, 1]) AS w(l) UNION ALL SELECT mesh_id, CAST(32 + l AS INT), 0e0, 0e0, h * l FROM s, unnest([0, 1]) AS w(l)),
+k AS (SELECT mesh_id, i // 4 AS k, (i // 4 + 1) % 16 AS j, i % 4 AS w FROM s, unnest(range(64)) AS u(i)), t AS (SELECT mesh_id, {FLIPPED} FROM k),
+f AS (SELECT t.*, b.x - a.x AS px, b.y - a.y AS py, b.z - a.z AS pz, c.x - a.x AS qx, c.y - a.y AS qy, c.z - a.z AS qz FROM t JOIN v a ON a.mesh_id = t.mesh_id AND a.vid = t.a JOIN v b ON b.mesh_id = t.mesh_id AND b.vid = t.b JOIN v c ON c.mesh_id = t.mesh_id AND c.vid = t.c),
+n AS (SELECT mesh_id, unnest([a, b, c]) AS vid, qy * pz - qz * py AS nx, qz * px - qx * pz AS ny, qx * py - qy * px AS nz FROM f),
+m AS (SELECT mesh_id, vid, sum(nx) AS nx, sum(ny) AS ny, sum(nz) AS nz FROM n GROUP BY 1, 2)
+SELECT mesh_id, vid, round(nx / sqrt(nx * nx + ny * ny + nz * nz), 6) + 0e0 AS nx, round(ny / sqrt(nx * nx + ny * ny + nz * nz), 6) + 0e0 AS ny, round(nz / sqrt(nx * nx + ny * ny + nz * nz), 6) + 0e0 AS nz FROM m""")
 def cap_normals(spark, sf_dir):
-    n = ft.vertex_normals(*ft.cylinder_mesh(_cylinders(spark, sf_dir), 16)).where("vid >= 32")
+    n = ft.vertex_normals(*ft.cylinder_mesh(_cylinders(spark, sf_dir), 16))
     return n.select("mesh_id", "vid", *[(F.round(c, 6) + 0.0).alias(c) for c in ("nx", "ny", "nz")])
 
 
@@ -179,18 +189,18 @@ def named_truth(spark, sf_dir):
     return n.select("p_partkey", truth["cls"].alias("cls"), truth["source"].alias("source"), lb.names_standard(F.col("name")).alias("standard"))
 
 
-@query("WITH a AS (SELECT DISTINCT l_partkey AS k FROM lineitem WHERE l_linenumber = 1), b AS (SELECT DISTINCT l_partkey AS k FROM lineitem WHERE l_linenumber = 2) SELECT count(*) FILTER (a.k IS NOT NULL AND b.k IS NOT NULL) AS n_shared, count(*) FILTER (b.k IS NULL) AS n_a_only, count(*) FILTER (a.k IS NULL) AS n_b_only FROM a FULL JOIN b ON a.k = b.k")
+@query("WITH a AS (SELECT DISTINCT l_partkey AS k FROM lineitem WHERE l_linenumber % 2 = 1), b AS (SELECT DISTINCT l_partkey AS k FROM lineitem WHERE l_linenumber % 2 = 0) SELECT count(*) FILTER (a.k IS NOT NULL AND b.k IS NOT NULL) AS n_shared, count(*) FILTER (b.k IS NULL) AS n_a_only, count(*) FILTER (a.k IS NULL) AS n_b_only FROM a FULL JOIN b ON a.k = b.k")
 def key_overlap(spark, sf_dir):
     return pl.overlap(*_sides(spark, sf_dir), "k")
 
 
 def _sides(spark, sf_dir):
     li = table(spark, sf_dir, "lineitem")
-    side = lambda n: li.where(F.col("l_linenumber") == n).groupBy(F.col("l_partkey").alias("k")).agg(F.max("l_quantity").cast("double").alias("score"))
-    return side(1), side(2)
+    side = lambda n: li.where(F.col("l_linenumber") % 2 == n).groupBy(F.col("l_partkey").alias("k")).agg(F.max("l_quantity").cast("double").alias("score"))
+    return side(1), side(0)
 
 
-SIDES = "a AS (SELECT l_partkey AS k, CAST(max(l_quantity) AS DOUBLE) AS score FROM lineitem WHERE l_linenumber = 1 GROUP BY 1), b AS (SELECT l_partkey AS k, CAST(max(l_quantity) AS DOUBLE) AS score FROM lineitem WHERE l_linenumber = 2 GROUP BY 1)"
+SIDES = "a AS (SELECT l_partkey AS k, CAST(max(l_quantity) AS DOUBLE) AS score FROM lineitem WHERE l_linenumber % 2 = 1 GROUP BY 1), b AS (SELECT l_partkey AS k, CAST(max(l_quantity) AS DOUBLE) AS score FROM lineitem WHERE l_linenumber % 2 = 0 GROUP BY 1)"
 
 
 @query(f"WITH {SIDES} SELECT a.k, a.score, b.score AS b_score FROM a JOIN b ON a.k = b.k WHERE a.k % 7 <> 0")

@@ -88,14 +88,14 @@ def pca_axis(spark, sf_dir):
 
 
 EF = "ef AS (SELECT l_orderkey % 400 AS sample_id, l_partkey % 97 AS edge_index, l_suppkey % 30 AS face_index FROM lineitem)"
-NORMALS = "nm AS (SELECT s.s AS sample_id, f.f AS face_index, cos(f.f * 1e-1) AS nx, sin(f.f * 1e-1) AS ny, 0e0 AS nz FROM (SELECT unnest(range(400)) AS s) s CROSS JOIN (SELECT unnest(range(30)) AS f) f)"
+NORMALS = "nm AS (SELECT sample_id, face_index, cos(t) AS nx, sin(t) AS ny, 0e0 AS nz FROM (SELECT l_orderkey % 400 AS sample_id, l_suppkey % 30 AS face_index, CAST(min(l_partkey) % 31 AS DOUBLE) * 1e-1 AS t FROM lineitem GROUP BY 1, 2))"
 
 
 def _face_edges(spark, sf_dir):
     li = table(spark, sf_dir, "lineitem")
     ef = li.select((F.col("l_orderkey") % 400).alias("sample_id"), (F.col("l_partkey") % 97).alias("edge_index"), (F.col("l_suppkey") % 30).alias("face_index"))
-    normals = spark.range(400).withColumnRenamed("id", "sample_id").crossJoin(spark.range(30).withColumnRenamed("id", "face_index"))
-    t = F.col("face_index") * 0.1
+    normals = li.groupBy((F.col("l_orderkey") % 400).alias("sample_id"), (F.col("l_suppkey") % 30).alias("face_index")).agg((F.min("l_partkey") % 31).cast("double").alias("turn"))
+    t = F.col("turn") * 0.1
     return cloud.face_adjacency(ef, normals.select("sample_id", "face_index", F.cos(t).alias("nx"), F.sin(t).alias("ny"), F.lit(0.0).alias("nz")))
 
 

@@ -221,10 +221,11 @@ def datasmith_round_trip(spark, sf_dir):
     return j.select("part_id", "name", "mesh", "material", "red", F.round(F.get("translation", 0), 6).alias("x"), F.round(F.get("translation", 1), 6).alias("y"))
 
 
-@query("SELECT DISTINCT url FROM pages WHERE url IS NOT NULL AND trim(url) <> '' AND NOT contains(url, ',') AND NOT contains(url, chr(10)) AND NOT contains(url, chr(13)) AND NOT starts_with(trim(url), '#') AND trim(url) = url")
+@query("""WITH l AS (SELECT trim(split_part(unnest(regexp_split_to_array(url || ', a note', '\\r\\n|\\n|\\r')), ',', 1), ' ') AS url FROM pages WHERE url IS NOT NULL)
+SELECT DISTINCT url FROM l WHERE url <> '' AND NOT starts_with(url, '#')""")
 def url_manifest(spark, sf_dir):
     to = _folder(spark, "urls")
-    urls = table(spark, sf_dir, "pages").where("url is not null and not contains(url, ',') and not rlike(url, '[\\n\\r]') and trim(url) = url").select("url")
+    urls = table(spark, sf_dir, "pages").where("url is not null").select("url")
     lines = urls.select(F.concat("url", F.lit(", a note")).alias("value")).union(spark.range(1).select(F.lit("# marked"))).union(spark.range(1).select(F.lit("  ")))
     lines.write.text(to)
     return readers.read_url_manifest(spark, to).distinct()
@@ -265,11 +266,11 @@ def split_file(spark, sf_dir):
     return readers.split_file(spark, to)
 
 
-@query("""WITH l AS (SELECT 'train' AS split, source AS cls, CAST(doc_id AS VARCHAR) AS model FROM documents WHERE doc_id % 3 > 0 AND source IS NOT NULL), c AS (SELECT cls, CAST(row_number() OVER (ORDER BY cls) - 1 AS INT) AS class_idx FROM (SELECT DISTINCT cls FROM l))
+@query("""WITH l AS (SELECT 'train' AS split, source AS cls, CAST(doc_id AS VARCHAR) AS model FROM (SELECT doc_id, coalesce(source, 'none') AS source FROM documents)), c AS (SELECT cls, CAST(row_number() OVER (ORDER BY cls) - 1 AS INT) AS class_idx FROM (SELECT DISTINCT cls FROM l))
 SELECT 'nested' AS layout, l.cls, class_idx, model FROM l JOIN c ON c.cls = l.cls UNION ALL SELECT 'flat', '_flat', 0, model FROM (SELECT model, row_number() OVER (ORDER BY model) AS i, count(*) OVER () AS n FROM l) WHERE i <= floor(n * 8e-1)
 UNION ALL SELECT 'held out', cls, class_idx, model FROM (SELECT l.cls, class_idx, model, row_number() OVER (ORDER BY l.cls, model) AS i, count(*) OVER () AS n FROM l JOIN c ON c.cls = l.cls) WHERE i > floor(n * 8e-1)""")
 def model_layouts(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").where("doc_id % 3 > 0 and source is not null")
+    d = table(spark, sf_dir, "documents").withColumn("source", F.coalesce("source", F.lit("none")))
     model = F.col("doc_id").cast("string")
     files = lambda *folders: d.select(F.explode(F.array(F.lit("face_grids.npy"), F.lit("notes.txt"))).alias("f"), *[c.alias(f"c{i}") for i, c in enumerate(folders)]).select(F.concat_ws("/", *[f"c{i}" for i in range(len(folders))], "f").alias("path"))
     nested = pl.model_samples(files(F.lit("train"), F.col("source"), model), "train").withColumn("layout", F.lit("nested"))
@@ -343,9 +344,9 @@ def texture_formats(spark, sf_dir):
     return table(spark, sf_dir, "supplier").select("s_suppkey", ql.texture_format(F.unhex(head)).alias("format"))
 
 
-@query("SELECT page_id, regexp_matches(lower(ltrim(substr(coalesce(html, ''), 1, 512), ' ')), '^(<!doctype html|<html)') AS html FROM pages WHERE html IS NOT NULL")
+@query("SELECT page_id, regexp_matches(lower(ltrim(substr(html, 1, 512), ' ')), '^(<!doctype html|<html)') AS html FROM pages")
 def html_sniff(spark, sf_dir):
-    return table(spark, sf_dir, "pages").where("html is not null").select("page_id", ql.looks_like_html(F.col("html")).alias("html"))
+    return table(spark, sf_dir, "pages").select("page_id", ql.looks_like_html(F.col("html")).alias("html"))
 
 
 @query(f"{ctes('fx_parts')}, m AS (SELECT part_id, name, kind, row_number() OVER (PARTITION BY kind ORDER BY ord) AS i FROM fx_parts), s AS (SELECT s_suppkey, s_name, s_nationkey % 6 AS kind, row_number() OVER (PARTITION BY s_nationkey % 6 ORDER BY s_suppkey) AS i FROM supplier) SELECT m.part_id, s.s_suppkey AS mesh FROM m LEFT JOIN s ON s.kind = m.kind AND s.i = m.i")

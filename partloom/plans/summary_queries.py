@@ -51,9 +51,11 @@ def lod_totals(spark, sf_dir):
     return sm.lod_totals(p, F.col("p_size") % 3 == 0)
 
 
-@query("SELECT * FROM (VALUES (0, CAST(1 AS DOUBLE), 1000), (1, 25e-2, 64), (2, 5e-2, 12)) t(level, screen_size, polygon_target)")
+@query("""WITH l(level, screen_size, polygon_target) AS (VALUES (0, CAST(1 AS DOUBLE), 1000), (1, 25e-2, 64), (2, 5e-2, 12)), p AS (SELECT p_partkey, p_size / 4e1 AS screen FROM part)
+SELECT p.p_partkey, l.* FROM p JOIN l ON l.level = CASE WHEN screen >= 1 THEN 0 WHEN screen >= 25e-2 THEN 1 ELSE 2 END""")
 def lod_levels(spark, sf_dir):
-    return sm.lod_levels(spark)
+    p = table(spark, sf_dir, "part").select("p_partkey", (F.col("p_size") / 40.0).alias("screen"))
+    return p.select("p_partkey", *[c.alias(k) for k, c in sm.lod_of(F.col("screen")).items()])
 
 
 @query("SELECT count(*) AS n, count(*) FILTER (p_name <> '') AS named, count(*) FILTER (contains(p_name, 'bolt') OR contains(p_name, 'ring')) AS informative, count(*) FILTER (contains(p_name, 'bolt')) AS labelled, count(DISTINCT p_name) AS distinct_names FROM part")
