@@ -1,21 +1,27 @@
-"""License scans: MinHash of the templates retrieves them, exact containment of stretches verifies them.
+"""License scans: MinHash bands over overlapping windows retrieve templates, exact containment of stretches verifies them.
 
 Texts and templates are words without case and outer punctuation, taken five
-at a time. Each of ``bands`` salts has one minimum among a template's shingles;
-a template is retrieved for a text that holds one of these minima. A stretch
-with ``containment`` c of the template lacks all of them with probability
-(1-c)**bands, below 1e-22 at 0.8 and 32 bands, and never if the minima are
-more than (1-c)*n of the template's n shingles. No windows are laid over the
-text: a retrieved template's shingles are looked up in all of it, and every
-stretch from one of them to another is a candidate, however long it is. Its
-containment is counted on words, not on hashes.
-
-A table from minima to templates retrieves, so a text costs no more for
-templates that it has nothing of.
+at a time. Templates fall into classes by size: one of n shingles is looked for
+in windows of L shingles, the power of two from 2n on, laid at every L/4-th
+shingle. A notice that spans up to L - L/4 + 1 >= 1.5n shingles, words inserted
+into it included, lies whole in one of them. Window and template are compared by
+``bands`` bands of one minimum each; a window that holds containment c of the
+template has a Jaccard similarity of at least J = c*n / (L + (1-c)*n), and the
+template is missed with probability (1-J)**bands (``Library.plan`` states n, L,
+stride, bands and this probability for each template; 1.3e-6 at worst at the
+defaults, where n > 2). Tiny templates, in windows at every shingle, get as many bands
+as a probability of 1e-6 takes.
+
+Windows only retrieve: a retrieved template's shingles are looked up in the
+whole text, and every stretch from one of them to another is a candidate,
+however long it is. Its containment is counted on words, not on hashes. A
+notice that is torn apart by a longer insertion is retrieved by the windows over
+its pieces, with the probability that their share gives.
 """
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 import numpy as np
@@ -60,9 +66,12 @@ OUTER = b".,;:!?()[]{}\"'`*"
 
 @dataclass(frozen=True)
 class LicenseScan:
+    """containment: least share of a template's shingles. bands: minima compared of a window. miss: what tiny templates are missed with."""
+
     shingle: int = 5
     containment: float = 0.8
-    bands: int = 32
+    bands: int = 64
+    miss: float = 1e-6
 
 
 def normal_words(text: bytes) -> list[bytes]:
@@ -118,34 +127,98 @@ def word_shingles(words: list[bytes], k: int) -> list[tuple[bytes, ...]]:
     return [tuple(words[i : i + k]) for i in range(max(1, len(words) - k + 1))] if words else []
 
 
+@dataclass
+class SizeClass:
+    """Templates looked for in windows of one size. holders: which templates have a value as the minimum of a band."""
+
+    length: int
+    bands: int
+    members: list[int]
+    holders: dict[int, list[int]]
+    values: np.ndarray
+    marks: np.ndarray
+
+    @property
+    def stride(self) -> int:
+        return max(1, self.length // 4)
+
+
+#: Bits of a value by which most are told apart from templates' minima.
+MARK = U(44)
+
+
 class Library:
-    """Templates as shingle sets, and which templates have a shingle as a MinHash value."""
+    """Templates as shingle sets, and their MinHash bands by size of window."""
 
     def __init__(self, templates: dict[str, str], p: LicenseScan, table):
         self.p, self.names = p, list(templates)
         words = [normal_words(t.encode()) for t in templates.values()]
         self.sets = [np.unique(shingles(w, p, table)) for w in words]
         self.words = [set(word_shingles(w, p.shingle)) for w in words]
-        salts = mix(np.arange(1, p.bands + 1, dtype=U))
-        minima = [np.unique(s[mix(s[:, None] ^ salts).argmin(axis=0)]) if len(s) else s for s in self.sets]
-        self.holders: dict[int, list[int]] = {}
-        for k, own in enumerate(minima):
-            for h in own.tolist():
-                self.holders.setdefault(h, []).append(k)
-        self.seeds = np.array(sorted(self.holders), dtype=U)
-
-    def matches(self, found: np.ndarray, words: list[bytes]) -> list[tuple[int, int, int, float]]:
+        by_length: dict[int, list[int]] = {}
+        for k, own in enumerate(self.sets):
+            if len(own):
+                by_length.setdefault(1 << (2 * len(own) - 1).bit_length(), []).append(k)
+        self.classes = [self._class(length, members) for length, members in sorted(by_length.items())]
+
+    def least(self, n: int) -> int:
+        """The fewest of n shingles that make the containment."""
+        return next(d for d in range(1, n + 2) if d / n >= self.p.containment)
+
+    def similarity(self, n: int, length: int) -> float:
+        """The least Jaccard similarity of a template and a window that holds enough of it."""
+        return self.least(n) / (length + n - self.least(n))
+
+    def _class(self, length: int, members: list[int]) -> SizeClass:
+        low = min(self.similarity(len(self.sets[k]), length) for k in members)
+        bands = self.p.bands if length > 4 else min(self.p.bands, math.ceil(math.log(self.p.miss) / math.log(1 - low)))
+        holders: dict[int, list[int]] = {}
+        for k in members:
+            for salt in salts(bands):
+                holders.setdefault(int(mix(self.sets[k] ^ salt).min()), []).append(k)
+        values = np.array(sorted(holders), dtype=U)
+        marks = np.zeros(1 << (64 - int(MARK)), dtype=bool)
+        marks[values >> MARK] = True
+        return SizeClass(length, bands, members, holders, values, marks)
+
+    def plan(self) -> list[tuple[str, int, int, int, int, float]]:
+        """(template, shingles, window, stride, bands of one row, probability of a miss within one window) of each template."""
+        rows = []
+        for c in self.classes:
+            rows += [(self.names[k], len(self.sets[k]), c.length, c.stride, c.bands, (1 - self.similarity(len(self.sets[k]), c.length)) ** c.bands) for k in c.members]
+        return sorted(rows)
+
+    def retrieved(self, x: np.ndarray, counts: list[int]) -> list[set[int]]:
+        """x: the shingles of several texts, end to end, so many of each -> the templates that share a band with one of a text's windows."""
+        out: list[set[int]] = [set() for _ in counts]
+        if not len(x) or not self.classes:
+            return out
+        ends = np.cumsum(counts)
+        layouts = {c.stride: _blocks(ends - counts, ends, c.stride) for c in self.classes}
+        for k, salt in enumerate(salts(max(c.bands for c in self.classes))):
+            h = mix(x ^ salt)
+            blocks: dict[int, np.ndarray] = {}
+            for c in self.classes:
+                if k >= c.bands:
+                    continue
+                starts, doc = layouts[c.stride]
+                if c.stride not in blocks:
+                    blocks[c.stride] = h if c.stride == 1 else np.minimum.reduceat(h, starts)
+                low = blocks[c.stride].copy()
+                for j in range(1, min(c.length // c.stride, len(low))):
+                    np.minimum(low[:-j], blocks[c.stride][j:], out=low[:-j], where=doc[:-j] == doc[j:])
+                for i in np.flatnonzero(c.marks[low >> MARK]).tolist():
+                    for t in c.holders.get(int(low[i]), ()):
+                        out[doc[i]].add(t)
+        return out
+
+    def matches(self, found: np.ndarray, words: list[bytes], retrieved: set[int]) -> list[tuple[int, int, int, float]]:
         """(template, first shingle, shingles spanned, containment) of each match; those of one template don't overlap."""
-        if not len(found) or not len(self.seeds):
-            return []
-        near = self.seeds[np.minimum(np.searchsorted(self.seeds, found), len(self.seeds) - 1)]
-        retrieved = {k for h in np.unique(found[near == found]).tolist() for k in self.holders[h]}
         out = []
         for k in sorted(retrieved):
             own, n = self.sets[k], len(self.sets[k])
             at = np.flatnonzero(np.isin(found, own))
-            least = next(d for d in range(1, n + 2) if d / n >= self.p.containment)
-            for first, last, _ in stretches(at.tolist(), np.searchsorted(own, found[at]).tolist(), least, n):
+            for first, last, _ in stretches(at.tolist(), np.searchsorted(own, found[at]).tolist(), self.least(n), n):
                 span = word_shingles(words[first : last + self.p.shingle], self.p.shingle)
                 share = len(self.words[k].intersection(span)) / len(self.words[k])
                 if share >= self.p.containment:
@@ -153,25 +226,61 @@ class Library:
         return sorted(out, key=lambda m: (m[1], m[0]))
 
 
+def salts(n: int) -> np.ndarray:
+    return mix(np.arange(1, n + 1, dtype=U))
+
+
+def _blocks(begins: np.ndarray, ends: np.ndarray, stride: int) -> tuple[np.ndarray, np.ndarray]:
+    """Starts of blocks of ``stride`` shingles, none over the end of a text, and the text of each."""
+    many = -(-(ends - begins) // stride)
+    doc = np.repeat(np.arange(len(begins)), many)
+    return begins[doc] + stride * (np.arange(len(doc)) - np.repeat(np.cumsum(many) - many, many)), doc
+
+
 def _scanner(templates: dict[str, str], p: LicenseScan):
     def run(batches):
         table = word_table()
         library = Library(templates, p, table)
         for batch in batches:
-            rows = []
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                words = normal_words(text) if text else []
-                for k, first, span, share in library.matches(shingles(words, p, table), words):
-                    rows.append((doc, library.names[k], first, min(span + p.shingle - 1, len(words)), share))
+            rows, held, size = [], [], 0
+            docs, texts = batch.column(0).to_pylist(), batch.column(1)
+
+            def flush():
+                x = np.concatenate([f for _, _, f in held])
+                for (doc, words, found), near in zip(held, library.retrieved(x, [len(f) for _, _, f in held]), strict=True):
+                    for k, first, span, share in library.matches(found, words, near):
+                        rows.append((doc, library.names[k], first, min(span + p.shingle - 1, len(words)), share))
+                held.clear()
+
+            for doc, text in zip(docs, texts, strict=True):
+                words = normal_words(text.as_py() or b"")
+                if words:
+                    held.append((doc, words, shingles(words, p, table)))
+                    size += len(words)
+                if size >= STEP:
+                    flush()
+                    size = 0
+            if held:
+                flush()
             kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.float64())
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], type=kind) for i, kind in enumerate(kinds)], names=["doc_id", "license", "start_word", "n_words", "containment"])
 
     return run
 
 
-def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, params: LicenseScan = LicenseScan()) -> DataFrame:
+#: Words whose windows are compared in one vectorised step; a text is never cut.
+STEP = 1 << 15
+#: Templates of a table: a library of licences, which goes along with the plan.
+MOST_TEMPLATES = 20_000
+
+
+def scan_licenses(docs: DataFrame, templates: dict[str, str] | DataFrame | None = None, params: LicenseScan = LicenseScan()) -> DataFrame:
     """docs (doc_id, text, ...) -> doc_id, license, start_word, n_words, containment: a row per match.
 
+    templates: texts by name, or a table (name, text) of at most ``MOST_TEMPLATES``
+    rows, which raises an error beyond; of repeated names the last text by order
+    counts, rows without name or text are left out. Without any, ``TEMPLATES``.
+
     Words are counted after normalisation. Matches of one template share no
     shingle and are chosen by ``stretches``, a match for each copy; different
     templates may overlap. Null and empty texts have no match, a template
@@ -180,4 +289,9 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, para
     length are scanned whole, and other columns are ignored.
     """
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), utf8("text").alias("text"))
+    if isinstance(templates, DataFrame):
+        rows = templates.where("name is not null and text is not null").select("name", "text").limit(MOST_TEMPLATES + 1).collect()
+        if len(rows) > MOST_TEMPLATES:
+            raise ValueError(f"more than {MOST_TEMPLATES} templates")
+        templates = dict(sorted(map(tuple, rows)))
     return slim.mapInArrow(_scanner(TEMPLATES if templates is None else templates, params), "doc_id long, license string, start_word long, n_words long, containment double")

@@ -186,6 +186,44 @@ def test_license_scan_matches_brute_force_without_a_grid(spark):
     assert got == {(i, name) for i, t in enumerate(texts) for name, template in ls.TEMPLATES.items() if holds_anywhere(t, template, p)}
 
 
+def test_windows_guarantee_retrieval_and_recall_is_high(spark):
+    """Per template the window, overlap and bands give the stated probability; measured at every offset with words inserted."""
+    p = ls.LicenseScan()
+    library = ls.Library(ls.TEMPLATES, p, ls.word_table())
+    plan = library.plan()
+    assert len(plan) == len(ls.TEMPLATES)
+    for _, n, length, stride, bands, miss in plan:
+        assert 2 * n <= length < 4 * n and stride == max(1, length // 4) and miss <= 1.4e-6 and bands <= 64
+        assert length - stride + 1 >= 1.5 * n or n == 1
+    r = random.Random(11)
+    held = tried = 0
+    for k, template in enumerate(ls.TEMPLATES.values()):
+        words = ls.normal_words(template.encode())
+        for offset in range(0, 40, 3):
+            body = list(words)
+            if len(words) > 12:
+                at = r.randrange(5, len(words) - 5)
+                body[at:at] = [b"inserted%d" % i for i in range(r.randrange(1, 8))]
+            text = [b"a%d" % i for i in range(offset)] + body + [b"z%d" % i for i in range(30)]
+            x = ls.shingles(text, p, ls.word_table())
+            if len(np.intersect1d(x, library.sets[k])) / len(library.sets[k]) >= p.containment:
+                tried += 1
+                held += k in library.retrieved(x, [len(x)])[0]
+    assert tried > 150 and held / tried >= 0.99
+    texts = [ls.shingles([b"q%d" % (i % 50 + 100 * t) for i in range(90)], p, ls.word_table()) for t in range(4)] + [library.sets[0]]
+    found = library.retrieved(np.concatenate(texts), [len(t) for t in texts])
+    assert found[:4] == [set()] * 4 and 0 in found[4]
+
+
+def test_templates_from_a_table(spark, monkeypatch):
+    t = spark.createDataFrame([("own", "one two three four five six"), (None, "x"), ("blank", None), ("own", "a")], "name string, text string")
+    df = spark.createDataFrame([(1, "so one two three four five six"), (2, None)], "doc_id long, text string")
+    assert [(x.doc_id, x.license, x.n_words) for x in ls.scan_licenses(df, t).collect()] == [(1, "own", 6)]
+    monkeypatch.setattr(ls, "MOST_TEMPLATES", 1)
+    with pytest.raises(ValueError, match="templates"):
+        ls.scan_licenses(df, t)
+
+
 def test_license_scan_gives_a_match_for_each_of_adjacent_copies(spark):
     notice = [f"t{i}" for i in range(30)]
     early, late = (notice[:i] + [f"x{j}" for j in range(20)] + notice[i:] for i in (8, 22))
