@@ -144,7 +144,7 @@ class SizeClass:
 
 
 #: Bits of a value by which most are told apart from templates' minima.
-MARK = U(44)
+MARK = U(46)
 
 
 class Library:
@@ -189,27 +189,32 @@ class Library:
         return sorted(rows)
 
     def retrieved(self, x: np.ndarray, counts: list[int]) -> list[set[int]]:
-        """x: the shingles of several texts, end to end, so many of each -> the templates that share a band with one of a text's windows."""
+        """x: the shingles of several texts, end to end, so many of each -> the templates that share a band with one of a text's windows.
+
+        Windows are laid over all of x. One that reaches into the next text
+        counts for both: that retrieves more at times, and loses nothing.
+        """
         out: list[set[int]] = [set() for _ in counts]
         if not len(x) or not self.classes:
             return out
         ends = np.cumsum(counts)
-        layouts = {c.stride: _blocks(ends - counts, ends, c.stride) for c in self.classes}
+        whole = 4 * max(c.stride for c in self.classes)
+        size = -(-len(x) // whole) * whole + whole
         for k, salt in enumerate(salts(max(c.bands for c in self.classes))):
-            h = mix(x ^ salt)
-            blocks: dict[int, np.ndarray] = {}
-            for c in self.classes:
-                if k >= c.bands:
-                    continue
-                starts, doc = layouts[c.stride]
-                if c.stride not in blocks:
-                    blocks[c.stride] = h if c.stride == 1 else np.minimum.reduceat(h, starts)
-                low = blocks[c.stride].copy()
-                for j in range(1, min(c.length // c.stride, len(low))):
-                    np.minimum(low[:-j], blocks[c.stride][j:], out=low[:-j], where=doc[:-j] == doc[j:])
-                for i in np.flatnonzero(c.marks[low >> MARK]).tolist():
-                    for t in c.holders.get(int(low[i]), ()):
-                        out[doc[i]].add(t)
+            low = np.full(size, NOTHING)
+            low[: len(x)] = mix(x ^ salt)
+            stride = 1
+            while stride <= whole // 4:
+                pairs = np.minimum(low[:-1], low[1:])
+                for c in self.classes:
+                    if c.stride == stride and k < c.bands:
+                        windows = pairs if c.length < 4 else np.minimum(pairs[:-2], pairs[2:])
+                        for i in np.flatnonzero(c.marks[windows >> MARK]).tolist():
+                            if found := c.holders.get(int(windows[i])):
+                                for text in range(*np.searchsorted(ends, [i * stride, i * stride + c.length - 1], side="right") + [0, 1]):
+                                    if text < len(out):
+                                        out[text].update(found)
+                low, stride = pairs[::2], 2 * stride
         return out
 
     def matches(self, found: np.ndarray, words: list[bytes], retrieved: set[int]) -> list[tuple[int, int, int, float]]:
@@ -230,11 +235,8 @@ def salts(n: int) -> np.ndarray:
     return mix(np.arange(1, n + 1, dtype=U))
 
 
-def _blocks(begins: np.ndarray, ends: np.ndarray, stride: int) -> tuple[np.ndarray, np.ndarray]:
-    """Starts of blocks of ``stride`` shingles, none over the end of a text, and the text of each."""
-    many = -(-(ends - begins) // stride)
-    doc = np.repeat(np.arange(len(begins)), many)
-    return begins[doc] + stride * (np.arange(len(doc)) - np.repeat(np.cumsum(many) - many, many)), doc
+#: What no minimum is above.
+NOTHING = U(0xFFFFFFFFFFFFFFFF)
 
 
 def _scanner(templates: dict[str, str], p: LicenseScan):
