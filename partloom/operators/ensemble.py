@@ -6,6 +6,11 @@ d0 <= d1 <= d2, ext, internal, n_cone, n_torus, n_sphere, n_plane, num_faces, cy
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from typing import Protocol
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -15,6 +20,40 @@ from partloom.operators.features import radius_clusters
 NON = "non_fastener"
 
 
+class Scorer(Protocol):
+    """A model: rows of part features -> for each row the probability of every class, as an array of (rows, classes)."""
+
+    classes: tuple[str, ...]
+
+    def __call__(self, features: pd.DataFrame) -> np.ndarray: ...
+
+
+def scored_by(parts: DataFrame, load: Callable[[], Scorer], classes: tuple[str, ...], key: str = "part_id", rows: int = 1024) -> DataFrame:
+    """parts (key, features...) -> key, scores: array<struct<cls, prob>>, from the most likely class down, ties in the order of classes.
+
+    ``load`` makes the model, once for each task, where it runs; ``rows`` parts are scored at a time. A model that
+    gives other classes or another number of rows fails the query.
+    """
+    kind = parts.schema[key].dataType.simpleString()
+
+    def run(batches):
+        model = load()
+        if tuple(model.classes) != tuple(classes):
+            raise ValueError(f"the model has classes {model.classes}, expected {classes}")
+        names = np.array(classes, dtype=object)
+        for whole in batches:
+            for lo in range(0, len(whole), rows):
+                pdf = whole.iloc[lo : lo + rows]
+                prob = np.asarray(model(pdf), dtype=float)
+                if prob.shape != (len(pdf), len(classes)):
+                    raise ValueError(f"the model gave {prob.shape} for {len(pdf)} parts")
+                order = np.argsort(-prob, axis=1, kind="stable")
+                scores = [[{"cls": c, "prob": p} for c, p in zip(names[o], q[o].tolist(), strict=True)] for o, q in zip(order, prob, strict=True)]
+                yield pd.DataFrame({key: pdf[key].to_numpy(), "scores": scores})
+
+    return parts.mapInPandas(run, f"{key} {kind}, scores array<struct<cls: string, prob: double>>")
+
+
 def banded(cls: Column, prob: Column, threshold: float = 0.40, sure: float = 0.85) -> Column:
     return F.when(prob >= sure, cls).when(prob >= threshold, F.concat(F.lit("likely_"), cls)).otherwise("unclassified")
 

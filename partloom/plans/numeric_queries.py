@@ -167,6 +167,29 @@ def ensemble_merge(spark, sf_dir):
     return ensemble.merged(_ensemble(spark, sf_dir)).select("part_id", "merge_case", "merged_type", "merged_conf")
 
 
+class AspectModel:
+    """A model small enough to be told in SQL: the further a part's length over diameter is from a class's own, the less likely."""
+
+    classes = ("washer", "nut", "screw", "rod")
+    centres = (0.25, 1.0, 4.0, 16.0)
+
+    def __call__(self, features):
+        import numpy as np
+
+        gap = np.abs(features["aspect"].to_numpy(float)[:, None] - np.array(self.centres))
+        raw = 1.0 / (1.0 + gap)
+        return raw / (raw[:, :1] + raw[:, 1:2] + raw[:, 2:3] + raw[:, 3:])
+
+
+@query(f"""{ctes('fx_dims')}, r AS (SELECT part_id, c, name, 1e0 / (1e0 + abs(aspect - centre)) AS raw FROM fx_dims, (VALUES (0, 'washer', 25e-2), (1, 'nut', 1e0), (2, 'screw', 4e0), (3, 'rod', 16e0)) m(c, name, centre)),
+s AS (SELECT part_id, sum(raw) AS total FROM r GROUP BY 1), p AS (SELECT r.part_id, c, name, raw / total AS prob FROM r JOIN s ON s.part_id = r.part_id)
+SELECT part_id, CAST(row_number() OVER (PARTITION BY part_id ORDER BY round(prob, 12) DESC, c) - 1 AS INT) AS rank, name AS cls, round(prob, 9) AS prob FROM p""")
+def scored_parts(spark, sf_dir):
+    parts = view(spark, sf_dir, "fx_dims").select("part_id", "aspect")
+    found = ensemble.scored_by(parts, AspectModel, AspectModel.classes)
+    return found.select("part_id", F.posexplode("scores").alias("rank", "s")).select("part_id", "rank", "s.cls", F.round("s.prob", 9).alias("prob"))
+
+
 CLASSES = ("washers", "screws", "nuts", "non_fastener", "pins", "spacers")
 
 

@@ -169,3 +169,24 @@ def test_a_stream_keeps_its_keys_as_state(spark, tmp_path):
     put("4.json", "e")
     run("new")
     assert sorted(r.id for r in spark.read.parquet(out).collect()) == ["a", "b", "c", "d", "e"]
+
+
+def test_a_model_is_plugged_in_and_its_shape_checked(spark):
+    from partloom.operators import ensemble
+
+    class Model:
+        classes = ("a", "b")
+
+        def __call__(self, features):
+            return np.stack([features["x"], 1 - features["x"]], axis=1)
+
+    class Wrong(Model):
+        def __call__(self, features):
+            return np.zeros((1, 3))
+
+    parts = spark.createDataFrame([("p", 0.25), ("q", 0.5)], "part_id string, x double")
+    got = {r.part_id: [(s.cls, s.prob) for s in r.scores] for r in ensemble.scored_by(parts, Model, ("a", "b"), rows=1).collect()}
+    assert got == {"p": [("b", 0.75), ("a", 0.25)], "q": [("a", 0.5), ("b", 0.5)]}
+    for model, classes in ((Wrong, ("a", "b")), (Model, ("b", "a"))):
+        with pytest.raises(Exception, match="the model"):
+            ensemble.scored_by(parts, model, classes).collect()
