@@ -286,16 +286,18 @@ def point_in_time(clicks: DataFrame, sales: DataFrame, lines: DataFrame, params:
     shards = max(1, -(-2 * facts.count() // p.capacity))
     facts = facts.withColumn("hour", F.floor(F.col("e") / F.lit(HOUR))).join(by_hour, ["client", "hour"], "left").drop("hour")
     part = F.when(F.col("parts") > 1, F.pmod(F.xxhash64("a", "e", "id", "w"), F.col("parts"))).otherwise(0).cast("int")
-    facts = facts.withColumn("slice", F.coalesce("slice", F.lit(0))).withColumn("part", part)
+    facts = facts.withColumn("own", F.col("slice").isNotNull()).withColumn("slice", F.coalesce("slice", F.lit(0))).withColumn("part", part)
     asked = named.select("client", F.col("t").alias("e"), F.col("qid").alias("w"), F.col("sale_id").alias("id"))
     touched = slices.withColumnRenamed("client", "its_client")
     touches = (F.col("client") == F.col("its_client")) & (F.col("begin") <= F.col("e") + p.ahead * DAY) & (F.col("end") > F.col("e") - max(p.days) * DAY)
     sent = asked.join(touched, touches, "left").withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)))
     many = (F.col("slice").isNotNull()).cast("long")
-    sent = sent.select(*_fact(QUERY, F.col("e"), 0, many, F.col("w"), id=F.col("id")), F.coalesce("slice", F.lit(0)).alias("slice"), "part")
+    sent = sent.select(*_fact(QUERY, F.col("e"), 0, many, F.col("w"), id=F.col("id")), F.col("slice").isNotNull().alias("own"), F.coalesce("slice", F.lit(0)).alias("slice"), "part")
     rows = facts.select(*sent.columns).union(sent)
-    shard = F.pmod(F.xxhash64("client", "slice", "part"), F.lit(shards)).cast("int")
-    partial = rows.withColumn("shard", shard).groupBy("shard").applyInArrow(_answers(p), PARTIAL)
+    # A cut client's slices are shards of their own, the whole clients share the others.
+    unit = F.xxhash64("client", "slice", "part")
+    shard = F.when(F.col("own"), unit).otherwise(F.pmod(unit, F.lit(shards)))
+    partial = rows.withColumn("shard", shard).drop("own").groupBy("shard").applyInArrow(_answers(p), PARTIAL)
     partial = materialise(partial, "partial")
     last = F.max(F.when(F.col("last_ts").isNotNull(), F.struct("last_ts", "last_id")))
     summed = partial.where("slices > 0").groupBy("qid", "d").agg(F.first("sale_id").alias("sale_id"), F.first("t").alias("t"), F.sum("ahead").alias("ahead"), *[F.sum(c).alias(c) for c in SUMS], last.alias("last"))
