@@ -183,7 +183,7 @@ ODD = ["a  b", "a \nb", " x", "x ", "a\tb c", "don't  we'll", "a\u00a0b c", "\n\
 
 
 @needs_tokenizer
-def test_encoder_equals_the_tokenizer():
+def test_encoder_equals_the_tokenizer(spark):
     path = public_tokenizers.path("byte_bpe_50k.json")
     assert pk.agreed(path)
     assert pk.agreed_in_a_task(spark.sparkContext.applicationId, path)
