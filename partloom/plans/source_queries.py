@@ -13,7 +13,7 @@ from partloom.operators import summaries as sm
 from partloom.plans.adapters import ctes, table, view
 from partloom.sources import readers, sinks
 from partloom.streaming.events import read_events
-from partloom.tables import home
+from partloom.tables import dealt, home
 
 QUERIES, SQL = {}, {}
 
@@ -139,7 +139,7 @@ def gltf_round_trip(spark, sf_dir):
 
 def _glb(spark, sf_dir):
     """A GLB file for each supplier: one mesh of two primitives, a triangle (0,0,0), (s,0,0), (0,s,0) and one a metre up."""
-    s = table(spark, sf_dir, "supplier").select("s_suppkey", F.element_at(F.array(F.lit(1), F.lit(2), F.lit(4)), (F.col("s_suppkey") % 3 + 1).cast("int")).alias("s"))
+    s = dealt(table(spark, sf_dir, "supplier").select("s_suppkey", F.element_at(F.array(F.lit(1), F.lit(2), F.lit(4)), (F.col("s_suppkey") % 3 + 1).cast("int")).alias("s")), "s_suppkey")
     zero, one, size = (_float(F.lit(0)), _float(F.lit(1)), _float(F.col("s")))
     low = [zero, zero, zero, size, zero, zero, zero, size, zero]
     high = [zero, zero, one, size, zero, one, zero, size, one]

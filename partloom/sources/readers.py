@@ -205,10 +205,24 @@ def gltf_materials_of(files: DataFrame) -> DataFrame:
     return files.select("path", "content").mapInPandas(_gltf_materials, schema)
 
 
+#: Triangles that are handed on at once.
+TRIANGLES = 1 << 16
+
+
 def _gltf_triangles(batches):
     import numpy as np
     import pandas as pd
 
+    names = [f"{n}{a}" for n in "abc" for a in "xyz"]
+
+    def frame(held):
+        path, mesh, idx, corners, sizes, lengths = ([x[k] for x in held] for k in range(6))
+        each = lambda values, kind: np.repeat(np.array(values, dtype=kind), lengths)
+        idx, corners = np.concatenate(idx), np.concatenate(corners)
+        columns = {"path": each(path, object), "mesh": each(mesh, np.int32), **{n: idx[:, k] for k, n in enumerate("abc")}, **{n: corners[:, k] for k, n in enumerate(names)}}
+        return pd.DataFrame(columns | {"n_vertices": each(sizes, np.int64)})
+
+    held, n = [], 0
     for pdf in batches:
         for path, content in zip(pdf["path"], pdf["content"], strict=True):
             doc, blob = split_glb(bytes(content))
@@ -219,13 +233,14 @@ def _gltf_triangles(batches):
                         continue
                     xyz = accessor(doc, blob, p["attributes"]["POSITION"])
                     idx = accessor(doc, blob, p["indices"]).reshape(-1, 3) if "indices" in p else np.arange(len(xyz) // 3 * 3).reshape(-1, 3)
-                    corners = xyz[idx].astype(float)
-                    out = pd.DataFrame({"path": path, "mesh": m, "a": idx[:, 0] + base, "b": idx[:, 1] + base, "c": idx[:, 2] + base})
-                    for k, name in enumerate("abc"):
-                        for j, axis in enumerate("xyz"):
-                            out[f"{name}{axis}"] = corners[:, k, j]
-                    base += len(xyz)
-                    yield out.assign(n_vertices=base)
+                    idx = idx.astype(np.int64)
+                    held.append((path, m, idx + base, xyz[idx].astype(float).reshape(-1, 9), base + len(xyz), len(idx)))
+                    base, n = base + len(xyz), n + len(idx)
+                    if n >= TRIANGLES:
+                        yield frame(held)
+                        held, n = [], 0
+    if held:
+        yield frame(held)
 
 
 def gltf_triangles_of(files: DataFrame) -> DataFrame:
