@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from partloom.tables import written
+from partloom.tables import merged, written
 
 
 def _jumped(to: DataFrame, label: str) -> DataFrame:
@@ -13,7 +13,7 @@ def _jumped(to: DataFrame, label: str) -> DataFrame:
     to = written(to, label)
     while True:
         again = to.select("g", F.col("node").alias("up"), F.col("up").alias("far"))
-        then = written(to.join(again, ["g", "up"], "left").select("g", "node", F.coalesce("far", "up").alias("up"), (F.col("far") != F.col("up")).alias("moved")), label)
+        then = written(to.join(merged(again), ["g", "up"], "left").select("g", "node", F.coalesce("far", "up").alias("up"), (F.col("far") != F.col("up")).alias("moved")), label)
         to = then.select("g", "node", "up")
         if then.where("moved").isEmpty():
             return to
@@ -35,10 +35,10 @@ def components(edges: DataFrame) -> DataFrame:
         least = both.groupBy("g", "node").agg(F.least(F.min("up"), F.col("node")).alias("up"))
         ends = _jumped(least, "ends")
         for c in ("a", "b"):
-            now = now.join(ends.select("g", F.col("node").alias(c), F.col("up").alias(f"_{c}")), ["g", c]).drop(c).withColumnRenamed(f"_{c}", c)
+            now = now.join(merged(ends.select("g", F.col("node").alias(c), F.col("up").alias(f"_{c}"))), ["g", c]).drop(c).withColumnRenamed(f"_{c}", c)
         now = written(now.where("a <> b").select("g", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
         moved = ends.select("g", F.col("node").alias("component"), F.col("up").alias("_end"))
-        labels = written(labels.join(moved, ["g", "component"], "left").select("g", "node", F.coalesce("_end", "component").alias("component")), "labels")
+        labels = written(labels.join(merged(moved), ["g", "component"], "left").select("g", "node", F.coalesce("_end", "component").alias("component")), "labels")
     return labels
 
 
@@ -52,7 +52,7 @@ def ring_order(steps: DataFrame) -> DataFrame:
     now = written(steps.select("g", F.col("a").alias("node"), F.col("b").alias("next"), F.least("a", "b").alias("low"), F.lit(False).alias("open")), "rings")
     while True:
         ahead = now.select("g", F.col("node").alias("next"), F.col("next").alias("far"), F.col("low").alias("far_low"), F.col("open").alias("far_open"))
-        then = now.join(ahead, ["g", "next"], "left")
+        then = now.join(merged(ahead), ["g", "next"], "left")
         lower = F.least("low", F.coalesce("far_low", "low"))
         opened = F.col("open") | F.col("far").isNull() | F.coalesce("far_open", F.lit(False))
         then = then.select("g", "node", F.coalesce("far", "next").alias("next"), lower.alias("low"), opened.alias("open"), ((lower < F.col("low")) | (opened != F.col("open"))).alias("moved"))
@@ -62,15 +62,15 @@ def ring_order(steps: DataFrame) -> DataFrame:
             break
     rings = written(now.where("not open").select("g", "node", "low"), "rings")
     # From each node to its ring's least one: the step into that node ends the way.
-    left = steps.select("g", F.col("a").alias("node"), F.col("b").alias("next")).join(rings, ["g", "node"])
+    left = steps.select("g", F.col("a").alias("node"), F.col("b").alias("next")).join(merged(rings), ["g", "node"])
     left = written(left.select("g", "node", "next", "low", F.lit(1).cast("long").alias("far"), (F.col("next") == F.col("low")).alias("done")), "ways")
     while not left.where("not done").isEmpty():
         ahead = left.select("g", F.col("node").alias("next"), F.col("next").alias("_next"), F.col("far").alias("_far"), F.col("done").alias("_done"))
-        step = left.join(ahead, ["g", "next"], "left")
+        step = left.join(merged(ahead), ["g", "next"], "left")
         go = ~F.col("done")
         left = written(step.select("g", "node", F.when(go, F.col("_next")).otherwise(F.col("next")).alias("next"), "low", F.when(go, F.col("far") + F.col("_far")).otherwise(F.col("far")).alias("far"), F.when(go, F.col("_done")).otherwise(True).alias("done")), "ways")
     sizes = left.groupBy("g", "low").agg(F.count("*").alias("n"))
-    return left.join(sizes, ["g", "low"]).select("g", F.col("low").alias("ring"), ((F.col("n") - F.col("far")) % F.col("n")).alias("pos"), "node")
+    return left.join(merged(sizes), ["g", "low"]).select("g", F.col("low").alias("ring"), ((F.col("n") - F.col("far")) % F.col("n")).alias("pos"), "node")
 
 
 def paired_steps(edges: DataFrame) -> DataFrame:
@@ -82,4 +82,4 @@ def paired_steps(edges: DataFrame) -> DataFrame:
     into = Window.partitionBy("g", "b").orderBy("a")
     leaving = edges.select("g", F.col("a").alias("at"), F.col("edge").alias("after"), F.row_number().over(out).alias("k"))
     coming = edges.select("g", F.col("b").alias("at"), F.col("edge").alias("before"), F.row_number().over(into).alias("k"))
-    return coming.join(leaving, ["g", "at", "k"]).select("g", F.col("before").alias("a"), F.col("after").alias("b"))
+    return coming.join(merged(leaving), ["g", "at", "k"]).select("g", F.col("before").alias("a"), F.col("after").alias("b"))
