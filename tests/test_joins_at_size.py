@@ -3,7 +3,7 @@
 import __spark_entry__
 import pytest
 
-from partloom.operators import meshes
+from partloom.operators import meshes, reconcile
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -32,3 +32,18 @@ def test_flatness_is_exact_where_it_lies_between_two_roundings(spark):
     v = spark.createDataFrame([(1, *c) for c in corners], "part_id int, v int, x double, y double, z double")
     f = spark.createDataFrame([(1, 0, 0, 1, 2), (1, 0, 3, 4, 5), (1, 0, 6, 7, 0)], "part_id int, segment int, a int, b int, c int")
     assert meshes.segment_planes(v, f).first().flatness == 2.25 / 1600
+
+
+def test_targets_of_one_shape_share_a_list_that_is_ranked_once(spark, monkeypatch):
+    seen = []
+    real = reconcile.ranked
+    monkeypatch.setattr(reconcile, "ranked", lambda rows, *a, **k: seen.append(rows.count()) or real(rows, *a, **k), raising=False)
+    parts = spark.range(200).selectExpr("id AS part_id", "id AS ord", "CASE WHEN id % 2 = 0 THEN 'a' END AS topology_hash", "100D AS volume", "1D AS sx", "1D AS sy", "1D AS sz")
+    got = reconcile.registry_lookup(parts, parts.where("id % 10 < 2")).collect()
+    evens, odds = [2 * i for i in range(100)], [2 * i + 1 for i in range(100)]
+    for target in (0, 1, 90):
+        row = sorted((r.rank, r.part_id, r.confidence) for r in got if r.target_id == target)
+        # Shapes without a hash are no match to each other, but resemble those that have one.
+        want = [(p, 0.95) for p in evens] + [(p, 0.85) for p in odds] if target % 2 == 0 else [(p, 0.85) for p in evens]
+        assert row == [(i + 1, *w) for i, w in enumerate(want)]
+    assert seen == [300]
