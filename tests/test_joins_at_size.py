@@ -3,7 +3,7 @@
 import __spark_entry__
 import pytest
 
-from partloom.operators import meshes, reconcile
+from partloom.operators import joints, meshes, reconcile
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -47,3 +47,16 @@ def test_targets_of_one_shape_share_a_list_that_is_ranked_once(spark, monkeypatc
         want = [(p, 0.95) for p in evens] + [(p, 0.85) for p in odds] if target % 2 == 0 else [(p, 0.85) for p in evens]
         assert row == [(i + 1, *w) for i, w in enumerate(want)]
     assert seen == [300]
+
+
+def test_edges_are_counted_as_they_would_be_listed_but_copies_meet_once(spark, monkeypatch):
+    met = []
+    real = joints._scored
+    shafts = spark.range(60).selectExpr("id AS part_id", "25D * (id % 3) AS ox", "0D AS oy", "0D AS oz", "0D AS dx", "0D AS dy", "1D AS dz", "3D AS radius", "10D AS length", "0.9D AS confidence")
+    holes = spark.range(90).selectExpr("id AS hole_id", "id % 70 AS host_id", "25D * (id % 4) AS ox", "0D AS oy", "1D AS oz", "0D AS dx", "0D AS dy", "1D AS dz", "6D + (id % 5) / 4D AS diameter", "4D AS length")
+    listed = {(r[0], r[1]): r[2] for r in joints.screwed_into(shafts, holes).groupBy("fastener_id", "fit_class").count().collect()}
+    monkeypatch.setattr(joints, "_scored", lambda pairs, p: met.append(pairs.count()) or real(pairs, p))
+    assert {(r[0], r[1]): r[2] for r in joints.edge_counts(shafts, holes).collect()} == listed
+    assert len(listed) == 180 and met == [15]
+    whole = joints.match_totals(joints.edge_counts(shafts, holes), 60).first()
+    assert (whole.n_edges, whole.n_matched, whole.match_rate) == (sum(listed.values()), 60, 1.0)
