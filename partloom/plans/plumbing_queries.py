@@ -10,6 +10,7 @@ from partloom.operators import plumbing as pl
 from partloom.operators import quality as ql
 from partloom.operators import reconcile as rc
 from partloom.plans.adapters import ctes, table, view
+from partloom.tables import written
 
 QUERIES, SQL = {}, {}
 
@@ -313,9 +314,9 @@ SELECT 'matches' AS kind, count(*) AS n FROM matched UNION ALL SELECT 'ambiguous
 UNION ALL SELECT 'new_parts', count(*) FROM fx_new WHERE part_id NOT IN (SELECT new_id FROM matched) UNION ALL SELECT 'deleted_parts', count(*) FROM fx_old WHERE part_id NOT IN (SELECT old_id FROM matched)""")
 def snapshot_report(spark, sf_dir):
     new, old = _snapshots(spark, sf_dir)
-    known = rc.match(new, old)
+    known = written(rc.match(new, old), "matches")
     extra = known.where("old_id % 10 = 1").select("new_id", (F.col("old_id") + 1).alias("old_id"), "confidence")
-    found = rc.match_all(new, old, extra)
+    found = rc.match_all(new, old, extra, known)
     counts = [df.agg(F.lit(kind).alias("kind"), F.count("*").alias("n")) for kind, df in found.items()]
     out = counts[0]
     for c in counts[1:]:

@@ -229,3 +229,29 @@ def test_tables_are_scoped_and_refuse_local_folders(spark, monkeypatch):
 
     with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
         tables.shared_dir(Session())
+
+
+def test_fingerprint_match_walks_volumes_that_meet_in_few_rounds(spark, monkeypatch):
+    """Parts that all want the same old ones, across the edges of slabs: a round for each of them before."""
+    import random
+
+    from partloom.operators import fingerprints
+
+    r = random.Random(5)
+    tables, real = [], fingerprints.written
+    monkeypatch.setattr(fingerprints, "written", lambda df, label: tables.append(label) or real(df, label))
+    old = [part(f"o{i}", i, "n", r.choice([None, "a", "b", f"h{i}"]), 100.0 * 1.5 ** r.random()) for i in range(150)]
+    new = [part(f"n{i}", i, "n", r.choice([None, "a", "b", f"k{i}"]), r.choice([None, -1.0, *[100.0 * 1.5 ** r.random() for _ in range(8)]])) for i in range(120)]
+
+    def score(n, o):
+        same = n[3] is not None and n[3] == o[3]
+        if n[4] is None:
+            return 0.80 if same else 0.0
+        gap = abs(n[4] - o[4]) / max(n[4], o[4], 1e-10)
+        if same:
+            return 0.95 if gap <= 0.001 else 0.85 if gap <= 0.01 else 0.80
+        return 0.85 if gap <= 0.001 else 0.70 if gap <= 0.01 else 0.60 if gap <= 0.05 else 0.0
+
+    got = {x.new_id: (x.old_id, x.confidence) for x in rc.fingerprint_match(spark.createDataFrame(new, PART), spark.createDataFrame(old, PART)).collect()}
+    assert got == brute_greedy(new, old, score, 0.60)
+    assert tables.count("made") <= 30
