@@ -3,7 +3,7 @@
 import __spark_entry__
 import pytest
 
-from partloom.operators import joints, meshes, reconcile
+from partloom.operators import cloud, joints, meshes, reconcile
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -60,3 +60,13 @@ def test_edges_are_counted_as_they_would_be_listed_but_copies_meet_once(spark, m
     assert len(listed) == 180 and met == [15]
     whole = joints.match_totals(joints.edge_counts(shafts, holes), 60).first()
     assert (whole.n_edges, whole.n_matched, whole.match_rate) == (sum(listed.values()), 60, 1.0)
+
+
+def test_faces_that_touch_an_edge_again_and_again_count_once(spark):
+    touched = spark.range(3000).selectExpr("1L AS sample_id", "id % 2 AS edge_index", "id % 3 AS face_index")
+    normals = spark.createDataFrame([(1, 0, 1.0, 0.0, 0.0), (1, 1, 0.0, 1.0, 0.0), (1, 2, 1.0, 0.0, 0.0)], "sample_id long, face_index long, nx double, ny double, nz double")
+    found = cloud.face_adjacency(touched, normals)
+    plan = found._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    # On both sides of the join, and on its result.
+    assert sum("Aggregate [" in line for line in plan) == 3
+    assert sorted((r.i, r.j, round(r.angle, 6)) for r in found.collect()) == [(0, 1, 1.570796), (0, 2, 0.0), (1, 2, 1.570796)]
