@@ -65,7 +65,7 @@ def iso_score_all(spark, sf_dir):
 
 @query(MATCH + " SELECT standard, variant, count(*) AS n FROM best GROUP BY 1, 2")
 def iso_standard_histogram(spark, sf_dir):
-    return standards.best_of(_eligible(spark, sf_dir)).groupBy("standard", "variant").agg(F.count("*").alias("n"))
+    return standards.best_counts(_eligible(spark, sf_dir)).groupBy("standard", "variant").agg(F.sum("n").alias("n"))
 
 
 @query(f"{ctes('fx_dims')}, s AS (SELECT part_id, list_sort([dx, dy, dz]) AS d FROM fx_dims) SELECT part_id, (d[1] + d[2]) / 2 AS bcyl_d, d[3] AS bcyl_l, CASE WHEN (d[1] + d[2]) / 2 > 1e-12 THEN d[3] / ((d[1] + d[2]) / 2) ELSE 0e0 END AS aspect FROM s")

@@ -3,7 +3,7 @@
 import __spark_entry__
 import pytest
 
-from partloom.operators import cloud, joints, meshes, reconcile
+from partloom.operators import cloud, joints, meshes, reconcile, standards
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -70,3 +70,14 @@ def test_faces_that_touch_an_edge_again_and_again_count_once(spark):
     # On both sides of the join, and on its result.
     assert sum("Aggregate [" in line for line in plan) == 3
     assert sorted((r.i, r.j, round(r.angle, 6)) for r in found.collect()) == [(0, 1, 1.570796), (0, 2, 0.0), (1, 2, 1.570796)]
+
+
+def test_parts_of_equal_measures_are_scored_once(spark, monkeypatch):
+    seen = []
+    real = standards.best_of
+    monkeypatch.setattr(standards, "best_of", lambda features, *a: seen.append(features.count()) or real(features, *a))
+    found = __spark_entry__.queries()["iso_standard_histogram"](spark, SMALL)
+    monkeypatch.undo()
+    listed = __spark_entry__.queries()["iso_best_match"](spark, SMALL).groupBy("standard", "variant").count()
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, listed.collect()))
+    assert seen[0] < __spark_entry__.queries()["iso_best_match"](spark, SMALL).count()
