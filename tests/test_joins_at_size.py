@@ -81,3 +81,19 @@ def test_parts_of_equal_measures_are_scored_once(spark, monkeypatch):
     listed = __spark_entry__.queries()["iso_best_match"](spark, SMALL).groupBy("standard", "variant").count()
     assert sorted(map(tuple, found.collect())) == sorted(map(tuple, listed.collect()))
     assert seen[0] < __spark_entry__.queries()["iso_best_match"](spark, SMALL).count()
+
+
+def test_holes_are_listed_once_for_fasteners_of_one_shaft(spark, monkeypatch):
+    # 40 fasteners of one shaft, of which 7 have two holes each; one fastener of two shafts, one without a partner
+    shafts = spark.range(40).selectExpr("id AS part_id", "0e0 AS ox", "0e0 AS oy", "-5e0 AS oz", "0e0 AS dx", "0e0 AS dy", "1e0 AS dz", "3e0 AS radius", "40e0 AS length", "0.5e0 + id / 100e0 AS confidence")
+    more = spark.sql("SELECT 50L, 0e0, 0e0, -5e0, 0e0, 0e0, 1e0, 3e0, 40e0, 0.9e0 UNION ALL SELECT 50L, 0e0, 0e0, -4e0, 0e0, 0e0, 1e0, 2.8e0, 40e0, 0.7e0 UNION ALL SELECT 51L, 99e0, 0e0, -4e0, 0e0, 0e0, 1e0, 2.8e0, 40e0, 0.7e0")
+    shafts = shafts.union(more)
+    holes = spark.range(30).selectExpr("id AS hole_id", "CASE WHEN id < 14 THEN id % 7 WHEN id = 29 THEN NULL ELSE 100 + id END AS host_id", "0e0 AS ox", "0e0 AS oy", "id * 7 % 30 / 1e0 AS oz", "0e0 AS dx", "0e0 AS dy", "1e0 AS dz", "6.5e0 AS diameter", "2e0 AS length")
+    seen = []
+    real = joints.ranked if hasattr(joints, "ranked") else None
+    monkeypatch.setattr(joints, "ranked", lambda rows, *a, **k: seen.append(rows.count()) or real(rows, *a, **k), raising=False)
+    monkeypatch.setattr(joints, "SLICE", 4, raising=False)
+    monkeypatch.setattr(joints, "CROWD", 8, raising=False)
+    got = sorted(map(tuple, joints.screwed_into(shafts, holes).collect()))
+    assert got == sorted(map(tuple, joints.screwed_into(shafts, holes, strategy="exact").collect()))
+    assert len(got) == 40 * 29 - 14 + 2 * 29 and seen == [3 * 29]
