@@ -3,6 +3,9 @@
 import __spark_entry__
 import pytest
 
+from pyspark.sql import functions as F
+
+from partloom.functions import numbers
 from partloom.operators import cloud, joints, meshes, reconcile, standards
 
 SMALL = "/root/testdata/sf0.001"
@@ -97,3 +100,11 @@ def test_holes_are_listed_once_for_fasteners_of_one_shaft(spark, monkeypatch):
     got = sorted(map(tuple, joints.screwed_into(shafts, holes).collect()))
     assert got == sorted(map(tuple, joints.screwed_into(shafts, holes, strategy="exact").collect()))
     assert len(got) == 40 * 29 - 14 + 2 * 29 and seen == [3 * 29]
+
+
+def test_lines_to_print_are_dealt_by_count_and_printed_alike_near_ties(spark):
+    plan = __spark_entry__.queries()["topology_keys"](spark, SMALL)._jdf.queryExecution().executedPlan().toString()
+    assert "REPARTITION_BY_NUM" in plan
+    values = [s * (k + f) / 10**4 for s in (1, -1) for k in (0, 3, 12345, 9999, 2**39, 2**40, 2**41) for f in (0.0, 0.4989, 0.4991, 0.49999999, 0.5, 0.5000001, 0.501, 0.99999)] + [0.0, -0.0, -1e-9]
+    got = spark.createDataFrame([(v,) for v in values], "x double").select("x", numbers.printed(F.col("x"), 4).alias("s")).collect()
+    assert [r.s for r in got] == ["%.4f" % r.x for r in got]
