@@ -205,14 +205,12 @@ def _snapshots(spark, sf_dir):
 
 @query(DIFF + " SELECT * FROM d")
 def uuid_match_diff(spark, sf_dir):
-    new, old = _snapshots(spark, sf_dir)
-    return rc.diff(new, old, rc.uuid_matches(new, old))
+    return rc.diff_by_id(*_snapshots(spark, sf_dir))
 
 
 @query(DIFF + f", k(change_type) AS (VALUES {', '.join(f'({k!r})' for k in rc.KINDS)}) SELECT k.change_type, count(d.change_type) AS n FROM k LEFT JOIN d ON d.change_type = k.change_type GROUP BY 1")
 def change_summary(spark, sf_dir):
-    new, old = _snapshots(spark, sf_dir)
-    return rc.diff_summary(rc.diff(new, old, rc.uuid_matches(new, old)))
+    return rc.diff_summary(rc.diff_by_id(*_snapshots(spark, sf_dir)))
 
 
 REL = "r AS (SELECT CASE o_orderkey % 3 WHEN 0 THEN 'fastener' WHEN 1 THEN 'mate' ELSE 'weld' END AS kind, o_orderkey AS subject_id, o_orderkey + 1 AS target_id FROM orders)"

@@ -2,7 +2,6 @@
 
 import __spark_entry__
 import pytest
-
 from pyspark.sql import functions as F
 
 from partloom.functions import numbers

@@ -255,3 +255,15 @@ def test_fingerprint_match_walks_volumes_that_meet_in_few_rounds(spark, monkeypa
     got = {x.new_id: (x.old_id, x.confidence) for x in rc.fingerprint_match(spark.createDataFrame(new, PART), spark.createDataFrame(old, PART)).collect()}
     assert got == brute_greedy(new, old, score, 0.60)
     assert tables.count("made") <= 30
+
+
+def test_diff_by_id_is_one_join_of_rows_dealt_by_count(spark):
+    old = spark.sql("SELECT id AS part_id, 'p' || id AS name, 'h' AS topology_hash, 5e0 AS volume, 1e0 AS tx, 0e0 AS ty, 0e0 AS tz, 0e0 AS qx, 0e0 AS qy, 0e0 AS qz, 1e0 AS qw FROM range(40)")
+    old = old.union(old.limit(1).withColumn("part_id", F.lit(None).cast("long")))
+    new = old.where("part_id is null or part_id > 4").withColumn("name", F.expr("CASE WHEN part_id % 5 = 1 THEN 'other' ELSE name END")).withColumn("tx", F.expr("CASE WHEN part_id % 5 = 2 THEN 9e0 ELSE tx END"))
+    new = new.withColumn("volume", F.expr("CASE WHEN part_id % 5 = 3 THEN 8e0 WHEN part_id % 5 = 4 THEN NULL ELSE volume END")).union(old.where("part_id = 7").withColumn("part_id", F.lit(99).cast("long")))
+    found = rc.diff_by_id(new, old)
+    key = lambda r: tuple((x is not None, x) for x in r)
+    assert sorted(map(key, found.collect())) == sorted(map(key, rc.diff(new, old, rc.uuid_matches(new, old)).collect()))
+    plan = __import__("__spark_entry__").queries()["uuid_match_diff"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("REPARTITION_BY_NUM") == 2 and sum("Join" in line for line in plan.splitlines()) == 1
