@@ -107,3 +107,24 @@ def test_lines_to_print_are_dealt_by_count_and_printed_alike_near_ties(spark):
     values = [s * (k + f) / 10**4 for s in (1, -1) for k in (0, 3, 12345, 9999, 2**39, 2**40, 2**41) for f in (0.0, 0.4989, 0.4991, 0.49999999, 0.5, 0.5000001, 0.501, 0.99999)] + [0.0, -0.0, -1e-9]
     got = spark.createDataFrame([(v,) for v in values], "x double").select("x", numbers.printed(F.col("x"), 4).alias("s")).collect()
     assert [r.s for r in got] == ["%.4f" % r.x for r in got]
+
+
+def test_a_centre_in_a_crowd_meets_only_the_first_points(spark, monkeypatch):
+    # Sample 1: a crowd and stragglers; sample 2: all in one place; sample 3: sorted along a line, and a point without a place.
+    import random
+
+    r = random.Random(8)
+    rows = [(1, i, r.gauss(0, 0.1), r.gauss(0, 0.1), r.gauss(0, 0.3)) for i in range(600)] + [(2, i, 1.0, 1.0, 1.0) for i in range(300)] + [(3, i, i / 50, 0.0, 0.0) for i in range(200)] + [(3, 900, None, 0.0, 0.0)]
+    p = spark.createDataFrame(rows, "sample_id long, pid long, x double, y double, z double")
+    monkeypatch.setattr(cloud, "FIRST", 12, raising=False)
+    monkeypatch.setattr(cloud, "PIECE", 16, raising=False)
+    met = []
+    real = cloud.written
+    monkeypatch.setattr(cloud, "written", lambda df, label: (lambda t: met.append(t.selectExpr("size(_met)").groupBy().sum().first()[0]) or t if label == "pieces" else t)(real(df, label)))
+    got = {(x.sample_id, x.cid): x.ids for x in cloud.ball_query(p.withColumnRenamed("pid", "cid"), p, 0.15, 8).collect()}
+    want = {}
+    for s, c, *a in rows[:-1]:
+        ids = [q for t, q, *b in rows[:-1] if t == s and sum((u - v) * (u - v) for u, v in zip(b, a, strict=True)) <= 0.15 * 0.15][:8]
+        want[s, c] = ids + ids[:1] * (8 - len(ids))
+    assert got == want
+    assert len(met) > 2  # in rounds, of which the first has at most 12 points for each cell
