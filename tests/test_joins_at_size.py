@@ -128,3 +128,13 @@ def test_a_centre_in_a_crowd_meets_only_the_first_points(spark, monkeypatch):
         want[s, c] = ids + ids[:1] * (8 - len(ids))
     assert got == want
     assert len(met) > 2  # in rounds, of which the first has at most 12 points for each cell
+
+
+def test_queries_of_one_box_go_down_together(spark, monkeypatch):
+    seen = []
+    real = cloud._near
+    monkeypatch.setattr(cloud, "_near", lambda pairs, k: seen.append(pairs.select("gid" if "gid" in pairs.columns else "qid").distinct().count()) or real(pairs, k))
+    p = spark.range(800).selectExpr("1 AS sample_id", "id AS pid", "id * 37 % 101 / 10e0 AS x", "id * 53 % 97 / 10e0 AS y", "0e0 AS z")
+    found = cloud.nearest(p.withColumnRenamed("pid", "qid"), p, 1)
+    assert found.where("qid = pid and d2 = 0 and rank = 1").count() == 800
+    assert seen and max(seen) < 200
