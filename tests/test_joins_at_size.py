@@ -138,3 +138,38 @@ def test_queries_of_one_box_go_down_together(spark, monkeypatch):
     found = cloud.nearest(p.withColumnRenamed("pid", "qid"), p, 1)
     assert found.where("qid = pid and d2 = 0 and rank = 1").count() == 800
     assert seen and max(seen) < 200
+
+
+def test_pairs_of_one_large_sample_are_dealt_over_tasks(spark, monkeypatch):
+    # Sample 1 is large, two faces of it are alike and two lie nowhere; the others are small, or known by nothing.
+    rows = [(1, i, i * 37 % 101 / 10, i * 53 % 97 / 10, float(i % 7)) for i in range(160)] + [(1, 40, 0.0, 0.0, 0.0), (1, 901, None, 0.0, 0.0), (1, 902, float("nan"), 0.0, 0.0)]
+    rows += [(2, i, float(i), 0.0, 0.0) for i in (3, -1, 7)] + [(3, 1, 0.0, 0.0, 0.0), (None, 1, 0.0, 0.0, 0.0), (None, 2, 0.0, 0.0, 0.0), (2, None, 0.0, 0.0, 0.0)]
+    monkeypatch.setattr(cloud, "FACES", 16, raising=False)
+    monkeypatch.setattr(cloud, "RUN", 4, raising=False)
+    faces = spark.createDataFrame(rows, "sample_id int, i long, x double, y double, z double").coalesce(1)
+    found = cloud.centroid_distances(faces)
+    assert found.dtypes == [("sample_id", "int"), ("i", "bigint"), ("j", "bigint"), ("d", "double")]
+    far = lambda a, b: None if None in (*a, *b) else sum((u - v) ** 2 for u, v in zip(a, b, strict=True)) ** 0.5
+    want = [(s, i, j, far(a, b)) for s, i, *a in rows if s and i is not None for t, j, *b in rows if t == s and j is not None and i < j]
+    text = lambda r: (*r[:3], None if r[3] is None else round(r[3], 9))
+    assert sorted(map(repr, map(text, found.collect()))) == sorted(map(repr, map(text, want)))
+    shares = [r["count"] for r in found.groupBy(F.spark_partition_id()).count().collect()]
+    assert len(shares) > 1 and max(shares) < 0.6 * len(want)
+
+
+def test_values_beside_a_tie_are_rounded_as_in_sql(spark, tmp_path):
+    values = [s * float(f"{k}.{(k * 7919) % 10**9:09d}5") for s in (1, -1) for k in range(2000)] + [0.0, 0.5, 2.5e-9, 3.5e-9, 0.49999999999999994e-9, 123456789012345.6]
+
+    def plain(x):
+        product = abs(x) * 1e9
+        whole = int(product)
+        return (whole + (product - whole >= 0.5)) / 1e9 * (1 if x >= 0 else -1)
+
+    rows = [(2 * k, k, [0.0, 0.0, 0.0]) for k in range(2000)] + [(2 * k + 1, k, [values[k], 0.0, 0.0]) for k in range(2000)]
+    spark.createDataFrame(rows, "vec_id long, label int, embedding array<double>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    found = {x.sample_id: x.d for x in __spark_entry__.queries()["centroid_distance"](spark, str(tmp_path)).collect()}
+    assert found == {k: plain((values[k] * values[k]) ** 0.5) for k in range(2000)}
+    r = spark.createDataFrame([(v,) for v in values], "x double").select("x", numbers.rounded(F.col("x"), 9).alias("r")).collect()
+    assert [v.r for v in r] == [plain(v.x) for v in r]
+    odd = spark.createDataFrame([(None,), (float("nan"),), (float("-inf"),), (1e300,)], "x double").select(numbers.rounded(F.col("x"), 9).cast("string").alias("r")).collect()
+    assert [v.r for v in odd] == [None, "NaN", "-Infinity", "1.0E300"]
