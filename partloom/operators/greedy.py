@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from partloom.operators.prefix import ranked
-from partloom.tables import written
+from partloom.tables import merged, written
 
 
 def _in_order(rows: DataFrame, side: str) -> DataFrame:
@@ -58,24 +58,25 @@ def greedy_by_class(new: DataFrame, old: DataFrame, pairs: DataFrame) -> DataFra
     """
     news, olds = _in_order(new, "n"), _in_order(old, "o")
     classes = news.groupBy("cls").agg(F.min("n").alias("c"))
-    parts = written(news.join(classes, "cls").select("c", "n"), "parts")
-    named = pairs.join(classes, F.col("new_class") == F.col("cls")).drop("cls")
-    wanted = written(named.join(olds, F.col("old_class") == olds.cls).select("c", "o", (-F.col("confidence")).alias("worse")), "wanted")
+    parts = written(merged(news).join(merged(classes), "cls").select("c", "n"), "parts")
+    named = merged(pairs).join(merged(classes), F.col("new_class") == F.col("cls")).drop("cls")
+    wanted = written(merged(named).join(merged(olds), F.col("old_class") == olds.cls).select("c", "o", (-F.col("confidence")).alias("worse")), "wanted")
     spark = new.sparkSession
     kept = written(spark.createDataFrame([], "cls long, n long, o long, confidence double"), "kept")
     active = written(parts.select("c").distinct(), "active")
     nobody, none = F.lit(-1).cast("long"), F.lit(0.0)
     while not active.isEmpty():
         holders = kept.select("o", F.col("cls").alias("by"), F.col("n").alias("held"))
-        asked = wanted.join(active, "c", "left_semi").join(holders, "o", "left").select("c", F.lit(1).alias("kind"), "worse", F.col("o").alias("place"), F.coalesce("by", nobody).alias("by"), F.coalesce("held", nobody).alias("held"))
-        own = parts.join(active, "c", "left_semi").select("c", F.lit(0).alias("kind"), none.alias("worse"), F.col("n").alias("place"), nobody.alias("by"), nobody.alias("held"))
+        asked = merged(merged(wanted).join(merged(active), "c", "left_semi")).join(merged(holders), "o", "left").select("c", F.lit(1).alias("kind"), "worse", F.col("o").alias("place"), F.coalesce("by", nobody).alias("by"), F.coalesce("held", nobody).alias("held"))
+        own = merged(parts).join(merged(active), "c", "left_semi").select("c", F.lit(0).alias("kind"), none.alias("worse"), F.col("n").alias("place"), nobody.alias("by"), nobody.alias("held"))
         wishes = own.union(asked).repartition("c").sortWithinPartitions("c", "kind", "worse", "place").mapInPandas(_wishes, kept.schema)
-        quiet = kept.join(active.withColumnRenamed("c", "cls"), "cls", "left_anti")
+        quiet = merged(kept).join(merged(active.withColumnRenamed("c", "cls")), "cls", "left_anti")
         made = written(quiet.unionByName(wishes), "made")
         first = made.groupBy("o").agg(F.min("n").alias("n"))
-        kept = written(made.join(first, ["o", "n"]).select("cls", "n", "o", "confidence"), "kept")
-        active = written(made.join(first, ["o", "n"], "left_anti").select(F.col("cls").alias("c")).distinct(), "active")
-    return kept.join(news.select("n", F.col("n_id").alias("new_id")), "n").join(olds.select("o", F.col("o_id").alias("old_id")), "o").select("new_id", "old_id", "confidence")
+        kept = written(merged(made).join(merged(first), ["o", "n"]).select("cls", "n", "o", "confidence"), "kept")
+        active = written(merged(made).join(merged(first), ["o", "n"], "left_anti").select(F.col("cls").alias("c")).distinct(), "active")
+    out = merged(kept).join(merged(news.select("n", F.col("n_id").alias("new_id"))), "n")
+    return merged(out).join(merged(olds.select("o", F.col("o_id").alias("old_id"))), "o").select("new_id", "old_id", "confidence")
 
 
 def greedy_one_to_one(candidates: DataFrame) -> DataFrame:

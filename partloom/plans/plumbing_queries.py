@@ -10,7 +10,7 @@ from partloom.operators import plumbing as pl
 from partloom.operators import quality as ql
 from partloom.operators import reconcile as rc
 from partloom.plans.adapters import ctes, table, view
-from partloom.tables import written
+from partloom.tables import merged, written
 
 QUERIES, SQL = {}, {}
 
@@ -289,7 +289,7 @@ RECURSIVE = SNAP.replace("WITH", "WITH RECURSIVE", 1)
 @query(f"{RECURSIVE}, {RESTS}, {BY_SHAPE} SELECT * FROM shaped")
 def fingerprint_match(spark, sf_dir):
     new, old = _snapshots(spark, sf_dir)
-    rest = lambda a, b: a.join(b.select("part_id"), "part_id", "left_anti")
+    rest = lambda a, b: merged(a).join(merged(b.select("part_id")), "part_id", "left_anti")
     return rc.fingerprint_match(rest(new, old), rest(old, new))
 
 

@@ -5,7 +5,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from partloom.functions import numbers
-from partloom.operators import cloud, joints, meshes, reconcile, standards
+from partloom.operators import cloud, greedy, joints, meshes, reconcile, standards
+from partloom.plans import adapters
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -28,6 +29,16 @@ def test_vertices_loops_and_documents_meet_without_a_broadcast(spark, name):
     assert found and not [x for x in found if "BroadcastHashJoin" in x]
 
 
+def test_snapshots_meet_without_a_broadcast(spark):
+    new, old = (adapters.view(spark, SMALL, name) for name in ("fx_new", "fx_old"))
+    pairs = reconcile.name_position_candidates(new, old)
+    greedily = greedy.greedy_one_to_one(pairs)
+    report = __spark_entry__.queries()["snapshot_report"](spark, SMALL)
+    for df in (pairs, greedily, report, reconcile.uuid_matches(new, old)):
+        found = joins(df)
+        assert found and not [x for x in found if "Broadcast" in x]
+
+
 def test_flatness_is_exact_where_it_lies_between_two_roundings(spark):
     # A flat box whose variances are 27 to 3200: no division by the number of points may round it off.
     corners = [(i, x, y, z) for i, (x, y, z) in enumerate((x, y, z) for x in (-40.0, 40.0) for y in (-30.0, 30.0) for z in (-1.5, 1.5))]
