@@ -8,9 +8,12 @@ walked in one task over trees that give the first free part between two volumes.
 from __future__ import annotations
 
 import math
+from array import array
 from bisect import bisect_left, bisect_right
 from heapq import heapify, heappop, heappush
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -24,16 +27,29 @@ LOOSE = 64
 _SIZES = ("sx", "sy", "sz")
 _KEPT = "n long, o long, confidence double, b0 long, b1 long"
 _MANY = 1 << 62
+#: Old parts of one hash that are looked through one by one; more get a tree of their own.
+FEW = 64
+
+
+def _flat(values: np.ndarray, kind: str) -> array:
+    """As many bytes, but faster to read one by one."""
+    out = array(kind)
+    out.frombytes(np.ascontiguousarray(values, "float64" if kind == "d" else "int64").tobytes())
+    return out
 
 
 class Free:
     """Places of free parts by volume, in a tree of least places: the first between two volumes that is fit."""
 
-    def __init__(self, volumes: list[float], places: list[int]):
-        self.volumes, self.size = volumes, 1 << max(0, len(places) - 1).bit_length()
-        self.least = [_MANY] * self.size + places + [_MANY] * (self.size - len(places))
-        for i in range(self.size - 1, 0, -1):
-            self.least[i] = min(self.least[2 * i], self.least[2 * i + 1])
+    def __init__(self, volumes: np.ndarray, places: np.ndarray):
+        self.volumes, self.size = _flat(volumes, "d"), 1 << max(0, len(places) - 1).bit_length()
+        least = np.full(2 * self.size, _MANY, "int64")
+        least[self.size : self.size + len(places)] = places
+        at = self.size
+        while at > 1:
+            least[at // 2 : at] = least[at : 2 * at].reshape(-1, 2).min(axis=1)
+            at //= 2
+        self.least = _flat(least, "q")
 
     def take(self, at: int) -> None:
         i = at + self.size
@@ -88,56 +104,117 @@ def between(v: float, tol: float) -> tuple[float, float]:
     return low - 1e-9 * abs(low) - 1e-22, high + 1e-9 * abs(high) + 1e-22
 
 
-def _walk(pdf):
+class _Olds:
+    """The old parts of a block in order, some numbers for each: which is the first still free of those that are fit."""
+
+    def __init__(self, columns: dict[str, np.ndarray]):
+        place, first = np.unique(columns["place"], return_index=True)
+        self.place, volume, code = _flat(place, "q"), columns["volume"][first], columns["code"][first]
+        self.volume = _flat(volume, "d")
+        self.sizes = [_flat(columns[k][first], "d") for k in _SIZES]
+        self.taken = bytearray(len(place))
+        solid = np.flatnonzero(np.isfinite(volume))
+        self.every, self.at_every = self._tree(volume, solid)
+        order = np.argsort(code, kind="stable")
+        self.codes, self.order = code[order], _flat(order, "q")
+        self.code, self.large, self.at_large = _flat(code, "q"), {}, None
+        held = columns["held"][first]
+        holding = np.flatnonzero(held >= 0)
+        holding = holding[np.argsort(held[holding], kind="stable")]
+        self.held, self.holding = _flat(held[holding], "q"), _flat(holding, "q")
+
+    def _tree(self, volume: np.ndarray, members: np.ndarray) -> tuple[Free, array]:
+        """A tree over some parts, by volume, and where each part stands in it."""
+        sized = members[np.argsort(volume[members], kind="stable")]
+        at = np.full(len(volume), -1, "int64")
+        at[sized] = np.arange(len(sized))
+        return Free(volume[sized], sized), _flat(at, "q")
+
+    def ranges(self, codes: np.ndarray) -> tuple[array, array]:
+        """From where to where the parts of each hash stand in ``order``; nowhere for no hash."""
+        low, high = (np.searchsorted(self.codes, codes, side) for side in ("left", "right"))
+        return _flat(low, "q"), _flat(np.where(codes < 0, low, high), "q")
+
+    def take(self, i: int) -> None:
+        self.taken[i] = 1
+        if self.at_every[i] >= 0:
+            self.every.take(self.at_every[i])
+        if tree := self.large.get(self.code[i]):
+            tree.take(self.at_large[i])
+
+    def box(self, i: int) -> tuple:
+        return tuple(k[i] for k in self.sizes)
+
+    def near(self, v: float, tol: float, size=None, least: float = 0.0) -> int:
+        """The first whose volume is within tol of v, and whose box is alike if that is asked for."""
+        volume = self.volume
+        return self.every.first(*between(v, tol), lambda i: gap(v, volume[i]) <= tol and (size is None or alike(size, self.box(i), least)))
+
+    def of_hash(self, low: int, high: int, v: float | None = None, tol: float = 0.0) -> int:
+        """The first of those from low to high in ``order``, and within tol of v if that is given."""
+        order, taken, volume = self.order, self.taken, self.volume
+        if high - low <= FEW:
+            for at in range(low, high):
+                i = order[at]
+                if not taken[i] and (v is None or gap(v, volume[i]) <= tol):
+                    return i
+            return _MANY
+        code = self.code[order[low]]
+        if code not in self.large:
+            if self.at_large is None:
+                self.at_large = array("q", bytes(8 * len(volume)))
+            members = np.array(order[low:high], "int64")
+            volumes = np.array([volume[i] for i in members.tolist()])
+            volumes[np.isnan(volumes)] = math.inf
+            sized = np.argsort(volumes, kind="stable")
+            self.large[code] = Free(volumes[sized], members[sized])
+            for at, i in enumerate(members[sized].tolist()):
+                self.at_large[i] = at
+                if taken[i]:
+                    self.large[code].take(at)
+        tree = self.large[code]
+        return tree.first(-math.inf, math.inf, lambda i: True) if v is None else tree.first(*between(v, tol), lambda i: gap(v, volume[i]) <= tol)
+
+
+def _walk(table: pa.Table) -> pa.Table:
     """A block's new and old parts -> what each new one takes, in order, of what no earlier part holds."""
-    import pandas as pd
-
-    olds = pdf[pdf["kind"] == 1].drop_duplicates("place").sort_values("place")
-    news = pdf[pdf["kind"] == 0].sort_values("place")
-    place, volume, of = olds["place"].tolist(), olds["volume"].tolist(), olds["hash"].tolist()
-    box = list(zip(*(olds[k].tolist() for k in _SIZES), strict=True))
-    asked = {h for h in news["hash"].tolist() if h is not None}
-    groups: dict = {None: [i for i, v in enumerate(volume) if math.isfinite(v)]}
-    for i, h in enumerate(of):
-        if h in asked:
-            groups.setdefault(h, []).append(i)
-    trees, where = {}, [[] for _ in place]
-    for h, members in groups.items():
-        sized = sorted((v if (v := volume[i]) == v else math.inf, i) for i in members)
-        trees[h] = Free([v for v, _ in sized], [i for _, i in sized])
-        for at, (_, i) in enumerate(sized):
-            where[i].append((trees[h], at))
-
-    def take(i):
-        for tree, at in where[i]:
-            tree.take(at)
+    kind = table.column("kind").to_numpy()
+
+    def side(which: int, names: tuple) -> dict[str, np.ndarray]:
+        rows = np.flatnonzero(kind == which)
+        return {c: table.column(c).to_numpy()[rows] for c in names}
 
+    olds = _Olds(side(1, ("place", "volume", "code", "held", *_SIZES)))
+    news = side(0, ("place", "volume", "code", "b0", "b1", *_SIZES))
+    order = np.argsort(news["place"], kind="stable")
+    low, high = olds.ranges(news["code"][order])
+    column = {c: _flat(x[order], "d" if c == "volume" or c in _SIZES else "q") for c, x in news.items() if c != "code"}
+    del news, order
     # A part held elsewhere is free until the turn of its holder.
-    held = sorted((n, i) for i, n in enumerate(olds["held"].tolist()) if n >= 0)
-    every, passed, out = trees[None], 0, []
-    for n, v, h, b0, b1, *size in news[["place", "volume", "hash", "b0", "b1", *_SIZES]].itertuples(index=False, name=None):
-        while passed < len(held) and held[passed][0] < n:
-            take(held[passed][1])
+    passed, out = 0, {"n": array("q"), "o": array("q"), "confidence": array("d"), "b0": array("q"), "b1": array("q")}
+    for n, v, b0, b1, low_, high_, *size in zip(*(column[c] for c in ("place", "volume", "b0", "b1")), low, high, *(column[k] for k in _SIZES), strict=True):
+        while passed < len(olds.held) and olds.held[passed] < n:
+            olds.take(olds.holding[passed])
             passed += 1
-        size, same, solid = tuple(size), trees.get(h) if h is not None else None, math.isfinite(v)
-        near = lambda tree, tol, least=None: tree.first(*between(v, tol), lambda i: gap(v, volume[i]) <= tol and (least is None or alike(size, box[i], least))) if solid else _MANY  # noqa: B023, E731
+        size, same, solid = tuple(size), high_ > low_, math.isfinite(v)
         found, score = _MANY, 0.95
-        if same is not None:
-            found = near(same, 0.001)
-        if found == _MANY:
-            found, score = near(every, 0.001, 0.9), 0.85
-            if same is not None:
-                found = min(found, near(same, 0.01))
-        if found == _MANY and same is not None:
-            found, score = same.first(-math.inf, math.inf, lambda i: True), 0.80
-        if found == _MANY:
-            found, score = near(every, 0.01, 0.8), 0.70
-        if found == _MANY:
-            found, score = near(every, 0.05), 0.60
+        if same and solid:
+            found = olds.of_hash(low_, high_, v, 0.001)
+        if found == _MANY and solid:
+            found, score = olds.near(v, 0.001, size, 0.9), 0.85
+            if same:
+                found = min(found, olds.of_hash(low_, high_, v, 0.01))
+        if found == _MANY and same:
+            found, score = olds.of_hash(low_, high_), 0.80
+        if found == _MANY and solid:
+            found, score = olds.near(v, 0.01, size, 0.8), 0.70
+        if found == _MANY and solid:
+            found, score = olds.near(v, 0.05), 0.60
         if found != _MANY:
-            take(found)
-            out.append((n, place[found], score, b0, b1))
-    return pd.DataFrame(out, columns=["n", "o", "confidence", "b0", "b1"]).astype({"n": "int64", "o": "int64", "confidence": "float64", "b0": "int64", "b1": "int64"})
+            olds.take(found)
+            for c, x in zip(out, (n, olds.place[found], score, b0, b1), strict=True):
+                out[c].append(x)
+    return pa.table({c: np.frombuffer(x, "float64" if c == "confidence" else "int64") if x else np.array([], "float64" if c == "confidence" else "int64") for c, x in out.items()})
 
 
 def _slab(log: Column, shifted: int) -> Column:
@@ -163,15 +240,18 @@ def greedy(new: DataFrame, old: DataFrame) -> DataFrame:
     for each of its parts and for the old ones within 5 % of it or of a hash in it.
     """
     news, olds = _placed(new, "news"), _placed(old, "olds")
+    # Hashes are only compared with one another, so parts travel with a number for each that a new one has; -1 for others.
+    codes = written(news.where("hash is not null").select("hash").distinct().withColumn("code", F.monotonically_increasing_id()), "codes")
+    news, olds = (written(merged(p).join(merged(codes), "hash", "left").na.fill(-1, ["code"]), side) for p, side in ((news, "news"), (olds, "olds")))
     loose = -(10**6) - F.pmod(F.xxhash64("hash"), F.lit(LOOSE))
     block = [F.coalesce(_slab(F.col("log"), s), loose).alias(f"b{s}") for s in (0, 1)]
-    turns = written(news.where("volume is not null or hash is not null").select("place", "volume", "hash", *_SIZES, *block), "turns")
+    turns = written(news.where("volume is not null or hash is not null").select("place", "volume", "code", *_SIZES, *block), "turns")
     met = []
     for s in (0, 1):
         blocks = turns.select(F.col(f"b{s}").alias("block")).distinct()
-        columns = ["block", "place", "volume", "hash", *_SIZES]
+        columns = ["block", "place", "volume", "code", *_SIZES]
         near = olds.where("log is not null").withColumn("block", F.explode(F.sequence(_slab(F.col("log") - REACH, s), _slab(F.col("log") + REACH, s)))).join(blocks, "block", "left_semi")
-        named = merged(olds).join(merged(turns.where("hash is not null").select("hash", F.col(f"b{s}").alias("block")).distinct()), "hash")
+        named = merged(olds.where("code >= 0")).join(merged(turns.where("code >= 0").select("code", F.col(f"b{s}").alias("block")).distinct()), "code")
         met.append(written(near.select(*columns).union(named.select(*columns)), "met"))
     kept = written(new.sparkSession.createDataFrame([], _KEPT), "kept")
     lost, shifted = None, 0
@@ -183,10 +263,10 @@ def greedy(new: DataFrame, old: DataFrame) -> DataFrame:
         offered = met[shifted].join(active, "block", "left_semi").join(merged(holders), "place", "left")
         elsewhere = F.when(F.col("holder") != F.col("block"), F.col("held")).otherwise(-1)
         none = F.lit(-1).cast("long")
-        columns = ["block", "place", "volume", "hash", *_SIZES]
+        columns = ["block", "place", "volume", "code", *_SIZES]
         rows = asking.select(*columns, F.lit(0).alias("kind"), none.alias("held"), "b0", "b1")
         rows = rows.union(offered.select(*columns, F.lit(1), elsewhere, none, none))
-        taken = dealt(rows, "block").groupBy("block").applyInPandas(_walk, _KEPT)
+        taken = dealt(rows, "block").groupBy("block").applyInArrow(_walk, _KEPT)
         quiet = kept.join(active.withColumnRenamed("block", own), own, "left_anti").select("n", "o", "confidence", "b0", "b1")
         made = written(quiet.union(taken), "made")
         contested = made.groupBy("o").agg(F.min("n").alias("first"), F.count("*").alias("claims")).where("claims > 1").select("o", "first")

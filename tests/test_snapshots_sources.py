@@ -257,6 +257,34 @@ def test_fingerprint_match_walks_volumes_that_meet_in_few_rounds(spark, monkeypa
     assert tables.count("made") <= 30
 
 
+@pytest.mark.parametrize("few", [0, 64])
+def test_a_slab_is_walked_with_a_few_numbers_for_each_part(monkeypatch, few):
+    import tracemalloc
+
+    import numpy as np
+    import pyarrow as pa
+
+    from partloom.operators import fingerprints
+
+    monkeypatch.setattr(fingerprints, "FEW", few)
+    n, r = 20000, np.random.default_rng(3)
+    kind = np.arange(n) % 8 == 0
+    rows = {"kind": (~kind).astype("int32"), "place": np.arange(n), "volume": np.exp(r.uniform(0, 0.2, n)), "code": r.integers(-1, 3000 if few else 40, n), "held": np.where(~kind & (np.arange(n) % 50 == 1), np.arange(n) + 900, -1), "b0": np.arange(n), "b1": np.arange(n)}
+    table = pa.table(rows | {k: np.ones(n) for k in ("sx", "sy", "sz")})
+    tracemalloc.start()
+    found = fingerprints._walk(table).to_pylist()
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(found) == n // 8 and len({x["o"] for x in found}) == n // 8
+    assert peak < n * (300 if few else 500)
+    # The first new part meets all old ones free, but for those held by earlier parts: there are none.
+    best, v = found[0], rows["volume"]
+    gap = abs(v - v[0]) / np.maximum(v, v[0])
+    same = ~kind & (rows["code"] == rows["code"][0]) & (rows["code"][0] >= 0)
+    near = np.flatnonzero(same & (gap <= 0.001)) if (same & (gap <= 0.001)).any() else np.flatnonzero(~kind & (gap <= 0.001) | same & (gap <= 0.01))
+    assert (best["n"], best["o"]) == (0, near[0])
+
+
 def test_diff_by_id_is_one_join_of_rows_dealt_by_count(spark):
     old = spark.sql("SELECT id AS part_id, 'p' || id AS name, 'h' AS topology_hash, 5e0 AS volume, 1e0 AS tx, 0e0 AS ty, 0e0 AS tz, 0e0 AS qx, 0e0 AS qy, 0e0 AS qz, 1e0 AS qw FROM range(40)")
     old = old.union(old.limit(1).withColumn("part_id", F.lit(None).cast("long")))
