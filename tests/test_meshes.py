@@ -115,3 +115,24 @@ def test_a_document_has_exact_bytes_bounds_normals_and_materials(spark):
             assert readers.accessor(parsed, blob, p["attributes"]["NORMAL"]).tolist() == [[0.0, 0.0, -1.0]] * 8
             assert doc["materials"][p["material"]]["name"] == ("red" if m["name"] == "second" else "default")
             assert k == p["material"] - 1
+
+
+def test_documents_are_decoded_where_they_are_asked_for_and_joined_in_runs(spark, monkeypatch):
+    doc = {"asset": {"version": "2.0"}, "nodes": [{"name": f"é, ]{i}", "mesh": i, "children": [[], {}]} for i in range(3)], "scenes": [], "n": -1.5}
+    found = readers.decoded_document(memoryview((json.dumps(doc, indent=1) + "  ").encode()))
+    assert not isinstance(found["nodes"], list) and {k: list(v) if k in ("nodes", "scenes") else v for k, v in found.items()} == doc
+    for bad in ('{"a":[1,]}', '{"a":[1 2]}', '{"a":1,}', '{"a":1} x', '{"a":[1', "{1:2}"):
+        with pytest.raises(ValueError):
+            readers.decoded_document(bad.encode())
+    n = 23
+    made = spark.range(n).selectExpr("'d' AS document", "id AS mesh", "-id AS ord", "'name ' || id AS name", "'u' || id AS part_id")
+    vertices = spark.range(3 * n).selectExpr("'d' AS document", "id div 3 AS mesh", "id AS v", "id * 1000D AS x", "id % 3 * 1000D AS y", "0D AS z")
+    triangles = spark.range(n).selectExpr("'d' AS document", "id AS mesh", "0 AS t", "3 * id AS a", "3 * id + 1 AS b", "3 * id + 2 AS c")
+    whole = [bytes(glb.glb_documents(made, vertices, triangles).first().content)]
+    monkeypatch.setattr(glb, "RUN", 4)
+    monkeypatch.setattr(glb, "STRETCH", 64)
+    files = glb.glb_documents(made, vertices, triangles)
+    assert [bytes(files.first().content)] == whole
+    monkeypatch.setattr(readers, "NODES", 5)
+    nodes = readers.gltf_nodes_of(files.select(files.document.alias("path"), "content"), bounds=True).orderBy("node").collect()
+    assert [(r.node, r.name, r.part_id, r.low[0], r.high[0]) for r in nodes] == [(i, f"name {n - 1 - i}", f"u{n - 1 - i}", 3.0 * (n - 1 - i), 3.0 * (n - 1 - i) + 2) for i in range(n)]
